@@ -20,18 +20,20 @@ from pyspark.sql import functions as F
 
 from palisade.session import scratch_path
 
-BUCKETS = 64
-
-
 def digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
 class DigestIndex:
-    """Digests seen so far, at ``path``; open it again with the same path and buckets."""
+    """Digests seen so far, at ``path``; open it again with the same path and buckets.
+
+    Without a number, there are as many buckets as the session's shuffle partitions, so
+    that appending writes one file a bucket.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path
+        self.buckets = buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.table = "digest_index_" + hashlib.md5(path.encode()).hexdigest()
         if not spark.catalog.tableExists(self.table):
             spark.sql(
@@ -72,7 +74,7 @@ class DigestIndex:
 
 
 def exact_dedup(
-    docs: DataFrame, index_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS
+    docs: DataFrame, index_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None
 ) -> DataFrame:
     """Every row of ``docs`` with its group: id, digest, keep_id, group_size, kept.
 
