@@ -106,7 +106,8 @@ def _patterns() -> tuple[re.Pattern, re.Pattern]:
     kind = lambda k: "".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == k)
     letters, numbers, white = kind("L"), kind("N"), "".join(re.escape(chr(c)) for c in WHITE if c < LATIN_END)
     words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+")
-    return words, re.compile("[^\x00-įı-ɏ]|<\\|startoftext\\|>|<\\|endoftext\\|>")
+    plain = "".join(re.escape(c) for c in chars if len(c.lower()) == 1 and ord(c.lower()) < LATIN_END)
+    return words, re.compile(f"[^{plain}]|<\\|startoftext\\|>|<\\|endoftext\\|>")
 
 
 class Encoder:
