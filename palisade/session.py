@@ -75,3 +75,11 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished stages now: it does so when the driver collects garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
