@@ -74,9 +74,14 @@ class DigestIndex:
 
 
 def exact_dedup(
-    docs: DataFrame, index_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None
+    docs: DataFrame,
+    index_path: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    buckets: int | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Every row of ``docs`` with its group: id, digest, keep_id, group_size, kept.
+    """Every row of ``docs`` with its group: id, digest, keep_id, group_size, kept, and the columns to carry.
 
     With an ``index_path`` from earlier data, groups and kept rows are those of the first
     batch that brought the text, so a text seen before keeps no row of this batch.
@@ -84,10 +89,10 @@ def exact_dedup(
     spark = docs.sparkSession
     index = DigestIndex(spark, index_path or scratch_path(spark, "digests"), buckets)
     index.append(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"), *carry)
     # Both sides are shuffled here, so a text that many rows share is split by the adaptive skew join.
     return rows.join(index.rows(), "digest").select(
-        "doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+        "doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), *carry
     )
 
 

@@ -69,14 +69,16 @@ def mix(
     cap: int = CAP,
     block_rows: int = BLOCK_ROWS,
     passes: int = PASSES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (how often the mix takes the document), taken."""
+    """doc_id, source, size, source_size, target, copies (how often the mix takes the document), taken, and columns to carry."""
     sized = materialise(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             uniform(F.col(id_col)).alias("u"),
+            *carry,
         ),
         "mix",
     )
@@ -90,7 +92,7 @@ def mix(
     )
     targets = targets.selectExpr("*", "target - whole * source_size AS rest", "CASE WHEN source_size = 0 THEN 0D ELSE target / source_size - whole END AS p")
     rows = sized.join(targets, F.col("source").eqNullSafe(F.col("s_source"))).selectExpr(
-        "doc_id", "source", "size", "source_size", "target", "whole", "rest", "u",
+        "doc_id", "source", "size", "source_size", "target", "whole", "rest", "u", *carry,
         "CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q",
         "CAST(floor(u * blocks) AS INT) AS block",
     )
@@ -102,7 +104,7 @@ def mix(
         "block_size",
     )
     cut = rows.join(cuts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("block") == F.col("c_block")))
-    keep = ["doc_id", "source", "size", "source_size", "target", "whole"]
+    keep = ["doc_id", "source", "size", "source_size", "target", "whole", *carry]
     clear = cut.where("q IS NULL OR room <= 0 OR block_size <= room").selectExpr(*keep, "CAST(q IS NOT NULL AND room > 0 AS INT) AS more")
     # One block of each source at most, so what a task sorts here has a bounded size.
     at = cut.where("q IS NOT NULL AND room > 0 AND block_size > room").selectExpr(*keep, "q", "room", "0 AS more")
@@ -116,7 +118,7 @@ def mix(
             "CASE WHEN run <= room THEN 1 ELSE more END AS more",
         )
     return clear.unionByName(at.select(*keep, "more")).selectExpr(
-        "doc_id", "source", "size", "source_size", "target", "whole + more AS copies", "(whole + more) * size AS taken"
+        "doc_id", "source", "size", "source_size", "target", "whole + more AS copies", "(whole + more) * size AS taken", *carry
     )
 
 

@@ -42,11 +42,12 @@ BLOCK = 2048
 
 
 def features(rows: DataFrame, k: int) -> DataFrame:
-    """(doc_id, tkey, text) -> doc_id, tkey, node, n, bands, sketch."""
+    """(text, doc_id, tkey, ...) -> node, n, bands, sketch, doc_id, tkey, ..."""
+    others = [f for f in rows.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            sets = Shingles(part.column(2), k)
+            sets = Shingles(part.column(0), k)
             full = sets.sizes > 0
             signatures = sets.signatures()
             keys = bands(signatures).view(np.int64)
@@ -56,18 +57,18 @@ def features(rows: DataFrame, k: int) -> DataFrame:
             sketches = iter(odd_sketches(signatures))
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0),
-                    part.column(1),
                     pa.array(sets.names().view(np.int64)),
                     pa.array(sets.sizes, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1))),
                     pa.array([next(sketches).tobytes() if f else None for f in full.tolist()], pa.binary()),
+                    *part.columns[1:],
                 ],
-                names=["doc_id", "tkey", "node", "n", "bands", "sketch"],
+                names=["node", "n", "bands", "sketch", *names],
             )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, tkey long, node long, n long, bands array<long>, sketch binary")
+    names = [f.name for f in others]
+    schema = "".join(f", {f.name} {f.dataType.simpleString()}" for f in others)
+    return rows.select("text", *names).mapInArrow(run, f"node long, n long, bands array<long>, sketch binary{schema}")
 
 
 def full_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -123,9 +124,11 @@ def bucket_links(table: pa.Table, percent: int, far: int) -> pa.Table:
     return pa.table({"a": node[at[:, 0]], "b": node[at[:, 1]]})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text"))
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, component (a name for it; null for empty sets), and the columns to carry."""
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tkey"), *carry)
     feats = materialise(features(rows, k), "features")
     nodes = feats.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "tkey")).alias("rep"))
 
@@ -150,7 +153,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = nodes.join(wanted, "node", "left_semi").select("node", F.col("rep.doc_id").alias("r_id"), F.col("rep.tkey").alias("r_key"))
     parts = feats.where("n > 0").select("doc_id", "tkey", "node", "n", "sketch")
     chosen = parts.join(reps, "node").where("doc_id <=> r_id AND tkey = r_key").select("r_id", "r_key", "node", "n", "sketch").distinct()
-    texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tkey") == F.col("r_key")))
+    texts = rows.select("text", "doc_id", "tkey").join(chosen, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tkey") == F.col("r_key")))
     sets = full_sets(texts, k)
 
     own = F.expr("CAST(pmod(xxhash64(node, 7), g) AS INT)")
@@ -175,11 +178,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("node", F.coalesce("component", "node").alias("component"), "least")
     )
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "component").select(F.col("node").alias("c_node"), "component_id")
-    single = feats.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    grouped = feats.where("n > 0").join(named, F.col("node") == F.col("c_node")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = named.join(ids, "component").select(F.col("node").alias("c_node"), "component_id", "component")
+    size, nothing = F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component")
+    single = feats.where("n = 0").select("doc_id", size, F.col("doc_id").alias("component_id"), nothing, *carry)
+    grouped = feats.where("n > 0").join(named, F.col("node") == F.col("c_node")).select("doc_id", size, "component_id", "component", *carry)
     return grouped.unionByName(single).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -216,10 +216,12 @@ def base_columns(text: pa.Array) -> dict[str, np.ndarray]:
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER_WIDTH, upper: float = UPPER_WIDTH) -> DataFrame:
-    """doc_id, the base columns, base_failed, log_perplexity (per byte), kept; and row, the text's number in the scan."""
+def quality(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER_WIDTH, upper: float = UPPER_WIDTH, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """doc_id, the base columns, base_failed, log_perplexity (per byte), kept, and the columns to carry."""
     spark = docs.sparkSession
-    rows = docs.selectExpr(f"`{lang_col}` AS lang", f"`{text_col}` AS text", f"`{id_col}` AS doc_id")
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), *carry)
     counted = count_grams(rows).select("key", "n").toArrow()
     key = counted.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
@@ -234,11 +236,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             n = np.bincount(row, minlength=len(text))
             mean = -np.bincount(row, score(gram), len(text)) / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays(
-                [part.column(2), part.column(0), *(pa.array(base[c], pa.int64()) for c in BASE), pa.array(n, pa.int64()), pa.array(mean, mask=n == 0)],
-                names=["doc_id", "lang", *BASE, "n_grams", "log_perplexity"],
+                [part.column(2), part.column(0), *(pa.array(base[c], pa.int64()) for c in BASE), pa.array(n, pa.int64()), pa.array(mean, mask=n == 0), *part.columns[3:]],
+                names=["doc_id", "lang", *BASE, "n_grams", "log_perplexity", *carry],
             )
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, " + ", ".join(f"{c} long" for c in (*BASE, "n_grams")) + ", log_perplexity double"
+    schema += "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
     scored = materialise(rows.mapInArrow(run, schema), "quality")
     failed = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words")
     scored = scored.withColumn("base_failed", failed)
@@ -254,7 +257,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         "kept",
         F.expr(f"NOT base_failed AND coalesce(log_perplexity BETWEEN middle - {lower} * {noise} AND middle + {upper} * {noise}, true)"),
     )
-    return judged.select("doc_id", "lang", *BASE, "base_failed", "n_grams", "log_perplexity", "kept")
+    return judged.select("doc_id", "lang", *BASE, "base_failed", "n_grams", "log_perplexity", "kept", *carry)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

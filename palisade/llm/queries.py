@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import exact_dedup, licenses, mixing, packing, quality, sharding, token_transducer
+from palisade.llm import exact_dedup, html_extract, licenses, mixing, near_dedup, packing, quality, sharding, substring_dedup, token_transducer
 from palisade.session import ship
 
 
@@ -27,12 +27,16 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op1_hash_tree_sharding": sharding.op1,
+        "op2_odd_sketch_near_dedup": near_dedup.op2,
+        "op3_html_extraction": html_extract.op3,
         "op4_token_transducer": token_transducer.op4,
         "op5_pareto_mixing": mixing.op5,
         "op6_perplexity_quality": quality.op6,
         "op7_license_join": licenses.op7,
+        "op8_substring_dedup": substring_dedup.op8,
         "op9_exact_dedup": exact_dedup.op9,
         "op10_best_fit_packing": packing.op10,
+        "pipeline": _pipeline,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
