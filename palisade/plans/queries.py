@@ -2,10 +2,492 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+from datetime import datetime
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palisade.config import Config, MlConfig
+from palisade.functions.patterns import PII
+from palisade.functions.text import first_needle, pick
+from palisade.operators import detectors, limiter, ml, responses, robots
+from palisade.operators.results import result
+from palisade.plans import oracle as O  # noqa: N812
+from palisade.plans import pipeline, stats
+from palisade.session import ship
+from palisade.sources import derived
+from palisade.sources.catalog import signature_table
+
+AS_OF = datetime(2024, 1, 31)
+STAMP = "TIMESTAMP '2024-01-31 00:00:00'"
+HOURS = 720
+PLAIN = Config()
+FULL = Config(mode="block", robots_enabled=True, fingerprint_enabled=True, response_enabled=True)
+LIMITED = Config(mode="rate_limit", max_attempts=3, decay_minutes=1440)
+ROBOTS_OPTION = "ai_training, nonsense,,seo_tools"
+
+Query = Callable[[SparkSession, str], DataFrame]
+_FOUND: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _FOUND[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def opened(rows: DataFrame, column: str = "r", *fields: str) -> DataFrame:
+    names = fields or ("threat_type", "threat_source", "confidence_score", "matched_pattern")
+    return rows.where(F.col(column).isNotNull()).select("request_id", *[F.col(column)[n].alias(n) for n in names])
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+# Free text
+
+_PII = Config(response_enabled=True)
+_PII_KINDS = [p for p in PII if p[0] not in _PII.pii_disabled]
+
+
+def _pii_body(table: str, key: str, text: str) -> str:
+    kinds = ", ".join(f"CASE WHEN regexp_matches({text}, {O.q(p[3])}) THEN {O.q(p[0])} END" for p in _PII_KINDS)
+    score = ", ".join(f"CASE WHEN regexp_matches({text}, {O.q(p[3])}) THEN {p[2]} ELSE 0 END" for p in _PII_KINDS)
+    return f"SELECT {key}, concat_ws(', ', {kinds}) AS matched_pattern, greatest({score}) AS confidence_score FROM {table}"
+
+
+@query(
+    f"SELECT matched_pattern, count(*) AS n, max(confidence_score) AS max_severity FROM ({_pii_body('documents', 'doc_id', 'text')}) AS x "
+    "WHERE confidence_score > 0 GROUP BY matched_pattern"
+)
+def pii_documents(spark, sf_dir):
+    """How many documents hold each set of kinds of personal data, and how grave it is."""
+    found = responses.combine(responses.leaks(F.col("text"), _PII)).alias("r")
+    return (
+        docs(spark, sf_dir).select(found).where("r IS NOT NULL")
+        .groupBy(F.col("r.matched_pattern").alias("matched_pattern"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max("r.confidence_score").alias("max_severity"))
+    )
+
+
+@query(f"SELECT * FROM ({_pii_body('pages', 'page_id', 'html')}) AS x WHERE confidence_score > 0")
+def pii_pages(spark, sf_dir):
+    found = responses.combine(responses.leaks(F.col("html"), _PII)).alias("r")
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", found).where("r IS NOT NULL")
+    return rows.select("page_id", F.col("r.matched_pattern").alias("matched_pattern"), F.col("r.confidence_score").alias("confidence_score"))
+
+
+@query(f"WITH {O.REQ} SELECT * FROM (SELECT request_id, {O.injection_case('payload', PLAIN)} AS matched_pattern FROM req) AS x WHERE matched_pattern IS NOT NULL")
+def detect_text(spark, sf_dir):
+    value = F.get(F.filter("inputs", lambda x: x["path"] == "message"), F.lit(0))["value"]
+    rows = derived.requests(spark, sf_dir).select("request_id", detectors.detect_text(value).alias("r"))
+    return opened(rows, "r", "matched_pattern")
+
+
+@query(
+    f"WITH a AS (SELECT conv_id, turn, {O.injection_case('text', PLAIN)} AS p FROM conversations) "
+    "SELECT count(*) AS n, count(p) AS hits FROM a"
+)
+def detect_conversations(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return rows.select(detectors.detect_text(F.col("text")).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.count("r").alias("hits"))
+
+
+# Detectors
+
+
+@query(f"WITH {O.REQ}, {O.traps_cte(PLAIN)} SELECT request_id, 'honeypot_trap' AS threat_type, 'honeypot' AS threat_source, 100 AS confidence_score, trap AS matched_pattern FROM honey")
+def honeypot_hits(spark, sf_dir):
+    return opened(derived.requests(spark, sf_dir).select("request_id", detectors.honeypot(PLAIN).alias("r")))
+
+
+@query(f"WITH {O.REQ}, {O.place_cte(PLAIN)} SELECT request_id, ord, category, needle FROM place")
+def find_bot(spark, sf_dir):
+    """The first needle of the whole catalogue, whatever is switched off."""
+    known = signature_table(spark).select("ord", "category", "needle")
+    rows = derived.requests(spark, sf_dir).select("request_id", detectors.find_bot(PLAIN).alias("ord")).where("ord IS NOT NULL")
+    return rows.join(F.broadcast(known), "ord").select("request_id", "ord", "category", "needle")
+
+
+@query(
+    f"WITH {O.REQ}, {O.place_cte(PLAIN)} SELECT request_id, threat_type, needle AS threat_source, confidence AS confidence_score, needle AS matched_pattern, "
+    f"category AS bot_category, label AS bot_label FROM place WHERE {O.live_category(PLAIN)}"
+)
+def bot_signature_match(spark, sf_dir):
+    rows = derived.requests(spark, sf_dir).withColumn("place", detectors.find_bot(PLAIN))
+    return opened(
+        rows.select("request_id", detectors.categorised_bot(PLAIN, F.col("place")).alias("r")), "r",
+        "threat_type", "threat_source", "confidence_score", "matched_pattern", "bot_category", "bot_label",
+    )
+
+
+@query(f"WITH {O.REQ}, {O.crawler_ctes(PLAIN)} SELECT request_id, needle, 95 AS confidence_score FROM crawl")
+def crawler_list_match(spark, sf_dir):
+    place = first_needle(F.coalesce(F.col("user_agent"), F.lit("")), list(PLAIN.crawlers))
+    rows = derived.requests(spark, sf_dir).select("request_id", pick(place, list(PLAIN.crawlers)).alias("needle"))
+    return rows.where("needle IS NOT NULL").withColumn("confidence_score", F.lit(95))
+
+
+@query(f"WITH {O.REQ}, {O.crawler_ctes(PLAIN)}, x AS ({O.HARVEST}) SELECT request_id, threat_type, threat_source, confidence_score, matched_pattern FROM x")
+def harvester_stacking(spark, sf_dir):
+    return opened(derived.requests(spark, sf_dir).select("request_id", detectors.harvester(PLAIN).alias("r")))
+
+
+@query(f"WITH {O.REQ}, {O.bots_cte(PLAIN)} SELECT request_id, threat_type, threat_source, confidence_score, matched_pattern FROM bots")
+def bot_best(spark, sf_dir):
+    rows = derived.requests(spark, sf_dir).withColumn("place", detectors.find_bot(PLAIN))
+    return opened(rows.select("request_id", detectors.bot(PLAIN, F.col("place")).alias("r")))
+
+
+@query(f"WITH {O.REQ}, {O.injection_cte(PLAIN)} SELECT request_id, matched_pattern, payload_snippet FROM inj")
+def injection_scan(spark, sf_dir):
+    return opened(derived.requests(spark, sf_dir).select("request_id", detectors.injection(PLAIN).alias("r")), "r", "matched_pattern", "payload_snippet")
+
+
+@query(f"WITH {O.REQ} SELECT * FROM (SELECT request_id, {O.injection_case('q', PLAIN)} AS matched_pattern FROM req) AS x WHERE matched_pattern IS NOT NULL")
+def query_scan(spark, sf_dir):
+    config = replace(PLAIN, scan_inputs=False, scan_query=True)
+    return opened(derived.requests(spark, sf_dir).select("request_id", detectors.injection(config).alias("r")), "r", "matched_pattern")
+
+
+@query(f"WITH {O.REQ}, {O.fingerprint_cte(FULL)} SELECT request_id, confidence_score, matched_pattern FROM printed")
+def fingerprint_score(spark, sf_dir):
+    return opened(derived.requests(spark, sf_dir).select("request_id", detectors.fingerprint(FULL).alias("r")), "r", "confidence_score", "matched_pattern")
+
+
+@query(
+    f"WITH {O.REQ}, {O.fingerprint_cte(FULL)} SELECT request_id, substr(md5(concat(coalesce(user_agent, ''), '|', coalesce(h_accept_language, ''), '|', "
+    "coalesce(h_accept_encoding, ''), '|', coalesce(h_accept, ''), '|', array_to_string(names, ','))), 1, 16) AS fingerprint FROM prints"
+)
+def fingerprint_hash(spark, sf_dir):
+    return derived.requests(spark, sf_dir).select("request_id", detectors.fingerprint_hash().alias("fingerprint"))
+
+
+_WHITE = Config(whitelist_ips=("10.0.0.0", "10.1.0.1"), whitelist_agents=("kagibot", "Devin"))
+
+
+@query(
+    f"WITH {O.REQ} SELECT request_id FROM req WHERE NOT (coalesce(ip IN ('10.0.0.0', '10.1.0.1'), false) OR contains({O.UA}, 'kagibot') OR contains({O.UA}, 'devin'))"
+)
+def whitelist_filter(spark, sf_dir):
+    return derived.requests(spark, sf_dir).where(~detectors.whitelisted(_WHITE)).select("request_id")
+
+
+# robots.txt
+
+_RULES = ", ".join(f"({i}, {O.q(a)}, {O.q(r)})" for i, (a, r) in enumerate(((a, r) for a, rules in robots.parse_robots(derived.ROBOTS) for r in rules), 1))
+
+
+@query(
+    "WITH lines AS (SELECT trim(unnest(string_split(replace(" + O.q(derived.ROBOTS).replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '")
+    + ", chr(13), ''), chr(10)))) AS line), n AS (SELECT line, row_number() OVER () AS pos FROM lines), "
+    "a AS (SELECT *, last_value(CASE WHEN lower(line) LIKE 'user-agent:%' THEN trim(substr(line, 12)) END IGNORE NULLS) OVER (ORDER BY pos) AS agent FROM n) "
+    "SELECT agent, CAST(row_number() OVER (ORDER BY pos) AS INTEGER) AS ord, trim(substr(line, 10)) AS rule FROM a "
+    "WHERE lower(line) LIKE 'disallow:%' AND trim(substr(line, 10)) <> '' AND agent IS NOT NULL"
+)
+def robots_rules(spark, sf_dir):
+    return robots.rules_table(spark, derived.ROBOTS)
+
+
+@query(f"WITH {O.REQ}, {O.place_cte(FULL)}, {O.robots_cte(FULL)} SELECT request_id, rule FROM broken")
+def robots_violations(spark, sf_dir):
+    rows = derived.requests(spark, sf_dir).withColumn("place", detectors.find_bot(FULL))
+    return rows.select("request_id", robots.violation(FULL, derived.ROBOTS, F.col("place")).alias("rule")).where("rule IS NOT NULL")
+
+
+@query(
+    f"WITH {O.REQ}, {O.bots_cte(FULL)}, {O.robots_cte(FULL)} SELECT request_id, least(confidence_score + 30, 100) AS confidence_score, "
+    "concat(matched_pattern, ' + robots.txt disallow: ', rule) AS matched_pattern FROM bots JOIN broken USING (request_id)"
+)
+def robots_boost(spark, sf_dir):
+    rows = derived.requests(spark, sf_dir).withColumn("place", detectors.find_bot(FULL)).withColumn("rule", robots.violation(FULL, derived.ROBOTS, F.col("place")))
+    found = rows.where("rule IS NOT NULL").select("request_id", robots.boosted(detectors.bot(FULL, F.col("place")), F.col("rule"), FULL.robots_boost).alias("r"))
+    return opened(found, "r", "confidence_score", "matched_pattern")
+
+
+def _robots_sql() -> str:
+    rows = []
+    for c in ("ai_training", "seo_tools"):
+        rows.append(f"SELECT 'User-agent: ' || rtrim(needle, '/ -') AS line, count(*) AS n FROM catalogue WHERE category = {O.q(c)} AND rtrim(needle, '/ -') <> '' GROUP BY 1")
+    return f"WITH {O.catalogue(PLAIN)} SELECT line, sum(n)::BIGINT AS n FROM ({' UNION ALL '.join(rows)}) AS x GROUP BY line"
+
+
+@query(_robots_sql())
+def robots_generate(spark, sf_dir):
+    lines = robots.generate(spark, AS_OF, ROBOTS_OPTION)
+    agents = lines.where("line LIKE 'User-agent: %' AND line NOT IN ('User-agent: Googlebot', 'User-agent: Bingbot', 'User-agent: *')")
+    return agents.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Responses
+
+_PII_ALL = replace(FULL, pii_disabled=())
+
+
+@query(f"WITH {O.RESP}, {O.leaks_cte(FULL)} SELECT request_id, confidence_score, matched_pattern, payload_snippet FROM leaks")
+def pii_scan(spark, sf_dir):
+    rows = derived.responses(spark, sf_dir)
+    found = responses.combine(responses.scan_response(F.col("content_type"), F.col("body"), FULL))
+    return opened(rows.select("request_id", found.alias("r")), "r", "confidence_score", "matched_pattern", "payload_snippet")
+
+
+def _redacted_sql() -> str:
+    parts = [
+        f"SELECT request_id, {O.q(kind)} AS type, {severity} AS severity, regexp_extract(body, {O.q(pattern)}, 0) AS m FROM hit WHERE regexp_matches(body, {O.q(pattern)})"
+        for kind, _, severity, pattern in PII
+    ]
+    return (
+        f"WITH {O.RESP}, {O.leaks_cte(_PII_ALL)}, hit AS (SELECT request_id, body FROM leaks), x AS ({' UNION ALL '.join(parts)}) "
+        "SELECT request_id, type, severity, CASE WHEN length(m) <= 6 THEN repeat('*', length(m)) ELSE concat(left(m, 3), repeat('*', length(m) - 6), right(m, 3)) END AS matched FROM x"
+    )
+
+
+@query(_redacted_sql())
+def pii_redacted(spark, sf_dir):
+    rows = derived.responses(spark, sf_dir)
+    found = responses.scan_response(F.col("content_type"), F.col("body"), _PII_ALL)
+    return rows.select("request_id", F.explode(found).alias("x")).select("request_id", "x.type", "x.severity", "x.matched")
+
+
+# The pipeline and its table
+
+
+def _threats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.threats(derived.requests(spark, sf_dir), derived.responses(spark, sf_dir), FULL, derived.ROBOTS)
+
+
+_T = f"WITH {O.threats_ctes(FULL)}"
+_RECENT = f"created_at >= {STAMP} - INTERVAL {HOURS} HOUR"
+_SHOWN = (
+    "id", "ip_address", "user_agent", "threat_type", "threat_source", "confidence_score", "request_url", "request_method", "matched_pattern", "payload_snippet",
+    "action_taken", "is_false_positive", "created_at",
+)
+
+
+@query(f"{_T} SELECT {', '.join(_SHOWN)} FROM threats")
+def pipeline_threats(spark, sf_dir):
+    return _threats(spark, sf_dir).select(*_SHOWN)
+
+
+@query(f"WITH {O.threats_ctes(PLAIN)} SELECT {', '.join(_SHOWN)} FROM threats")
+def pipeline_default(spark, sf_dir):
+    """With the settings as shipped: no robots.txt, fingerprint or response scan."""
+    return pipeline.threats(derived.requests(spark, sf_dir)).select(*_SHOWN)
+
+
+@query(
+    f"WITH {O.REQ}, {O.bots_cte(PLAIN)}, {O.injection_cte(PLAIN)} SELECT request_id, CASE WHEN i.request_id IS NOT NULL AND coalesce(b.confidence_score, 0) <= 90 "
+    "THEN 'prompt_injection' ELSE b.threat_type END AS threat_type, CASE WHEN i.request_id IS NOT NULL AND coalesce(b.confidence_score, 0) <= 90 THEN 90 ELSE b.confidence_score END AS confidence_score "
+    "FROM bots AS b FULL JOIN inj AS i USING (request_id)"
+)
+def library_detect(spark, sf_dir):
+    return opened(pipeline.detect_request(derived.requests(spark, sf_dir)), "threat", "threat_type", "confidence_score")
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT * FROM (WITH {O.threats_ctes(replace(PLAIN, mode=m))} SELECT {O.q(m)} AS mode, action_taken, count(*) AS n FROM threats GROUP BY action_taken)"
+        for m in ("log_only", "block", "rate_limit")
+    )
+)
+def action_matrix(spark, sf_dir):
+    found = pipeline.detect(derived.requests(spark, sf_dir)).where("threat IS NOT NULL")
+    rows = [found.select(F.lit(m).alias("mode"), pipeline.action(replace(PLAIN, mode=m), F.col("threat.confidence_score")).alias("action_taken")) for m in ("log_only", "block", "rate_limit")]
+    return rows[0].union(rows[1]).union(rows[2]).groupBy("mode", "action_taken").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"{_T} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (threat_type = {O.q(k)}) AS {n}" for n, k in stats.SUMMARY_TYPES)
+    + f", count(*) FILTER (action_taken = 'blocked') AS blocked, count(*) FILTER (action_taken = 'rate_limited') AS rate_limited FROM threats WHERE {_RECENT}"
+)
+def threat_summary(spark, sf_dir):
+    return stats.summary(_threats(spark, sf_dir), AS_OF, HOURS)
+
+
+@query(f"{_T} SELECT ip_address, count(*) AS total, max(confidence_score) AS confidence_score FROM threats WHERE {_RECENT} GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 10")
+def top_ips(spark, sf_dir):
+    return stats.top_ips(_threats(spark, sf_dir), AS_OF, 10, HOURS)
+
+
+@query(f"{_T} SELECT threat_source, count(*) AS total FROM threats WHERE {_RECENT} GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 10")
+def top_sources(spark, sf_dir):
+    return stats.top_sources(_threats(spark, sf_dir), AS_OF, 10, HOURS)
+
+
+@query(f"{_T} SELECT strftime(created_at, '%Y-%m-%d %H:00:00') AS hour, count(*) AS total FROM threats WHERE {_RECENT} GROUP BY 1")
+def timeline_hourly(spark, sf_dir):
+    return stats.timeline(_threats(spark, sf_dir), AS_OF, HOURS)
+
+
+@query(
+    f"{_T} SELECT count(*) FILTER (confidence_score >= 90) AS high, count(*) FILTER (confidence_score BETWEEN 70 AND 89) AS medium, count(*) FILTER (confidence_score < 70) AS low FROM threats WHERE {_RECENT}"
+)
+def confidence_breakdown(spark, sf_dir):
+    return stats.confidence_breakdown(_threats(spark, sf_dir), AS_OF, HOURS)
+
+
+@query(f"{_T} SELECT id, threat_type, created_at FROM threats WHERE {_RECENT} AND threat_type = 'ai_crawler' ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 25")
+def threat_list_page(spark, sf_dir):
+    return stats.threat_page(_threats(spark, sf_dir), AS_OF, str(HOURS), 25, 2, "ai_crawler", "unknown").select("id", "threat_type", "created_at")
+
+
+@query(f"{_T} SELECT count(*) AS total FROM threats WHERE {_RECENT} AND threat_type = 'ai_crawler'")
+def threat_list_count(spark, sf_dir):
+    return stats.threat_count(_threats(spark, sf_dir), AS_OF, HOURS, "ai_crawler")
+
+
+@query(f"{_T} SELECT id, threat_type, created_at FROM threats WHERE created_at >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 24 HOUR ORDER BY created_at DESC, id DESC LIMIT 20")
+def recent_threats(spark, sf_dir):
+    return stats.recent_threats(_threats(spark, sf_dir), datetime(2024, 1, 30)).select("id", "threat_type", "created_at")
+
+
+def _label_sql() -> str:
+    types = " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in stats.TYPE_LABELS.items())
+    acts = " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in stats.ACTION_LABELS.items())
+    return (
+        f"{_T} SELECT id, CASE threat_type {types} END AS type_label, CASE action_taken {acts} END AS action_label, CASE WHEN confidence_score >= 90 THEN 'red' "
+        "WHEN confidence_score >= 70 THEN 'yellow' ELSE 'green' END AS severity, confidence_score >= 70 AS is_high_confidence, coalesce(threat_source, 'Unknown') AS source, "
+        "strftime(created_at, '%H:%M:%S') AS clock FROM threats"
+    )
+
+
+@query(_label_sql())
+def threat_labels(spark, sf_dir):
+    return stats.labelled(_threats(spark, sf_dir))
+
+
+@query(f"{_T} SELECT threat_type, count(*) AS n, count(*) FILTER (confidence_score >= 70) AS high FROM threats WHERE ip_address = '10.1.0.1' GROUP BY 1")
+def scopes_by_ip(spark, sf_dir):
+    rows = stats.by_ip(_threats(spark, sf_dir), "10.1.0.1")
+    return rows.groupBy("threat_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence_score") >= 70).alias("high"))
+
+
+@query(f"{_T} SELECT count(*) AS left_over, count(*) FILTER (is_fp) AS marked FROM (SELECT id, id % 14 = 0 AS is_fp FROM threats WHERE created_at >= {STAMP} - INTERVAL 168 HOUR) AS x")
+def false_positive_marks(spark, sf_dir):
+    rows = _threats(spark, sf_dir)
+    marked = stats.with_false_positives(rows, rows.where("id % 14 = 0").select("id"))
+    return stats.recent(marked, AS_OF, 168).agg(F.count(F.lit(1)).alias("left_over"), F.count_if("is_false_positive").alias("marked"))
+
+
+@query(f"{_T} SELECT count(*) AS n, min(created_at) AS oldest FROM threats WHERE created_at >= {STAMP} - INTERVAL 168 HOUR")
+def flush_survivors(spark, sf_dir):
+    return stats.flush_survivors(_threats(spark, sf_dir), AS_OF, "yes", 168).agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("oldest"))
+
+
+@query(f"{_T} SELECT id, threat_type, threat_source AS source, confidence_score AS confidence, matched_pattern AS pattern FROM threats WHERE confidence_score >= 90")
+def alerts(spark, sf_dir):
+    return pipeline.alerts(_threats(spark, sf_dir), FULL)
+
+
+@query("SELECT 18 AS crawler_patterns_count, 9 AS harvester_patterns_count, 365 AS bot_signatures_count, 7 AS bot_categories_count, 33 AS prompt_patterns, 10 AS pii_patterns, 28 AS trap_paths")
+def detector_info(spark, sf_dir):
+    return stats.detector_info(spark).select(
+        "crawler_patterns_count", "harvester_patterns_count", "bot_signatures_count", "bot_categories_count", "prompt_patterns", "pii_patterns", "trap_paths"
+    )
+
+
+@query(f"WITH {O.catalogue(PLAIN)} SELECT category, max(confidence) AS confidence, count(*) AS bots, count(DISTINCT low) AS distinct_bots FROM catalogue GROUP BY category")
+def catalogue_counts(spark, sf_dir):
+    rows = signature_table(spark).groupBy("category")
+    return rows.agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("bots"), F.countDistinct(F.lower("needle")).alias("distinct_bots"))
+
+
+# Rate limiting
+
+_KEY = "concat('limit:', coalesce(ip, ''), ':', substr(md5(coalesce(user_agent, '')), 1, 8))"
+_DECAY = LIMITED.decay_minutes * 60_000_000
+
+
+@query(
+    f"WITH RECURSIVE {O.REQ}, att AS (SELECT request_id, epoch_us(ts) AS at, {_KEY} AS rate_key, row_number() OVER (PARTITION BY {_KEY} ORDER BY ts, request_id) AS rn FROM req), "
+    "fold AS (SELECT request_id, rate_key, rn, true AS allowed, at AS opened, 1 AS hits FROM att WHERE rn = 1 UNION ALL "
+    f"SELECT a.request_id, a.rate_key, a.rn, a.at >= f.opened + {_DECAY} OR f.hits < {LIMITED.max_attempts}, CASE WHEN a.at >= f.opened + {_DECAY} THEN a.at ELSE f.opened END, "
+    f"CASE WHEN a.at >= f.opened + {_DECAY} THEN 1 ELSE least(f.hits + 1, {LIMITED.max_attempts}) END FROM fold AS f JOIN att AS a ON a.rate_key = f.rate_key AND a.rn = f.rn + 1) "
+    "SELECT request_id, rate_key, allowed FROM fold"
+)
+def rate_limiter(spark, sf_dir):
+    return limiter.limit(derived.requests(spark, sf_dir).select("request_id", "ts", limiter.rate_key().alias("rate_key")), LIMITED)
+
+
+# Model scores
+
+_ML = {
+    "lakera": ("""{"category_scores":{"prompt_injection":0.29}}""", """{"category_scores":{}}""", """{"category_scores":{"prompt_injection":0.987}}"""),
+    "huggingface": ("""[[{"label":"benign","score":0.1},{"label":"injection","score":0.93}]]""", """[{"label":"LABEL_1","score":0.57},{"label":"LABEL_0","score":0.4}]""", """[[{"label":"safe","score":1.0}]]"""),
+    "pangea": ("""{"result":{"prompt_injection":{"detected":true}}}""", """{"result":{"prompt_injection":{"detected":false}}}""", """{"result":{}}"""),
+    "llm_guard": ("""{"results":[{"scanner":"Toxicity","risk_score":0.9},{"scanner":"PromptInjection","risk_score":0.71}]}""", """{"is_valid":false}""", """{"results":[]}"""),
+    "ollama": ("""{"response":" Score: 85."}""", """{"response":"999 of 1000"}""", """{"response":"none"}"""),
+    "custom": ("""{"score":1}""", """{"score":1.0}""", """{"score":250}"""),
+}
+_ML_SCORES = {
+    "lakera": ("CAST(trunc(coalesce(CAST(json_extract_string(r, '$.category_scores.prompt_injection') AS DOUBLE), 0) * 100) AS INTEGER)"),
+    "huggingface": (
+        "CAST(trunc(100 * CAST(CASE WHEN json_extract_string(r, '$[0][1].label') = 'injection' THEN json_extract_string(r, '$[0][1].score') "
+        "WHEN json_extract_string(r, '$[0].label') = 'LABEL_1' THEN json_extract_string(r, '$[0].score') END AS DOUBLE)) AS INTEGER)"
+    ),
+    "pangea": "CASE WHEN json_extract_string(r, '$.result.prompt_injection.detected') = 'true' THEN 95 ELSE 5 END",
+    "llm_guard": (
+        "CASE WHEN json_extract_string(r, '$.results[1].scanner') = 'PromptInjection' THEN CAST(trunc(100 * CAST(json_extract_string(r, '$.results[1].risk_score') AS DOUBLE)) AS INTEGER) "
+        "WHEN json_extract_string(r, '$.is_valid') = 'false' THEN 90 ELSE 5 END"
+    ),
+    "ollama": "least(TRY_CAST(nullif(regexp_extract(json_extract_string(r, '$.response'), '\\b([0-9]{1,3})\\b', 1), '') AS INTEGER), 100)",
+    "custom": (
+        "CASE WHEN json_extract_string(r, '$.score') LIKE '%.%' AND CAST(json_extract_string(r, '$.score') AS DOUBLE) <= 1 THEN CAST(CAST(json_extract_string(r, '$.score') AS DOUBLE) * 100 AS INTEGER) "
+        "ELSE least(CAST(json_extract_string(r, '$.score') AS INTEGER), 100) END"
+    ),
+}
+
+
+def _ml_case(driver: str) -> str:
+    return "CASE event_id % 4 " + " ".join(f"WHEN {i} THEN {O.q(x)}" for i, x in enumerate(_ML[driver])) + " END"
+
+
+def _ml_query(driver: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"{_ml_case(driver)} AS r")
+        return rows.select("event_id", ml.parse(driver, F.col("r")).alias("ml_score"))
+
+    run.__name__ = f"ml_parse_{driver}"
+    query(f"SELECT event_id, CASE WHEN r IS NULL THEN NULL ELSE {_ML_SCORES[driver]} END AS ml_score FROM (SELECT event_id, {_ml_case(driver)} AS r FROM events) AS x")(run)
+
+
+for _driver in ml.DRIVERS:
+    _ml_query(_driver)
+
+_BLEND = replace(PLAIN, ml=MlConfig(enabled=True, driver="ollama", trigger_range=(40, 95)))
+
+
+@query(
+    "WITH s AS (SELECT event_id, CAST(event_id % 101 AS INTEGER) AS score, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id * 7 % 101 AS INTEGER) END AS ml FROM events) "
+    "SELECT event_id, CASE WHEN ml IS NOT NULL AND score BETWEEN 40 AND 95 THEN least(CAST(trunc(score * 0.4::DOUBLE + ml * (1.0::DOUBLE - 0.4::DOUBLE)) AS INTEGER), 100) ELSE score END AS confidence_score, "
+    "CASE WHEN ml IS NOT NULL AND score BETWEEN 40 AND 95 THEN concat('p + ml:ollama(', ml, ')') ELSE 'p' END AS matched_pattern, "
+    "CASE WHEN ml >= 80 AND score BETWEEN 40 AND 95 AND event_id % 2 = 0 THEN 'ml:ollama' ELSE 'pattern' END AS threat_source FROM s"
+)
+def ml_combine(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "event_id", "CAST(event_id % 101 AS INT) AS score", "CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id * 7 % 101 AS INT) END AS ml"
+    )
+    found = result(F.lit("prompt_injection"), F.lit("pattern"), F.col("score"), F.lit("p"))
+    r = ml.combine(found, F.col("ml"), _BLEND, F.col("event_id") % 2 != 0)
+    return rows.select("event_id", r["confidence_score"].alias("confidence_score"), r["matched_pattern"].alias("matched_pattern"), r["threat_source"].alias("threat_source"))
+
+
+def _shipped(f: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Query]:
+    return {name: _shipped(f) for name, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _FOUND.items() if sql}
