@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,17 +24,21 @@ def contains_ci(hay: Column, needle: str) -> Column:
     return F.contains(ascii_lower(hay), F.lit(ascii_lower_text(needle)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.  Naming a column twice copies its whole expression into the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_needle(hay: Column, needles: list[str]) -> Column:
     """The place (from 1) of the first needle of the list that the text contains; null if none.
 
-    One branch a needle, inside generated code: no join, no shuffle, and rows stop at their first hit.
+    The list is one constant, so the expression stays small however long the list: no join, no shuffle.
     """
-    low = ascii_lower(hay)
-    out = None
-    for i, needle in enumerate(needles, 1):
-        test = F.contains(low, F.lit(ascii_lower_text(needle)))
-        out = F.when(test, F.lit(i)) if out is None else out.when(test, F.lit(i))
-    return out if out is not None else F.lit(None).cast("int")
+    if not needles:
+        return F.lit(None).cast("int")
+    lows = F.array(*[F.lit(ascii_lower_text(n)) for n in needles])
+    place = let(ascii_lower(hay), lambda low: F.array_position(F.transform(lows, lambda n: F.contains(low, n)), True))
+    return F.nullif(place, F.lit(0)).cast("int")
 
 
 def pick(place: Column, values: list) -> Column:
@@ -45,11 +51,15 @@ def byte_length(c: Column) -> Column:
 
 
 def byte_head(c: Column, n: int) -> Column:
-    """The first n bytes, less a code point that the cut would split."""
-    raw = c.cast("binary")
-    heads = [F.substring(raw, 1, max(n - k, 0)).cast("string") for k in range(4)]
-    whole = F.coalesce(*[F.when(F.is_valid_utf8(h), h) for h in heads], F.lit(""))
-    return F.when(byte_length(c) <= n, c).otherwise(whole)
+    """The first n bytes, less a code point that the cut would split; null for null."""
+
+    def cut(text: Column) -> Column:
+        raw = text.cast("binary")
+        heads = [F.substring(raw, 1, max(n - k, 0)).cast("string") for k in range(4)]
+        whole = F.coalesce(*[F.when(F.is_valid_utf8(h), h) for h in heads], F.lit(""))
+        return F.when(byte_length(text) <= n, text).when(text.isNotNull(), whole)
+
+    return let(c, cut)
 
 
 def snippet(c: Column, n: int) -> Column:

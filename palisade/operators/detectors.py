@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from palisade.config import Config
 from palisade.functions.patterns import BROWSER_HEADERS, INJECTIONS
-from palisade.functions.text import ascii_lower, ascii_lower_text, byte_length, contains_ci, first_needle, is_empty, jvm_regex, pick, snippet
+from palisade.functions.text import ascii_lower, ascii_lower_text, byte_length, contains_ci, first_needle, is_empty, jvm_regex, let, pick, snippet
 from palisade.operators.results import best, nothing, result
 from palisade.sources.catalog import signatures
 
@@ -79,23 +79,27 @@ def crawler(config: Config) -> Column:
     """The first configured crawler needle: score 95."""
     if not config.crawlers_enabled:
         return nothing()
-    hit = pick(first_needle(F.coalesce(F.col("user_agent"), F.lit("")), list(config.crawlers)), list(config.crawlers))
-    return F.when(hit.isNotNull(), result(F.lit("ai_crawler"), hit, F.lit(95), hit))
+    found = pick(first_needle(F.coalesce(F.col("user_agent"), F.lit("")), list(config.crawlers)), list(config.crawlers))
+    return let(found, lambda hit: F.when(hit.isNotNull(), result(F.lit("ai_crawler"), hit, F.lit(95), hit)))
 
 
 def harvester(config: Config) -> Column:
     """The first harvester needle scores 80; an empty Accept-Language adds 20, or stands alone with a null source."""
     if not config.harvesters_enabled:
         return nothing()
-    hit = pick(first_needle(F.coalesce(F.col("user_agent"), F.lit("")), list(config.harvesters)), list(config.harvesters))
-    score = F.when(hit.isNotNull(), 80).otherwise(0)
-    detected, pattern = hit.isNotNull(), hit
-    if config.check_accept_language:
-        silent = is_empty(header("Accept-Language"))
-        score = F.when(silent, F.least(score + 20, F.lit(100))).otherwise(score)
-        detected = detected | silent
-        pattern = F.coalesce(hit, F.lit("missing_accept_language"))
-    return F.when(detected, result(F.lit("data_harvester"), hit, score, pattern))
+    found = pick(first_needle(F.coalesce(F.col("user_agent"), F.lit("")), list(config.harvesters)), list(config.harvesters))
+
+    def judged(hit: Column) -> Column:
+        score = F.when(hit.isNotNull(), 80).otherwise(0)
+        detected, pattern = hit.isNotNull(), hit
+        if config.check_accept_language:
+            silent = is_empty(header("Accept-Language"))
+            score = F.when(silent, F.least(score + 20, F.lit(100))).otherwise(score)
+            detected = detected | silent
+            pattern = F.coalesce(hit, F.lit("missing_accept_language"))
+        return F.when(detected, result(F.lit("data_harvester"), hit, score, pattern))
+
+    return let(found, judged)
 
 
 def bot(config: Config, place: Column) -> Column:
@@ -111,11 +115,9 @@ def injection_pattern(value: Column) -> Column:
 
 def scan_value(value: Column, config: Config) -> Column:
     """The result for one text.  Longer than the limit in bytes: not scanned."""
-    pattern = F.when(byte_length(value) <= config.max_input_length, injection_pattern(value))
-    return F.when(
-        pattern.isNotNull(),
-        result(F.lit("prompt_injection"), F.lit("prompt_injection_pattern"), F.lit(90), pattern, snippet(value, config.max_payload_length)),
-    )
+    found = F.when(byte_length(value) <= config.max_input_length, injection_pattern(value))
+    cut = snippet(value, config.max_payload_length)
+    return let(found, lambda p: F.when(p.isNotNull(), result(F.lit("prompt_injection"), F.lit("prompt_injection_pattern"), F.lit(90), p, cut)))
 
 
 def detect_text(value: Column, config: Config = Config()) -> Column:  # noqa: B008

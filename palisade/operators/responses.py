@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.config import Config
 from palisade.functions.patterns import PII, SCANNED_TYPES
-from palisade.functions.text import byte_head, byte_length, contains_ci, jvm_regex, redact
+from palisade.functions.text import byte_head, byte_length, contains_ci, jvm_regex, let, redact
 from palisade.operators.results import result
 
 
@@ -20,28 +20,25 @@ def scannable(content_type: Column) -> Column:
 
 def leaks(body: Column, config: Config) -> Column:
     """type, label, severity and the redacted first match of each kind found, in table order."""
-    head = byte_head(body, config.max_response_length)
-    found = []
-    for kind, label, severity, pattern in PII:
-        if kind in config.pii_disabled:
-            continue
+    kinds = [p for p in PII if p[0] not in config.pii_disabled]
+
+    def one(head: Column, kind: str, label: str, severity: int, pattern: str) -> Column:
         regex = jvm_regex(pattern)
-        match = F.regexp_extract(head, regex, 0)
-        found.append(
-            F.when(
-                head.rlike(regex),
-                F.struct(F.lit(kind).alias("type"), F.lit(label).alias("label"), F.lit(severity).alias("severity"), redact(match).alias("matched")),
-            )
-        )
-    return F.array_compact(F.array(*found))
+        match = redact(F.regexp_extract(head, regex, 0))
+        return F.when(head.rlike(regex), F.struct(F.lit(kind).alias("type"), F.lit(label).alias("label"), F.lit(severity).alias("severity"), match.alias("matched")))
+
+    return let(byte_head(body, config.max_response_length), lambda head: F.array_compact(F.array(*[one(head, *p) for p in kinds])))
 
 
 def combine(found: Column) -> Column:
     """One result for a body's leaks: the gravest score, kinds and labels joined; null for none."""
-    kinds = F.array_join(F.transform(found, lambda x: x["type"]), ", ")
-    labels = F.array_join(F.transform(found, lambda x: x["label"]), ", ")
-    score = F.least(F.array_max(F.transform(found, lambda x: x["severity"])), F.lit(100))
-    return F.when(F.size(found) > 0, result(F.lit("pii_leak"), F.lit("response_scanner"), score, kinds, F.concat(F.lit("PII detected: "), labels)))
+
+    def joined(x: Column) -> Column:
+        score = F.least(F.array_max(x["severity"]), F.lit(100))
+        label = F.concat(F.lit("PII detected: "), F.array_join(x["label"], ", "))
+        return F.when(F.size(x) > 0, result(F.lit("pii_leak"), F.lit("response_scanner"), score, F.array_join(x["type"], ", "), label))
+
+    return let(found, joined)
 
 
 def scan_response(content_type: Column, body: Column, config: Config) -> Column:

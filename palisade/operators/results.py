@@ -34,7 +34,8 @@ def best(*candidates: Column) -> Column:
     """The highest score; of equal ones the first.  Null if no candidate is there."""
     if not candidates:
         return nothing()
-    ranked = F.array(
-        *[F.when(c.isNotNull(), F.struct(c["confidence_score"].alias("score"), F.lit(-i).alias("ord"), c.alias("r"))) for i, c in enumerate(candidates)]
+    ranked = F.transform(
+        F.array(*[c.cast(RESULT) for c in candidates]),
+        lambda c, i: F.when(c.isNotNull(), F.struct(c["confidence_score"].alias("score"), (-i).alias("ord"), c.alias("r"))),
     )
     return F.array_max(F.array_compact(ranked))["r"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.config import SIGNATURES, Config
-from palisade.functions.text import ascii_lower, ascii_lower_text, pick
+from palisade.functions.text import ascii_lower, ascii_lower_text, let, pick
 from palisade.operators.detectors import normal_path
 from palisade.operators.results import RESULT
 from palisade.sources.catalog import categories, signatures
@@ -80,18 +80,14 @@ def violation(config: Config, text: str | None, place: Column) -> Column:
 
 def boosted(found: Column, rule: Column, boost: int) -> Column:
     """A bot's result with the boost for breaking a rule."""
-    return F.when(
-        found.isNotNull() & rule.isNotNull(),
-        F.struct(
-            found["threat_type"].alias("threat_type"),
-            found["threat_source"].alias("threat_source"),
-            F.least(found["confidence_score"] + boost, F.lit(100)).alias("confidence_score"),
-            F.concat(found["matched_pattern"], F.lit(" + robots.txt disallow: "), rule).alias("matched_pattern"),
-            found["payload_snippet"].alias("payload_snippet"),
-            found["bot_category"].alias("bot_category"),
-            found["bot_label"].alias("bot_label"),
-        ).cast(RESULT),
-    ).otherwise(found)
+
+    def raised(x: Column) -> Column:
+        score = F.least(x["r"]["confidence_score"] + boost, F.lit(100))
+        pattern = F.concat(x["r"]["matched_pattern"], F.lit(" + robots.txt disallow: "), x["rule"])
+        more = x["r"].withField("confidence_score", score).withField("matched_pattern", pattern).cast(RESULT)
+        return F.when(x["r"].isNotNull() & x["rule"].isNotNull(), more).otherwise(x["r"])
+
+    return let(F.struct(found.cast(RESULT).alias("r"), rule.alias("rule")), raised)
 
 
 def selected(option: str | None = None, everything: bool = False) -> list[str]:

@@ -65,7 +65,9 @@ def _headers(config: Config) -> Column:
 def log_rows(found: DataFrame, phase: int, config: Config) -> DataFrame:
     """Threat rows of detections; ``id`` is the request's twice, plus the phase (0 inbound, 1 outbound)."""
     t = F.col("threat")
-    return found.where("threat IS NOT NULL").select(
+    # A filter would be pushed under the projection and the detectors run twice; a row for each threat runs them once.
+    threat = F.array_compact(F.array("threat"))
+    return found.select(*[c for c in found.columns if c != "threat"], F.explode(threat).alias("threat")).select(
         (F.col("request_id") * 2 + phase).alias("id"),
         F.col("ip").alias("ip_address"),
         "user_agent",
