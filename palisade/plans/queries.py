@@ -404,10 +404,10 @@ _DECAY = LIMITED.decay_minutes * 60_000_000
 
 
 @query(
-    f"WITH RECURSIVE {O.REQ}, att AS (SELECT request_id, epoch_us(ts) AS at, {_KEY} AS rate_key, row_number() OVER (PARTITION BY {_KEY} ORDER BY ts, request_id) AS rn FROM req), "
-    "fold AS (SELECT request_id, rate_key, rn, true AS allowed, at AS opened, 1 AS hits FROM att WHERE rn = 1 UNION ALL "
-    f"SELECT a.request_id, a.rate_key, a.rn, a.at >= f.opened + {_DECAY} OR f.hits < {LIMITED.max_attempts}, CASE WHEN a.at >= f.opened + {_DECAY} THEN a.at ELSE f.opened END, "
-    f"CASE WHEN a.at >= f.opened + {_DECAY} THEN 1 ELSE least(f.hits + 1, {LIMITED.max_attempts}) END FROM fold AS f JOIN att AS a ON a.rate_key = f.rate_key AND a.rn = f.rn + 1) "
+    f"WITH RECURSIVE {O.REQ}, att AS (SELECT request_id, epoch_us(ts) AS us, {_KEY} AS rate_key, row_number() OVER (PARTITION BY {_KEY} ORDER BY ts, request_id) AS rn FROM req), "
+    "fold AS (SELECT request_id, rate_key, rn, true AS allowed, us AS opened, 1 AS hits FROM att WHERE rn = 1 UNION ALL "
+    f"SELECT a.request_id, a.rate_key, a.rn, a.us >= f.opened + {_DECAY} OR f.hits < {LIMITED.max_attempts}, CASE WHEN a.us >= f.opened + {_DECAY} THEN a.us ELSE f.opened END, "
+    f"CASE WHEN a.us >= f.opened + {_DECAY} THEN 1 ELSE least(f.hits + 1, {LIMITED.max_attempts}) END FROM fold AS f JOIN att AS a ON a.rate_key = f.rate_key AND a.rn = f.rn + 1) "
     "SELECT request_id, rate_key, allowed FROM fold"
 )
 def rate_limiter(spark, sf_dir):
