@@ -435,7 +435,7 @@ _ML_SCORES = {
         "CASE WHEN json_extract_string(r, '$.results[1].scanner') = 'PromptInjection' THEN CAST(trunc(100 * CAST(json_extract_string(r, '$.results[1].risk_score') AS DOUBLE)) AS INTEGER) "
         "WHEN json_extract_string(r, '$.is_valid') = 'false' THEN 90 ELSE 5 END"
     ),
-    "ollama": "least(TRY_CAST(nullif(regexp_extract(json_extract_string(r, '$.response'), '\\b([0-9]{1,3})\\b', 1), '') AS INTEGER), 100)",
+    "ollama": "CASE WHEN regexp_extract(json_extract_string(r, '$.response'), '\\b([0-9]{1,3})\\b', 1) <> '' THEN least(CAST(regexp_extract(json_extract_string(r, '$.response'), '\\b([0-9]{1,3})\\b', 1) AS INTEGER), 100) END",
     "custom": (
         "CASE WHEN json_extract_string(r, '$.score') LIKE '%.%' AND CAST(json_extract_string(r, '$.score') AS DOUBLE) <= 1 THEN CAST(CAST(json_extract_string(r, '$.score') AS DOUBLE) * 100 AS INTEGER) "
         "ELSE least(CAST(json_extract_string(r, '$.score') AS INTEGER), 100) END"
