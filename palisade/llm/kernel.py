@@ -80,6 +80,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             at = to
 
 
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes."""
+    p, q = powers(BYTE_BASE, len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], dtype=np.uint64, out=total[1:])
+    h = (total[ends] - total[starts]) * q[starts]
+    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(WORD_BASE))
+
+
 class Words:
     """The words of many texts: maximal runs of bytes for which ``kind`` holds.
 
@@ -116,11 +125,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
         if self._hash is None:
-            p, q = powers(BYTE_BASE, len(self.data) + 1)
-            total = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p[: len(self.data)], dtype=np.uint64, out=total[1:])
-            h = (total[self.ends] - total[self.starts]) * q[self.starts]
-            self._hash = mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(WORD_BASE))
+            self._hash = hashes(self.data, self.starts, self.ends)
         return self._hash
 
     def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

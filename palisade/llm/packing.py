@@ -10,9 +10,10 @@ each bin packs by itself, so a task's work is bounded and a repeated task gives
 sequences.  A bin wastes at most its last windows.  ``sequence_id`` is local number times
 bins plus bin, so it is unique and almost gapless.
 
-Tokenising: texts in Latin letters without special strings are cut by an equivalent of the
-tokenizer's own pattern, and each distinct word goes through the library once a worker;
-all other texts go through the library whole.
+Tokenising: texts are cut where the tokenizer cuts whatever stands around (at white space,
+around ASCII digits, between ASCII letters and signs), and each distinct word goes through the
+library once a worker while its cache has room.  Slices with a special string are cut at white
+space only.  Words meet by a 64-bit hash within a slice of about 2 MB.
 
 Defined results: a null or empty text is the end id alone (length 1); equal rows are packed
 separately; null doc_ids are kept; empty tables give no rows.
@@ -23,7 +24,6 @@ from __future__ import annotations
 import functools
 import os
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -32,17 +32,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.kernel import slices
-from palisade.llm.token_transducer import WHITE
+from palisade.llm.kernel import LOWER, Words, buffers, hashes, slices
 from palisade.session import materialise
 
 WINDOW = 4096
 END_ID = 2
 BIN_ROWS = 50_000
 #: Words whose ids a worker remembers at most.
-CACHE_WORDS = 400_000
-#: Texts within these characters, whose lower case is there too, take the short way.
-LATIN_END = 0x250
+CACHE_WORDS = 800_000
+DIGITS = re.compile(rb"[0-9]")
+#: Kinds of bytes: white space, ASCII letters, digits, apostrophe, other ASCII, beyond ASCII.
+KIND = np.full(256, 4, np.uint8)
+KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+KIND[65:91] = KIND[97:123] = 1
+KIND[48:58] = 2
+KIND[39] = 3
+KIND[128:] = 5
+#: Where the tokenizer's pattern always cuts, by the kinds of neighbouring bytes: at white space,
+#: around each digit, and between letters and other signs; an apostrophe may belong to the letters after it.
+CUTS = np.zeros((6, 6), bool)
+CUTS[0, :] = CUTS[:, 0] = True
+CUTS[2, 1:5] = CUTS[1:5, 2] = True
+CUTS[1, 3:5] = CUTS[4, 1] = True
 
 
 class CapacityTree:
@@ -99,52 +110,81 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
     return sequence, offset
 
 
-@functools.cache
-def _patterns() -> tuple[re.Pattern, re.Pattern]:
-    """Cuts a lower-cased Latin text as the tokenizer does; finds what is not such a text."""
-    chars = [chr(c) for c in range(LATIN_END)]
-    kind = lambda k: "".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == k)
-    letters, numbers, white = kind("L"), kind("N"), "".join(re.escape(chr(c)) for c in WHITE if c < LATIN_END)
-    words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+")
-    plain = "".join(re.escape(c) for c in chars if len(c.lower()) == 1 and ord(c.lower()) < LATIN_END)
-    return words, re.compile(f"[^{plain}]|<\\|startoftext\\|>|<\\|endoftext\\|>")
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of stretches that the tokenizer encodes one by one, white space left out."""
+    kind = KIND[data]
+    word = kind != 0
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    cut[1:-1] |= CUTS[kind[:-1], kind[1:]]
+    starts = np.flatnonzero(word & cut[:-1])
+    ends = np.flatnonzero(word & cut[1:]) + 1
+    return starts, ends
 
 
 class Encoder:
-    """Little-endian 32-bit ids of many texts."""
+    """Token ids of many texts at once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.odd = _patterns()
-        self.cache: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if not text:
-                cut.append([])
-            elif self.odd.search(text):
-                cut.append(None)
-            else:
-                cut.append(self.words.findall(text.lower()))
-        need = set().union(*[words for words in cut if words]) if any(cut) else set()
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        (self.zero,) = self.tokenizer.encode("0", add_special_tokens=False).ids
+        self.cache: dict[bytes, bytes] = {}
+
+    def _learn(self, need: list[bytes]) -> None:
+        """Puts the ids of all these words into the cache."""
         missing = [w for w in need if w not in self.cache]
         if len(self.cache) + len(missing) > CACHE_WORDS:
             self.cache.clear()
-            missing = list(need)
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            self.cache.update(zip(part, self._library(part)))
-        whole = iter(self._library([t for t, words in zip(texts, cut) if words is None]))
-        look = self.cache.__getitem__
-        return [next(whole) if words is None else b"".join(map(look, words)) for words in cut]
+            missing = need
+        # Between words without digits a digit is a token of its own: many words make one text.
+        plain = [w for w in missing if not DIGITS.search(w)]
+        odd = [w for w in missing if DIGITS.search(w)]
+        for at in range(0, len(plain), 1000):
+            part = plain[at : at + 1000]
+            (found,) = self.tokenizer.encode_batch_fast([b"0".join(part).decode()], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            places = (4 * np.flatnonzero(ids == self.zero)).tolist()
+            body = ids.tobytes()
+            self.cache.update((w, body[a:b]) for w, a, b in zip(part, [0, *(x + 4 for x in places)], [*places, len(body)], strict=True))
+        for at in range(0, len(odd), 20_000):
+            part = odd[at : at + 20_000]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the offsets of each text's ids in them."""
+        data, offsets = buffers(texts)
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        whole = data.tobytes()
+        if any(s in whole for s in self.special):
+            words = Words(texts)
+            starts, ends = words.starts, words.ends
+        else:
+            # Not before a byte beyond ASCII: a capital may compose with the mark that follows it.
+            data = np.where(np.append(data[1:], 0) < 0x80, LOWER[data], data).astype(np.uint8)
+            whole = data.tobytes()
+            starts, ends = units(data, offsets)
+        found = pa.array(hashes(data, starts, ends)).dictionary_encode()
+        which = found.indices.to_numpy()
+        first = np.empty(len(found.dictionary), np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+        distinct = [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        self._learn(distinct)
+        ids = [self.cache[w] for w in distinct]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        begin = np.cumsum(sizes) - sizes
+        length = sizes[which]
+        after = np.zeros(len(which) + 1, np.int64)
+        np.cumsum(length, out=after[1:])
+        take = np.repeat(begin[which] - after[:-1], length)
+        take += np.arange(len(take))
+        return flat[take], after[np.searchsorted(starts, offsets)]
 
 
 @functools.cache
@@ -161,15 +201,18 @@ def cut_documents(
         encode, end, step = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * window
         for part in slices(batches, "text"):
             row, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, found in enumerate(encode(part.column(1).to_pylist())):
-                found += end
-                for at in range(0, len(found), step):
-                    piece = found[at : at + step]
+            found, offsets = encode(part.column(1))
+            body, bounds = found.tobytes(), (4 * offsets).tolist()
+            for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+                for at in range(0, b - a + 4, step):
+                    piece = body[a + at : min(b, a + at + step)]
+                    if a + at + step > b:
+                        piece += end
                     row.append(i)
                     start.append(at // 4)
                     length.append(len(piece) // 4)
                     crc.append(zlib.crc32(piece))
-                    total.append(len(found) // 4)
+                    total.append((b - a) // 4 + 1)
                     if with_ids:
                         ids.append(piece)
             columns = [part.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
