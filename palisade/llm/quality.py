@@ -3,13 +3,13 @@
 The language model is a modified Kneser-Ney model of order 5 over the UTF-8 bytes of the
 text (white space collapsed to one blank), estimated from all documents of all languages:
 the bytes before tell the language, and a text that quotes another one is scored fairly.
-Spark counts the 5-grams; a gram's place is a hash folded to ``SLOT_BITS``
-bits, tasks pre-aggregate into arrays of that size, and so the counts that meet again are
-at most 2**SLOT_BITS rows whatever the corpus: that is the proven bound of what the driver
-smooths and broadcasts.  Lower orders use continuation counts of the order above.
+Spark counts every 5-gram and smooths the counts in tables that grow with the corpus; lower
+orders use continuation counts of the order above, and each 5-gram gets its probability
+interpolated over all orders.  No gram is folded, cut off or capped.
 
-The model is stored in sorted hash arrays: for each order the hashes of its grams with
-log probabilities, and of its contexts with log back-off weights.
+The model is stored in sorted hash arrays, in as many shards as its size asks for: each of
+about ``SHARD_GRAMS`` grams (48 MB), which bounds what the driver holds and a worker loads at
+once.  All texts scored were counted, so no text has a gram that the model lacks.
 
 A document is rejected where its log perplexity leaves its language's band: the median
 less ``LOWER_WIDTH`` to plus ``UPPER_WIDTH`` robust deviations, wider for short texts, whose
@@ -22,19 +22,22 @@ verdict; repeated rows count like any others; empty tables give none.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.kernel import SPACE, Words, buffers, mix, slices
+from palisade.llm.kernel import SLICE_BYTES, SPACE, Words, buffers, mix, slices
 from palisade.session import materialise
 
 ORDER = 5
-SLOT_BITS = 22
+#: Grams in a shard of the model, and different grams a task holds before it sends them on.
+SHARD_GRAMS, TASK_GRAMS = 4_000_000, 4_000_000
+#: A gram's shard: its key modulo the prime, times the factor, without the last bits, modulo the shards.
+SHARD_PRIME, SHARD_FACTOR, SHARD_SHIFT = 2147483647, 1103515245, 20
 #: The reach of a band below and above the median, in robust deviations, and the least deviation.
 LOWER_WIDTH, UPPER_WIDTH, LEAST_DEVIATION = 6.0, 3.5, 0.02
 #: A text of a third of this many bytes has a mean twice as noisy as a very long one.
@@ -53,6 +56,7 @@ def grams(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     blank = SPACE[data]
     keep = np.ones(len(data), bool)
     keep[1:] = ~(blank[1:] & blank[:-1])
+    keep[offsets[:-1][offsets[:-1] < len(data)]] = True
     stream = np.where(blank, np.uint8(32), data)[keep].astype(np.uint64)
     left = np.zeros(len(data) + 1, np.int64)
     np.cumsum(keep, out=left[1:])
@@ -67,111 +71,111 @@ def grams(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row[: len(key)][inside], key[inside]
 
 
-def slots(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
 def count_grams(docs: DataFrame) -> DataFrame:
-    """slot, key, n of every 5-gram of the texts."""
+    """key, n of every 5-gram of the texts: tasks count what they read, Spark adds up by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, of = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.uint64)
+        keys, counts, held = [], [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            key, where = np.unique(np.concatenate(keys), return_inverse=True)
+            return key, np.bincount(where, np.concatenate(counts)).astype(np.int64)
+
+        def out(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(key), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)].view(np.int64)), pa.array(n[a : a + (1 << 16)])], names=["key", "n"])
+
         for part in slices(batches, "text"):
-            _, key = grams(part.column(0))
-            place = slots(key)
-            order = np.sort(place)
-            edges = np.flatnonzero(np.diff(order, prepend=-1))
-            n[order[edges]] += np.diff(np.append(edges, len(order))).astype(np.int32)
-            of[place] = key
-        used = np.flatnonzero(n)
-        for a in range(0, len(used), 1 << 16):
-            u = used[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(of[u].view(np.int64)), pa.array(n[u].astype(np.int64))], names=["slot", "key", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "slot int, key long, n long")
-    return counts.groupBy("slot").agg(F.max("key").alias("key"), F.sum("n").alias("n"))
-
-
-@dataclass
+            key, which = distinct(grams(part.column(0))[1])
+            keys.append(key)
+            counts.append(np.bincount(which, minlength=len(key)))
+            held += len(key)
+            if held > TASK_GRAMS:
+                key, n = merged()
+                if len(key) > TASK_GRAMS // 2:
+                    yield from out(key, n)
+                    key, n = key[:0], n[:0]
+                keys, counts, held = [key], [n], len(key)
+        if held:
+            yield from out(*merged())
+
+    counts = docs.select("text").mapInArrow(run, "key long, n long")
+    return counts.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, and which of them each key is."""
+    found = pa.array(key).dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False), found.indices.to_numpy(zero_copy_only=False)
+
+
+def discounts(seen: dict[int, int]) -> list[float]:
+    """Modified Kneser-Ney's discounts of counts 1, 2 and more, from how many grams have counts 1 to 4."""
+    n = [max(1.0, float(seen.get(i, 0))) for i in range(1, 5)]
+    y = n[0] / (n[0] + 2 * n[1])
+    return [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.1), i - 0.1) for i in (1, 2, 3)]
+
+
+def fit(counts: DataFrame) -> DataFrame:
+    """key, logp of every 5-gram: probabilities interpolated over all orders, computed by Spark.
+
+    A level holds the grams of an order with their counts, or below the highest with how many
+    different bytes come before them.  A context has at most 256 grams, and so has a suffix.
+    """
+    levels = {ORDER: materialise(counts, "grams")}
+    for order in range(ORDER - 1, 0, -1):
+        suffix = F.col("key").bitwiseAND(F.lit((1 << (8 * order)) - 1))
+        levels[order] = materialise(levels[order + 1].groupBy(suffix.alias("key")).agg(F.count(F.lit(1)).alias("n")), "grams")
+    seen: dict[int, dict[int, int]] = {order: {} for order in levels}
+    rare = [level.where("n <= 4").select(F.lit(order).alias("level"), "n") for order, level in levels.items()]
+    for row in functools.reduce(DataFrame.union, rare).groupBy("level", "n").count().collect():  # at most 20 rows
+        seen[row.level][row.n] = row["count"]
+    below = None
+    for order in range(1, ORDER + 1):
+        one, two, more = discounts(seen[order])
+        level = levels[order].selectExpr("key", "n", f"least(CASE n WHEN 1 THEN {one}D WHEN 2 THEN {two}D ELSE {more}D END, n) AS less", "shiftright(key, 8) AS context")
+        contexts = level.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("less") / F.sum("n")).alias("gamma"))
+        level = level.join(contexts, "context")
+        if below is None:
+            level = level.withColumn("lower", F.lit(1 / 256))
+        else:
+            level = level.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << (8 * (order - 1))) - 1))).join(below, "suffix")
+        below = level.select(F.col("key").alias("suffix"), F.expr("(n - less) / total + gamma * lower").alias("lower"))
+    return below.select(F.col("suffix").alias("key"), F.log("lower").cast("float").alias("logp"))
+
+
 class Model:
-    """Sorted hash arrays by order: grams with log probability, contexts with log back-off."""
-
-    hashes: list[np.ndarray]
-    logp: list[np.ndarray]
-    contexts: list[np.ndarray]
-    backoff: list[np.ndarray]
-
-    @staticmethod
-    def fit(key: np.ndarray, n: np.ndarray) -> "Model":
-        """Modified Kneser-Ney from counts of the highest order."""
-        levels = [(key, n.astype(np.float64))]
-        for order in range(ORDER - 1, 0, -1):
-            above = levels[-1][0]
-            suffix = above & np.uint64((1 << (8 * order)) - 1)
-            k, c = np.unique(suffix, return_counts=True)
-            levels.append((k, c.astype(np.float64)))
-        model = Model([], [], [], [])
-        below_key, below_p = None, None
-        for order, (k, c) in enumerate(reversed(levels), 1):
-            context, inverse = np.unique(k >> np.uint64(8), return_inverse=True)
-            seen = [max(1.0, float((c == i).sum())) for i in range(1, 5)]
-            y = seen[0] / (seen[0] + 2 * seen[1])
-            cut = [min(max(i - (i + 1) * y * seen[i] / seen[i - 1], 0.1), i - 0.1) for i in (1, 2, 3)]
-            less = np.select([c < 2, c < 3], cut[:2], cut[2])
-            total = np.bincount(inverse, c)
-            gamma = np.bincount(inverse, np.minimum(less, c)) / total
-            if order == 1:
-                lower = np.full(len(k), 1 / 256)
-            else:
-                suffix = k & np.uint64((1 << (8 * (order - 1))) - 1)
-                lower = below_p[np.searchsorted(below_key, suffix)]
-            p = np.maximum(c - less, 0) / total[inverse] + gamma[inverse] * lower
-            below_key, below_p = k, p
-            hashed, ctx = mix(k), mix(context)
-            a, b = np.argsort(hashed), np.argsort(ctx)
-            model.hashes.append(hashed[a])
-            model.logp.append(np.log(p[a]).astype(np.float32))
-            model.contexts.append(ctx[b])
-            model.backoff.append(np.log(gamma[b]).astype(np.float32))
-        return model
-
-    def index(self) -> "Scorer":
-        return Scorer(self)
-
-
-class Scorer:
-    """Looks grams up: the highest order through a table over the hash's first bits, the others by bisection."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        top = (model.hashes[-1] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        self.place = np.zeros(1 << SLOT_BITS, np.int32)
-        self.place[top] = np.arange(len(top))
+    """Sorted hash arrays of grams with log probabilities, broadcast in shards of bounded size.
+
+    A worker with one shard keeps it; of several it loads one after the other for each slice of
+    texts, so memory is bounded whatever the model's size.
+    """
+
+    def __init__(self, table: DataFrame, shard_grams: int):
+        spark = table.sparkSession
+        table = materialise(table, "model")
+        self.n = max(1, -(-table.count() // shard_grams))
+        place = F.expr(f"pmod(shiftright(pmod(key, {SHARD_PRIME}) * {SHARD_FACTOR}, {SHARD_SHIFT}), {self.n})")
+        self.shards = []
+        for i in range(self.n):
+            found = table.where(place == i).toArrow()
+            hashed = mix(found.column("key").to_numpy().view(np.uint64))
+            order = np.argsort(hashed)
+            self.shards.append(spark.sparkContext.broadcast((hashed[order], found.column("logp").to_numpy()[order])))
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
-        model, hashed = self.model, mix(key)
-        if not len(model.hashes) or not len(model.hashes[-1]):
-            return np.full(len(key), np.log(1 / 256))
-        at = self.place[(hashed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-        out = model.logp[-1][at].astype(np.float64)
-        todo = np.flatnonzero(model.hashes[-1][at] != hashed)
-        rest = key[todo]
-        weight = np.zeros(len(todo))
-        for order in range(ORDER, 0, -1):
-            if not len(todo):
-                return out
-            context = mix(rest >> np.uint64(8))
-            where = np.minimum(np.searchsorted(model.contexts[order - 1], context), len(model.contexts[order - 1]) - 1)
-            weight += np.where(model.contexts[order - 1][where] == context, model.backoff[order - 1][where], 0)
-            if order == 1:
-                out[todo] = weight + np.log(1 / 256)
-                return out
-            rest = rest & np.uint64((1 << (8 * (order - 1))) - 1)
-            h = mix(rest)
-            where = np.minimum(np.searchsorted(model.hashes[order - 2], h), len(model.hashes[order - 2]) - 1)
-            hit = model.hashes[order - 2][where] == h
-            out[todo[hit]] = weight[hit] + model.logp[order - 2][where[hit]]
-            todo, rest, weight = todo[~hit], rest[~hit], weight[~hit]
+        """Log probabilities of the keys; every gram of the corpus is in the model."""
+        out = np.zeros(len(key))
+        signed = key.astype(np.int64)
+        place = ((signed % SHARD_PRIME * SHARD_FACTOR) >> SHARD_SHIFT) % self.n
+        for i, shard in enumerate(self.shards):
+            mine = np.flatnonzero(place == i)
+            if not len(mine):
+                continue
+            hashed, logp = shard.value
+            out[mine] = logp[np.searchsorted(hashed, mix(key[mine]))]
+            if self.n > 1:
+                vars(shard).pop("_value", None)
         return out
 
 
@@ -217,24 +221,21 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def quality(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER_WIDTH, upper: float = UPPER_WIDTH, carry: tuple[str, ...] = ()
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER_WIDTH, upper: float = UPPER_WIDTH, carry: tuple[str, ...] = (),
+    shard_grams: int = SHARD_GRAMS,
 ) -> DataFrame:
     """doc_id, the base columns, base_failed, log_perplexity (per byte), kept, and the columns to carry."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), *carry)
-    counted = count_grams(rows).select("key", "n").toArrow()
-    key = counted.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    model = spark.sparkContext.broadcast(Model.fit(key[order], counted.column("n").to_numpy()[order]))
+    model = Model(fit(count_grams(rows)), shard_grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = model.value.index()
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES * min(model.n, 4)):
             text = part.column(1)
             base = base_columns(text)
             row, gram = grams(text)
+            key, which = distinct(gram)
             n = np.bincount(row, minlength=len(text))
-            mean = -np.bincount(row, score(gram), len(text)) / np.maximum(n, 1)
+            mean = -np.bincount(row, model(key)[which], len(text)) / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays(
                 [part.column(2), part.column(0), *(pa.array(base[c], pa.int64()) for c in BASE), pa.array(n, pa.int64()), pa.array(mean, mask=n == 0), *part.columns[3:]],
                 names=["doc_id", "lang", *BASE, "n_grams", "log_perplexity", *carry],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -99,3 +100,23 @@ def targets(sizes):
         if not over:
             return target | {s: 2.0 * sizes[s] for s in full}
         full |= over
+
+
+def perplexities(texts, order=5):
+    """Mean negative log probability of each text's byte 5-grams under interpolated modified Kneser-Ney of them all."""
+    streams = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode() for t in texts]
+    of = [[s[i : i + order] for i in range(len(s) - order + 1)] for s in streams]
+    levels = [Counter(g for found in of for g in found)]
+    for _ in range(order - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    p = {b"": 1 / 256}
+    for level in reversed(levels):
+        n = [max(1, sum(c == i for c in level.values())) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        cut = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.1), i - 0.1) for i in (1, 2, 3)]
+        total, freed = Counter(), Counter()
+        for g, c in level.items():
+            total[g[:-1]] += c
+            freed[g[:-1]] += min(cut[min(c, 3) - 1], c)
+        p = {g: (c - min(cut[min(c, 3) - 1], c) + freed[g[:-1]] * p[g[1:] if len(g) > 1 else b""]) / total[g[:-1]] for g, c in level.items()}
+    return [-sum(math.log(p[g]) for g in found) / len(found) if found else None for found in of]

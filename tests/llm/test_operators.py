@@ -144,6 +144,19 @@ def test_op6(spark, sf, docs):
     assert not any(r.base_failed and r.kept for r in rows) and any(r.kept for r in rows)
 
 
+def test_perplexity(spark, sf, docs):
+    from palisade.llm.quality import quality
+    from palisade.session import ship
+
+    ship(spark)
+    want = dict(zip([d for d, _, _ in docs], brute.perplexities([t for _, t, _ in docs])))
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    for shard_grams in (10**6, 1500):  # one shard, and many
+        got = {r.doc_id: r.log_perplexity for r in quality(table, shard_grams=shard_grams).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[d] == pytest.approx(want[d], rel=1e-5) if want[d] is not None else got[d] is None for d in want)
+
+
 def test_op7(spark, sf, docs):
     rows = run(spark, sf, "op7")
     want = {d: brute.base_licenses(t) for d, t, _ in docs}
