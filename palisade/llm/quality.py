@@ -35,7 +35,7 @@ from palisade.session import materialise
 
 ORDER = 5
 #: Grams in a shard of the model, and different grams a task holds before it sends them on.
-SHARD_GRAMS, TASK_GRAMS = 4_000_000, 4_000_000
+SHARD_GRAMS, TASK_GRAMS = 4_000_000, 1_000_000
 #: A gram's shard: its key modulo the prime, times the factor, without the last bits, modulo the shards.
 SHARD_PRIME, SHARD_FACTOR, SHARD_SHIFT = 2147483647, 1103515245, 20
 #: The reach of a band below and above the median, in robust deviations, and the least deviation.
