@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from palisade.llm.components import connected_components
 from palisade.llm.kernel import slices
 from palisade.llm.shingles import BANDS, ROWS, SHINGLE, SKETCH_BITS, Shingles, bands, largest_xor, odd_sketches
-from palisade.session import materialise
+from palisade.session import materialise, release
 
 #: Linked: 100 * common >= PERCENT * union.
 PERCENT = 85
@@ -139,6 +139,7 @@ def near_duplicates(
         .where("doc_id <=> r_id AND tkey = r_key")
     )
     keys = materialise(banded.select("node", F.explode("bands").alias("bkey")).distinct(), "bands")
+    release(docs.sparkSession)
     buckets = (
         keys.groupBy("bkey")
         .agg(F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("members"), F.max("node").alias("top"))
@@ -148,6 +149,7 @@ def near_duplicates(
         .selectExpr("bkey", f"CAST(ceil(m / {block}) AS INT) AS g")
     )
     members = materialise(keys.join(buckets, "bkey"), "members")
+    release(docs.sparkSession)
 
     wanted = members.select("node").distinct()
     reps = nodes.join(wanted, "node", "left_semi").select("node", F.col("rep.doc_id").alias("r_id"), F.col("rep.tkey").alias("r_key"))
@@ -169,6 +171,7 @@ def near_duplicates(
         .applyInArrow(lambda table: bucket_links(table, percent, far), "a long, b long")
     )
     labels = connected_components(links)
+    release(docs.sparkSession)
 
     named = (
         feats.where("n > 0")
