@@ -40,6 +40,8 @@ SHARD_GRAMS, TASK_GRAMS = 4_000_000, 1_000_000
 SHARD_PRIME, SHARD_FACTOR, SHARD_SHIFT = 2147483647, 1103515245, 20
 #: The reach of a band below and above the median, in robust deviations, and the least deviation.
 LOWER_WIDTH, UPPER_WIDTH, LEAST_DEVIATION = 6.0, 3.5, 0.02
+#: Quartiles are of perplexities rounded to this step.
+STEP = 0.0005
 #: A text of a third of this many bytes has a mean twice as noisy as a very long one.
 NOISE_BYTES = 1800.0
 
@@ -246,11 +248,13 @@ def quality(
     scored = materialise(rows.mapInArrow(run, schema), "quality")
     failed = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words")
     scored = scored.withColumn("base_failed", failed)
-    # Quartiles by language from mergeable sketches over every text that passes the base rules.
+    # Quartiles by language over every text that passes the base rules: from counts by step, so reruns agree.
     bands = (
         scored.where("NOT base_failed AND log_perplexity IS NOT NULL")
+        .groupBy("lang", F.round(F.col("log_perplexity") / STEP).cast("long").alias("step"))
+        .agg(F.count(F.lit(1)).alias("texts"))
         .groupBy("lang")
-        .agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 2000).alias("q"))
+        .agg(F.expr(f"transform(percentile(step, array(0.25D, 0.5D, 0.75D), texts), x -> x * {STEP}D)").alias("q"))
         .selectExpr("lang AS band_lang", "q[1] AS middle", f"greatest((q[2] - q[0]) / 1.349, {LEAST_DEVIATION}) AS deviation")
     )
     noise = f"deviation * sqrt(1 + {NOISE_BYTES} / greatest(n_grams, 1))"
