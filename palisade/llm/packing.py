@@ -13,7 +13,7 @@ bins plus bin, so it is unique and almost gapless.
 Tokenising: texts are cut where the tokenizer cuts whatever stands around (at white space,
 around ASCII digits, between ASCII letters and signs), and each distinct word goes through the
 library once a worker while its cache has room.  Slices with a special string are cut at white
-space only.  Words meet by a 64-bit hash within a slice of about 2 MB.
+space only.  Words meet by a 64-bit hash within a slice of about 1 MB.
 
 Defined results: a null or empty text is the end id alone (length 1); equal rows are packed
 separately; null doc_ids are kept; empty tables give no rows.
