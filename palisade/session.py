@@ -27,11 +27,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+#: Rows that Spark hands to a Python worker at once: whole texts, so Spark's own 10,000 can be very large.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give Python workers this package, once for each Spark application."""
+    """Give Python workers this package, once for each Spark application, and bound their batches unless the user did."""
     import palisade
 
     context = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     if getattr(context, "_palisade_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="palisade-ship-")
