@@ -53,7 +53,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]
     rows = docs.toDF(*plain)
-    judged = quality(rows, _column(names, "doc_id"), _column(names, "text"), _column(names, "lang"), carry=tuple(plain))
+    judged = quality(rows, _column(names, "doc_id"), _column(names, "text"), _column(names, "lang"), carry=tuple(plain), plain=False)
     return _named(judged.where("kept"), names)
 
 

@@ -1,23 +1,25 @@
 """Quality rules: repetition and length rules, and n-gram perplexity bands by language.
 
 The language model is a modified Kneser-Ney model of order 5 over the UTF-8 bytes of the
-text (white space collapsed to one blank), estimated from all documents of all languages:
-the bytes before tell the language, and a text that quotes another one is scored fairly.
+text (white space collapsed to one blank), estimated from documents of all languages: the
+bytes before tell the language, and a text that quotes another one is scored fairly.
 Spark counts every 5-gram and smooths the counts in tables that grow with the corpus; lower
 orders use continuation counts of the order above, and each 5-gram gets its probability
 interpolated over all orders.  No gram is folded, cut off or capped.
 
-The model is stored in sorted hash arrays, in as many shards as its size asks for: each of
-about ``SHARD_GRAMS`` grams (48 MB), which bounds what the driver holds and a worker loads at
-once.  All texts scored were counted, so no text has a gram that the model lacks.
+Equal texts count once, in the model and in the bands, however many rows hold them.
 
-A document is rejected where its log perplexity leaves its language's band: the median
-less ``LOWER_WIDTH`` to plus ``UPPER_WIDTH`` robust deviations, wider for short texts, whose
-mean is noisier.
+The models are stored in sorted hash arrays, in as many shards as their size asks for: each
+of about ``SHARD_GRAMS`` entries (48 MB), which bounds what the driver holds and a worker
+loads at once.
+
+A document is rejected where its held-out log perplexity leaves its language's band: the
+median less ``LOWER_WIDTH`` to plus ``UPPER_WIDTH`` robust deviations, wider for short texts,
+whose mean is noisier.
 
 Defined results: null and empty texts have no words and fail the base rules; a null
 language is a language of its own; texts under 5 bytes have no perplexity and keep the base
-verdict; repeated rows count like any others; empty tables give none.
+verdict; repeated rows are judged like any others; empty tables give none.
 """
 
 from __future__ import annotations
@@ -34,6 +36,11 @@ from palisade.llm.kernel import SLICE_BYTES, SPACE, Words, buffers, mix, slices
 from palisade.session import materialise
 
 ORDER = 5
+#: Models by fold; PLAIN is the one of all rows, copies and the scored text itself included.
+FOLDS, PLAIN = 1, 2
+#: An entry of the models: what it is (an order, or OF_CONTEXT and an order), the model, and the bytes of a gram or context.
+MODEL_AT, WHAT_AT, OF_CONTEXT = 8 * ORDER, 8 * ORDER + 4, 8
+MODEL_BITS = 15 << MODEL_AT
 #: Grams in a shard of the model, and different grams a task holds before it sends them on.
 SHARD_GRAMS, TASK_GRAMS = 4_000_000, 1_000_000
 #: A gram's shard: its key modulo the prime, times the factor, without the last bits, modulo the shards.
@@ -74,7 +81,7 @@ def grams(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """key, n of every 5-gram of the texts: tasks count what they read, Spark adds up by key."""
+    """(text, model) -> key, n of every 5-gram of each model: tasks count what they read, Spark adds up by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
@@ -88,7 +95,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)].view(np.int64)), pa.array(n[a : a + (1 << 16)])], names=["key", "n"])
 
         for part in slices(batches, "text"):
-            key, which = distinct(grams(part.column(0))[1])
+            row, gram = grams(part.column(0))
+            key, which = distinct(in_model(gram, part.column(1).to_numpy()[row]))
             keys.append(key)
             counts.append(np.bincount(which, minlength=len(key)))
             held += len(key)
@@ -101,10 +109,14 @@ def count_grams(docs: DataFrame) -> DataFrame:
         if held:
             yield from out(*merged())
 
-    counts = docs.select("text").mapInArrow(run, "key long, n long")
+    counts = docs.select("text", "model").mapInArrow(run, "key long, n long")
     return counts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def in_model(gram: np.ndarray, model: np.ndarray) -> np.ndarray:
+    return gram | (model.astype(np.uint64) << np.uint64(MODEL_AT))
+
+
 def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different keys, and which of them each key is."""
     found = pa.array(key).dictionary_encode()
@@ -119,35 +131,44 @@ def discounts(seen: dict[int, int]) -> list[float]:
 
 
 def fit(counts: DataFrame) -> DataFrame:
-    """key, logp of every 5-gram: probabilities interpolated over all orders, computed by Spark.
+    """key, logp of every entry of the models: probabilities interpolated over all orders, computed by Spark.
 
     A level holds the grams of an order with their counts, or below the highest with how many
     different bytes come before them.  A context has at most 256 grams, and so has a suffix.
+    Entries are the grams' probabilities and the contexts' weights for the order below; PLAIN
+    scores only what it counted, so it needs its 5-grams alone.
     """
     levels = {ORDER: materialise(counts, "grams")}
     for order in range(ORDER - 1, 0, -1):
-        suffix = F.col("key").bitwiseAND(F.lit((1 << (8 * order)) - 1))
+        suffix = F.col("key").bitwiseAND(F.lit((1 << (8 * order)) - 1 | MODEL_BITS))
         levels[order] = materialise(levels[order + 1].groupBy(suffix.alias("key")).agg(F.count(F.lit(1)).alias("n")), "grams")
-    seen: dict[int, dict[int, int]] = {order: {} for order in levels}
-    rare = [level.where("n <= 4").select(F.lit(order).alias("level"), "n") for order, level in levels.items()]
-    for row in functools.reduce(DataFrame.union, rare).groupBy("level", "n").count().collect():  # at most 20 rows
-        seen[row.level][row.n] = row["count"]
-    below = None
+    seen: dict[tuple[int, int], dict[int, int]] = {}
+    rare = [level.where("n <= 4").selectExpr(f"{order} AS level", f"shiftright(key, {MODEL_AT}) AS model", "n") for order, level in levels.items()]
+    for row in functools.reduce(DataFrame.union, rare).groupBy("level", "model", "n").count().collect():  # at most 20 rows a model
+        seen.setdefault((row.level, row.model), {})[row.n] = row["count"]
+    below, entries = None, []
     for order in range(1, ORDER + 1):
-        one, two, more = discounts(seen[order])
-        level = levels[order].selectExpr("key", "n", f"least(CASE n WHEN 1 THEN {one}D WHEN 2 THEN {two}D ELSE {more}D END, n) AS less", "shiftright(key, 8) AS context")
+        cut = "".join(
+            " WHEN {} THEN CASE n WHEN 1 THEN {}D WHEN 2 THEN {}D ELSE {}D END".format(model, *discounts(seen.get((order, model), {}))) for model in range(max(FOLDS, PLAIN) + 1)
+        )
+        context = f"(shiftright(key, 8) & {(1 << (8 * (order - 1))) - 1}) | (key & {MODEL_BITS})"
+        level = levels[order].selectExpr("key", "n", f"least(CASE shiftright(key, {MODEL_AT}){cut} END, n) AS less", f"{context} AS context")
         contexts = level.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("less") / F.sum("n")).alias("gamma"))
         level = level.join(contexts, "context")
         if below is None:
             level = level.withColumn("lower", F.lit(1 / 256))
         else:
-            level = level.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << (8 * (order - 1))) - 1))).join(below, "suffix")
-        below = level.select(F.col("key").alias("suffix"), F.expr("(n - less) / total + gamma * lower").alias("lower"))
-    return below.select(F.col("suffix").alias("key"), F.log("lower").cast("float").alias("logp"))
+            level = level.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << (8 * (order - 1))) - 1 | MODEL_BITS))).join(below, "suffix")
+        smooth = materialise(level.selectExpr("key", "context", "gamma", "(n - less) / total + gamma * lower AS p"), "smooth")
+        below = smooth.selectExpr("key AS suffix", "p AS lower")
+        lacks = f"shiftright(key, {MODEL_AT}) < {FOLDS}"
+        entries.append((smooth if order == ORDER else smooth.where(lacks)).selectExpr(f"key | {order << WHAT_AT} AS key", "ln(p) AS logp"))
+        entries.append(smooth.where(lacks).selectExpr(f"context | {(OF_CONTEXT + order) << WHAT_AT} AS key", "ln(gamma) AS logp").distinct())
+    return functools.reduce(DataFrame.union, entries).selectExpr("key", "CAST(logp AS FLOAT) AS logp")
 
 
 class Model:
-    """Sorted hash arrays of grams with log probabilities, broadcast in shards of bounded size.
+    """Sorted hash arrays of entries with log probabilities, broadcast in shards of bounded size.
 
     A worker with one shard keeps it; of several it loads one after the other for each slice of
     texts, so memory is bounded whatever the model's size.
@@ -165,9 +186,9 @@ class Model:
             order = np.argsort(hashed)
             self.shards.append(spark.sparkContext.broadcast((hashed[order], found.column("logp").to_numpy()[order])))
 
-    def __call__(self, key: np.ndarray) -> np.ndarray:
-        """Log probabilities of the keys; every gram of the corpus is in the model."""
-        out = np.zeros(len(key))
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Log probabilities of the entries; NaN where there is none."""
+        out = np.full(len(key), np.nan)
         signed = key.astype(np.int64)
         place = ((signed % SHARD_PRIME * SHARD_FACTOR) >> SHARD_SHIFT) % self.n
         for i, shard in enumerate(self.shards):
@@ -175,11 +196,37 @@ class Model:
             if not len(mine):
                 continue
             hashed, logp = shard.value
-            out[mine] = logp[np.searchsorted(hashed, mix(key[mine]))]
+            if len(hashed):
+                wanted = mix(key[mine])
+                at = np.minimum(np.searchsorted(hashed, wanted), len(hashed) - 1)
+                out[mine] = np.where(hashed[at] == wanted, logp[at], np.nan)
             if self.n > 1:
                 vars(shard).pop("_value", None)
         return out
 
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        """Log probabilities of 5-grams, each in the model it names; unseen ones by their lower orders."""
+        out = self.find(key | np.uint64(ORDER << WHAT_AT))
+        lost = np.flatnonzero(np.isnan(out))
+        if not len(lost):
+            return out
+        asked = []
+        for order in range(ORDER, 0, -1):
+            mask = np.uint64((1 << (8 * order)) - 1)
+            model, gram = key[lost] & np.uint64(MODEL_BITS), key[lost] & mask
+            asked.append(gram | model | np.uint64(order << WHAT_AT))
+            asked.append((gram >> np.uint64(8)) | model | np.uint64((OF_CONTEXT + order) << WHAT_AT))
+        found = self.find(np.concatenate(asked)).reshape(len(asked), len(lost))
+        total, open_ = np.zeros(len(lost)), np.ones(len(lost), bool)
+        for gram, weight in zip(found[::2], found[1::2]):
+            here = open_ & ~np.isnan(gram)
+            total[here] += gram[here]
+            open_ &= ~here
+            total[open_] += np.nan_to_num(weight[open_])  # a context never seen leaves all to the order below
+        total[open_] -= np.log(256)
+        out[lost] = total
+        return out
+
 
 def base_columns(text: pa.Array) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
@@ -224,34 +271,51 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER_WIDTH, upper: float = UPPER_WIDTH, carry: tuple[str, ...] = (),
-    shard_grams: int = SHARD_GRAMS,
+    shard_grams: int = SHARD_GRAMS, plain: bool = True,
 ) -> DataFrame:
-    """doc_id, the base columns, base_failed, log_perplexity (per byte), kept, and the columns to carry."""
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), *carry)
-    model = Model(fit(count_grams(rows)), shard_grams)
+    """doc_id, the base columns, base_failed, held_out (log perplexity per byte), kept, and the columns to carry.
+
+    With ``plain``, also log_perplexity by the model of all rows, which judges nothing.
+    """
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("digest"), *carry)
+    fold = F.expr(f"CAST(pmod(xxhash64(text), {FOLDS}) AS INT) AS model")
+    counted = count_grams(rows.select("text").distinct().select("text", fold))
+    if plain:
+        counted = counted.unionByName(count_grams(rows.select("text", F.lit(PLAIN).alias("model"))))
+    model = Model(fit(counted), shard_grams)
+    scores = ("held_out", "log_perplexity") if plain else ("held_out",)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES * min(model.n, 4)):
             text = part.column(1)
             base = base_columns(text)
             row, gram = grams(text)
-            key, which = distinct(gram)
             n = np.bincount(row, minlength=len(text))
-            mean = -np.bincount(row, model(key)[which], len(text)) / np.maximum(n, 1)
+            means = []
+            for score in scores:
+                by = (part.column(3).to_numpy() + 1) % FOLDS if score == "held_out" else np.full(len(text), PLAIN)
+                key, which = distinct(in_model(gram, by[row]))
+                means.append(-np.bincount(row, model(key)[which], len(text)) / np.maximum(n, 1))
             yield pa.RecordBatch.from_arrays(
-                [part.column(2), part.column(0), *(pa.array(base[c], pa.int64()) for c in BASE), pa.array(n, pa.int64()), pa.array(mean, mask=n == 0), *part.columns[3:]],
-                names=["doc_id", "lang", *BASE, "n_grams", "log_perplexity", *carry],
-            )
-
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, " + ", ".join(f"{c} long" for c in (*BASE, "n_grams")) + ", log_perplexity double"
+                [
+                    part.column(2), part.column(0), part.column(3), *(pa.array(base[c], pa.int64()) for c in BASE), pa.array(n, pa.int64()),
+                    *(pa.array(mean, mask=n == 0) for mean in means), *part.columns[4:],
+                ],
+                names=["doc_id", "lang", "digest", *BASE, "n_grams", *scores, *carry],
+            )
+
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, digest long, " + ", ".join(f"{c} long" for c in (*BASE, "n_grams"))
+    schema += "".join(f", {c} double" for c in scores)
     schema += "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
     scored = materialise(rows.mapInArrow(run, schema), "quality")
     failed = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words")
     scored = scored.withColumn("base_failed", failed)
-    # Quartiles by language over every text that passes the base rules: from counts by step, so reruns agree.
+    # Quartiles by language over every distinct text that passes the base rules: from counts by step, so reruns agree.
     bands = (
-        scored.where("NOT base_failed AND log_perplexity IS NOT NULL")
-        .groupBy("lang", F.round(F.col("log_perplexity") / STEP).cast("long").alias("step"))
+        scored.where("NOT base_failed AND held_out IS NOT NULL")
+        .groupBy("lang", "digest")
+        .agg(F.min(F.round(F.col("held_out") / STEP).cast("long")).alias("step"))
+        .groupBy("lang", "step")
         .agg(F.count(F.lit(1)).alias("texts"))
         .groupBy("lang")
         .agg(F.expr(f"transform(percentile(step, array(0.25D, 0.5D, 0.75D), texts), x -> x * {STEP}D)").alias("q"))
@@ -260,11 +324,12 @@ def quality(
     noise = f"deviation * sqrt(1 + {NOISE_BYTES} / greatest(n_grams, 1))"
     judged = scored.join(bands, F.col("lang").eqNullSafe(F.col("band_lang")), "left").withColumn(
         "kept",
-        F.expr(f"NOT base_failed AND coalesce(log_perplexity BETWEEN middle - {lower} * {noise} AND middle + {upper} * {noise}, true)"),
+        F.expr(f"NOT base_failed AND coalesce(held_out BETWEEN middle - {lower} * {noise} AND middle + {upper} * {noise}, true)"),
     )
-    return judged.select("doc_id", "lang", *BASE, "base_failed", "n_grams", "log_perplexity", "kept", *carry)
+    return judged.select("doc_id", "lang", *BASE, "base_failed", "n_grams", *scores, "kept", *carry)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+    judged = quality(docs, plain=False).withColumnRenamed("held_out", "log_perplexity")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
