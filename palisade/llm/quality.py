@@ -7,7 +7,10 @@ Spark counts every 5-gram and smooths the counts in tables that grow with the co
 orders use continuation counts of the order above, and each 5-gram gets its probability
 interpolated over all orders.  No gram is folded, cut off or capped.
 
-Equal texts count once, in the model and in the bands, however many rows hold them.
+Equal texts count once, in the model and in the bands, however many rows hold them.  A text's
+hash puts it in one of ``FOLDS`` folds, each with a model of its own, and a text is scored by
+the model of the next fold, which has not counted it or its copies.  A gram that model lacks
+backs off to the lower orders.
 
 The models are stored in sorted hash arrays, in as many shards as their size asks for: each
 of about ``SHARD_GRAMS`` entries (48 MB), which bounds what the driver holds and a worker
@@ -37,7 +40,7 @@ from palisade.session import materialise
 
 ORDER = 5
 #: Models by fold; PLAIN is the one of all rows, copies and the scored text itself included.
-FOLDS, PLAIN = 1, 2
+FOLDS, PLAIN = 2, 2
 #: An entry of the models: what it is (an order, or OF_CONTEXT and an order), the model, and the bytes of a gram or context.
 MODEL_AT, WHAT_AT, OF_CONTEXT = 8 * ORDER, 8 * ORDER + 4, 8
 MODEL_BITS = 15 << MODEL_AT
