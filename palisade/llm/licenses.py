@@ -1,12 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document; a template is the notice below.  A block meets a template
-where it holds at least ``THRESHOLD`` of the template's distinct words.  Every such pair is
-found: words are ordered by their frequency in the corpus (rarest first), and a block that
+A block is a line of a document, whatever its length, or for each template any stretch of
+words of about its notice's length (with room for a tenth of other words), across lines, so a
+wrapped notice is found too; a template is the notice below.  A block meets a template where
+it holds at least ``THRESHOLD`` of the template's distinct words.  Every such pair is found: words are ordered by their frequency in the corpus (rarest first), and a block that
 meets the threshold must hold one of the first |T| - ceil(t|T|) + 1 words of that order
-(prefix filter); it must have ceil(t|T|) words at least (length filter); and from the first
-prefix word it holds, enough of the template must be left (positional filter).  What passes
-is verified on whole sets.
+(prefix filter); it must have ceil(t|T|) words at least (length filter); and in a line,
+from the first prefix word it holds, enough of the template must be left (positional filter).
+What passes is verified on whole sets; of the stretches, those that end in a template's word.
 
 The templates are a fixed, short list: they are what is broadcast, and their words are all
 that is counted, so nothing grows with the corpus and nothing but counts is shuffled.
@@ -72,11 +73,13 @@ class Templates:
     """Templates as sets of word hashes, and the distinct words of them all."""
 
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD):
-        self.labels, self.sets = [], []
+        self.labels, self.sets, self.spans = [], [], []
         for label, notices in templates.items():
             for notice in notices:
                 self.labels.append(label)
-                self.sets.append(np.unique(hashes_of(notice)))
+                words = hashes_of(notice)
+                self.sets.append(np.unique(words))
+                self.spans.append(math.ceil(len(words) / threshold - 1e-9))
         self.vocabulary = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
         self.least = [math.ceil(threshold * len(s) - 1e-9) for s in self.sets]
 
@@ -115,6 +118,11 @@ class Scanner:
         for w, t, place in prefixes:
             self.postings.setdefault(w, []).append((t, place))
         self.phrases = [(hashes_of(p), label) for p, label in phrases.items()]
+        vocabulary = templates.vocabulary
+        self.member = np.array([np.isin(vocabulary, s) for s in templates.sets]).reshape(-1, len(vocabulary))
+        self.rare = np.zeros_like(self.member)
+        for w, t, _ in prefixes:
+            self.rare[t, np.searchsorted(vocabulary, np.uint64(w))] = True
 
     def blocks(self, words: Words) -> list[tuple[int, int, float]]:
         """(text, template, containment) of every line that meets a template."""
@@ -147,6 +155,31 @@ class Scanner:
                     found.append((int(words.doc[first]), t, common / len(whole)))
         return found
 
+    def stretches(self, words: Words) -> list[tuple[int, int, float]]:
+        """(text, template, best containment) where a stretch of the template's span meets it, across lines."""
+        vocabulary = self.templates.vocabulary
+        if not len(vocabulary) or not words.n:
+            return []
+        at = np.minimum(np.searchsorted(vocabulary, words.hashes), len(vocabulary) - 1)
+        hits = np.flatnonzero(vocabulary[at] == words.hashes)
+        kind, doc = at[hits], words.doc[hits]
+        found = []
+        for t, (whole, least, span) in enumerate(zip(self.templates.sets, self.templates.least, self.templates.spans)):
+            able = np.zeros(len(words.counts), bool)
+            able[doc[self.rare[t][kind]]] = True
+            mine = np.flatnonzero(self.member[t][kind] & able[doc])
+            if len(mine) < least:
+                continue
+            place, word, text = hits[mine], kind[mine], doc[mine]
+            start = np.maximum(place - span + 1, words.first[text])
+            common = np.zeros(len(mine), np.int64)
+            for w in np.flatnonzero(self.member[t]).tolist():
+                common += np.maximum.accumulate(np.where(word == w, place, -1)) >= start  # its last place is in the stretch
+            best = np.zeros(len(words.counts), np.int64)
+            np.maximum.at(best, text, common)
+            found += [(d, t, int(best[d]) / len(whole)) for d in np.flatnonzero(best >= least).tolist()]
+        return found
+
     def __call__(self, text: pa.Array) -> list[pa.Array]:
         words = Words(text, WORD_BYTES, lower=True)
         n = len(text)
@@ -170,7 +203,7 @@ class Scanner:
                 base[d].add(label)
         score = np.zeros(n)
         labels = [set(b) for b in base]
-        for d, t, containment in self.blocks(words):
+        for d, t, containment in self.blocks(words) + self.stretches(words):
             labels[d].add(self.templates.labels[t])
             score[d] = max(score[d], containment)
         none = n_base == 0
