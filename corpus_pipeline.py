@@ -26,6 +26,8 @@ from palisade.llm.quality import quality
 from palisade.session import materialise, release, ship
 
 ROW = ("row_file", "row_index")
+#: The near-dedup stage's threshold; op2's own contract has 85.
+NEAR_PERCENT = 80
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -67,10 +69,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates, the one with the smallest doc_id; texts without words all stay."""
+    """Of near duplicates (0.8 and more in five-word shingles), the one with the smallest doc_id; texts without words all stay."""
     ship(spark)
     rows, names = _numbered(docs)
-    judged = near_duplicates(rows, _column(names, "doc_id"), _column(names, "text"), carry=ROW).where("kept")
+    judged = near_duplicates(rows, _column(names, "doc_id"), _column(names, "text"), percent=NEAR_PERCENT, carry=ROW).where("kept")
     kept = judged.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(*ROW)).alias("row")).select("row.*")
     kept = kept.unionByName(judged.where("component IS NULL").select(*ROW))
     return _named(rows.join(kept, list(ROW), "left_semi"), names)

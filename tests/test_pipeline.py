@@ -1,0 +1,48 @@
+"""The pipeline's stages on small tables."""
+
+import random
+
+import corpus_pipeline
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table(spark, tmp_path, rows):
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(d, t, lang, source, len(t or "")) for d, t, lang, source in rows], SCHEMA).repartition(2).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def test_near_dedup(spark, tmp_path):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(12):  # pairs at 0.76 to 0.95, one word changed in the middle or at the end
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(40 + 6 * i)]
+        copy = [*words]
+        copy[len(copy) // 2] = "changed"
+        rows += [(10 * i, " ".join(words), "en", "web"), (10 * i + 1, " ".join(copy), "en", "web")]
+    rows += [(None, "no such text anywhere else in it", "en", "web"), (500, "", "en", "web"), (501, None, "en", "web"), (502, rows[0][1], "en", "web")]
+    sets = [shingles(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    similar = []
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j]:
+                j_ij = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                if j_ij >= 0.8:
+                    similar.append(j_ij)
+                    group = [group[j] if g == group[i] else g for g in group]
+    assert any(0.8 <= x < 0.85 for x in similar)
+    want = []
+    for i, r in enumerate(rows):
+        ids = [rows[k][0] for k in range(len(rows)) if group[k] == group[i]]
+        if not sets[i] or r[0] == min((x for x in ids if x is not None), default=None):
+            want.append((r[0], r[1]))
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, table(spark, tmp_path, rows), "").collect()]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted(got, key=key) == sorted(want, key=key)
