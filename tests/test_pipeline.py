@@ -1,9 +1,21 @@
-"""The pipeline's stages on small tables."""
+"""The pipeline's stages against plain versions on small tables."""
 
+import hashlib
+import math
+import os
 import random
+import sys
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
 
 import corpus_pipeline
 
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), "llm"))
+import brute  # noqa: E402
+import test_quality  # noqa: E402
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -46,3 +58,80 @@ def test_near_dedup(spark, tmp_path):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, table(spark, tmp_path, rows), "").collect()]
     key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def key(row):
+    return tuple((x is not None, x) for x in row)
+
+
+def test_quality_stage(spark, tmp_path):
+    from palisade.llm.quality import LEAST_DEVIATION, LOWER_WIDTH, NOISE_BYTES, STEP, UPPER_WIDTH
+
+    texts = test_quality.clean_texts(60) + test_quality.random_texts(2) + ["too short", "again and again " * 40, "", None]
+    rows = [(i, t, "de" if i % 3 == 0 else None if i % 7 == 0 else "en", "web") for i, t in enumerate(texts)]
+    rows += [rows[4]] * 20 + [(None, texts[5], "en", "web")]
+    plain = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows)], "i int, t string")
+    folds = [r.f for r in plain.selectExpr("i", "CAST(pmod(xxhash64(t), 2) AS INT) AS f").orderBy("i").collect()]
+    scores = test_quality.held_out([" ".join((r[1] or "").split(" ")) for r in rows], folds)
+    failed = [brute.base_quality(r[1])[-1] for r in rows]
+    steps = defaultdict(dict)
+    for r, score, bad in zip(rows, scores, failed):
+        if not bad and score is not None:
+            steps[r[2]][r[1]] = round(score / STEP)
+    want = []
+    for r, score, bad in zip(rows, scores, failed):
+        if bad:
+            continue
+        low, middle, high = (float(x) * STEP for x in np.percentile(list(steps[r[2]].values()), [25, 50, 75]))
+        n = len((r[1] or "").encode()) - 4
+        noise = max((high - low) / 1.349, LEAST_DEVIATION) * math.sqrt(1 + NOISE_BYTES / max(n, 1))
+        if middle - LOWER_WIDTH * noise <= score <= middle + UPPER_WIDTH * noise:
+            want.append(r)
+    got = [(r.doc_id, r.text, r.lang, r.source) for r in corpus_pipeline.keep_quality(spark, table(spark, tmp_path, rows), "").collect()]
+    assert 60 <= len(got) < len(rows) and sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_exact_dedup_stage(spark, tmp_path):
+    rows = [(1, "a", "en", "web"), (5, "a", "de", None), (5, "a", "en", "x"), (2, "A", "en", "web"), (None, "n", "en", "web"), (None, "n", "en", "web"), (7, None, "en", "web"), (8, "", "en", "web")]
+    got = corpus_pipeline.drop_copies(spark, table(spark, tmp_path, rows), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted([(5, "a"), (2, "A"), (None, "n"), (8, "")], key=key)
+
+
+def test_mixing_stage(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = [(i, " ".join(["w"] * rnd.randrange(0, 90)), "en", rnd.choice(["a", "b", "c", "c", "c", None])) for i in range(150)] + [(200, None, "en", "a")]
+    size = {r[0]: len((r[1] or "").split()) for r in rows}
+    totals = Counter()
+    for r in rows:
+        totals[r[3]] += size[r[0]]
+    target = brute.targets(totals)
+    want = Counter()
+    for source, total in totals.items():
+        mine = [r[0] for r in rows if r[3] == source]
+        whole = math.floor(target[source] / total)
+        room = target[source] - whole * total
+        if room > 0:
+            for d in sorted(mine, key=lambda d: int(hashlib.md5(f"mix-1:{d}".encode()).hexdigest()[:12], 16)):  # those that fit, in order of the hash
+                if size[d] <= room:
+                    room -= size[d]
+                    want[d] += 1
+        for d in mine:
+            want[d] += whole
+    got = Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, table(spark, tmp_path, rows), "").collect())
+    assert got == +want
+
+
+def test_packing_stage(spark, tmp_path):
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    library = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    rows = [(i, t, "en", "web") for i, t in enumerate([*test_quality.clean_texts(40), " ".join(test_quality.clean_texts(60, 9)), "", None])]
+    total = {r[0]: len(library.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows}
+    pieces, windows = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.pack_rows(spark, table(spark, tmp_path, rows), "").collect():
+        pieces[r.doc_id].append((r.start, r.length))
+        windows[r.sequence_id].append((r.offset, r.length))
+    end = lambda spans: [sum(n for _, n in sorted(spans)[:i]) for i in range(len(spans))] == [a for a, _ in sorted(spans)] and sum(n for _, n in spans)
+    assert {d: end(spans) for d, spans in pieces.items()} == total
+    assert all(end(spans) and end(spans) <= 4096 for spans in windows.values())
