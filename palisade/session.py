@@ -80,7 +80,16 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write rows to the shared folder and read them back: lineage ends, and a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path)
+    rows._palisade_path = path
+    return rows
+
+
+def discard(rows: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote and no later step reads."""
+    spark = rows.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(rows._palisade_path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:
