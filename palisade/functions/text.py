@@ -29,6 +29,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def constants(values: list) -> Column:
+    """An array of strings or whole numbers.  Written as one text that Spark splits once, while planning: a column for each value is slow to build."""
+    mark = "\x1f"
+    texts = F.split(F.lit(mark.join(map(str, values))), mark)
+    return texts.cast("array<int>") if isinstance(values[0], int) else texts
+
+
 def first_needle(hay: Column, needles: list[str]) -> Column:
     """The place (from 1) of the first needle of the list that the text contains; null if none.
 
@@ -36,14 +43,14 @@ def first_needle(hay: Column, needles: list[str]) -> Column:
     """
     if not needles:
         return F.lit(None).cast("int")
-    lows = F.array(*[F.lit(ascii_lower_text(n)) for n in needles])
+    lows = constants([ascii_lower_text(n) for n in needles])
     place = let(ascii_lower(hay), lambda low: F.array_position(F.transform(lows, lambda n: F.contains(low, n)), True))
     return F.nullif(place, F.lit(0)).cast("int")
 
 
 def pick(place: Column, values: list) -> Column:
     """The value at a place counted from 1; null for a null place."""
-    return F.get(F.array(*[F.lit(v) for v in values]), place - 1) if values else F.lit(None)
+    return F.get(constants(values), place - 1) if values else F.lit(None)
 
 
 def byte_length(c: Column) -> Column:
@@ -81,6 +88,29 @@ def redact(c: Column) -> Column:
     return F.when(n <= 6, F.repeat(F.lit("*"), n)).otherwise(F.concat(F.left(c, F.lit(3)), F.repeat(F.lit("*"), n - 6), F.right(c, F.lit(3))))
 
 
+def first_characters(pattern: str) -> str:
+    """What a match can begin with: the pattern starts with a literal or with a group of literals, after ``\\b`` perhaps."""
+    head = pattern.removeprefix(r"\b")
+    group, _, rest = head[1:].partition(")") if head[0] == "(" else (head, "", "")
+    found = {x[1] if x[0] == "\\" else x[0] for x in (group.split("|") if head[0] == "(" else [head])}
+    return "".join(sorted(found | set(first_characters(rest[1:]) if rest[:1] == "?" else "")))
+
+
+def any_regex(patterns: tuple[str, ...]) -> str:
+    """One regular expression for "one of these occurs", any case of ASCII letters.
+
+    At most places of a text no pattern can begin: a look at the next character passes them by,
+    and elsewhere it leaves the few patterns that begin with it.
+    """
+    by_first: dict[str, list[str]] = {}
+    for p in patterns:
+        for c in first_characters(p):
+            by_first.setdefault(ascii_lower_text(c), []).append(jvm_regex(p))
+    among = lambda cs: "[" + "".join("\\" + c if not c.isalnum() else c for c in cs) + "]"
+    branches = "|".join(f"(?={among(c)})(?:{'|'.join(ps)})" for c, ps in sorted(by_first.items()))
+    return f"(?i)(?={among(sorted(by_first))})(?:{branches})"
+
+
 def jvm_regex(pattern: str) -> str:
     r"""``\b`` between ASCII words, as byte-wise engines take it: the JVM's looks at all letters."""
     if pattern.startswith(r"\b"):

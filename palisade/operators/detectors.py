@@ -8,19 +8,31 @@ narrow stage.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.config import Config
 from palisade.functions.patterns import BROWSER_HEADERS, INJECTIONS
-from palisade.functions.text import ascii_lower, ascii_lower_text, byte_length, contains_ci, first_needle, is_empty, jvm_regex, let, pick, snippet
+from palisade.functions.text import any_regex, ascii_lower, ascii_lower_text, byte_length, contains_ci, first_needle, is_empty, let, pick, snippet
 from palisade.operators.results import best, nothing, result
 from palisade.sources.catalog import signatures
 
 
-def header(name: str) -> Column:
+def with_headers(body: Callable[[Column], Column]) -> Column:
+    """``body`` of the request's headers as two arrays, names and values, bound once however often it reads them."""
+    both = lambda h: F.struct(F.transform(h, lambda x: x["name"]).alias("names"), F.transform(h, lambda x: x["value"]).alias("values"))
+    return let(F.col("headers"), lambda h: let(both(h), body))
+
+
+def header(heads: Column, name: str) -> Column:
     """The first value of a header; null where it is absent."""
-    return F.get(F.filter("headers", lambda h: h["name"] == ascii_lower_text(name)), F.lit(0))["value"]
+    return F.get(heads["values"], F.array_position(heads["names"], F.lit(ascii_lower_text(name))) - 1)
+
+
+def agent_text() -> Column:
+    return F.coalesce(F.col("user_agent"), F.lit(""))
 
 
 def normal_path() -> Column:
@@ -29,7 +41,7 @@ def normal_path() -> Column:
 
 
 def whitelisted(config: Config) -> Column:
-    ua = F.coalesce(F.col("user_agent"), F.lit(""))
+    ua = agent_text()
     out = F.lit(False)
     if config.whitelist_ips:
         out = out | F.coalesce(F.col("ip").isin(*config.whitelist_ips), F.lit(False))
@@ -50,10 +62,29 @@ def honeypot(config: Config) -> Column:
     return F.when(hit.isNotNull(), result(F.lit("honeypot_trap"), F.lit("honeypot"), F.lit(100), hit))
 
 
-def find_bot(config: Config, ua: Column | None = None) -> Column:
-    """The place of the first catalogue needle in the user agent, whatever the toggles."""
-    ua = F.coalesce(F.col("user_agent") if ua is None else ua, F.lit(""))
-    return first_needle(ua, [s.needle for s in signatures(config.signatures_path)])
+def find_bot(config: Config, agent: Column) -> Column:
+    """The place of the first catalogue needle in a user agent, whatever the toggles."""
+    return first_needle(agent, [s.needle for s in signatures(config.signatures_path)])
+
+
+def judge_agents(requests: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
+    """Requests with ``agent``: the places of the user agent's first needle in catalogue, crawlers and harvesters.
+
+    Agents are few beside requests, so each distinct one is judged once and joined back; Spark
+    broadcasts them where their measured size allows it and else splits a frequent agent.  A
+    stream has no distinct agents to wait for: there each row is judged by itself.
+    """
+
+    def found(agent: Column) -> Column:
+        crawler_at, harvester_at = first_needle(agent, list(config.crawlers)), first_needle(agent, list(config.harvesters))
+        return F.struct(find_bot(config, agent).alias("bot"), crawler_at.alias("crawler"), harvester_at.alias("harvester"))
+
+    if requests.isStreaming:
+        return requests.withColumn("agent", found(agent_text()))
+    # The count keeps filters on what is found above the aggregate: on keys alone they would be pushed to every row.
+    agents = requests.groupBy(agent_text().alias("agent_text")).agg(F.count(F.lit(1)).alias("n"))
+    agents = agents.select("agent_text", F.when(F.col("n") > 0, found(F.col("agent_text"))).alias("agent"))
+    return requests.join(agents, agent_text() == F.col("agent_text"), "left").drop("agent_text")
 
 
 def categorised_bot(config: Config, place: Column) -> Column:
@@ -75,42 +106,50 @@ def categorised_bot(config: Config, place: Column) -> Column:
     )
 
 
-def crawler(config: Config) -> Column:
+def crawler(config: Config, place: Column) -> Column:
     """The first configured crawler needle: score 95."""
     if not config.crawlers_enabled:
         return nothing()
-    found = pick(first_needle(F.coalesce(F.col("user_agent"), F.lit("")), list(config.crawlers)), list(config.crawlers))
-    return let(found, lambda hit: F.when(hit.isNotNull(), result(F.lit("ai_crawler"), hit, F.lit(95), hit)))
+    return let(pick(place, list(config.crawlers)), lambda hit: F.when(hit.isNotNull(), result(F.lit("ai_crawler"), hit, F.lit(95), hit)))
 
 
-def harvester(config: Config) -> Column:
+def harvester(config: Config, place: Column, heads: Column) -> Column:
     """The first harvester needle scores 80; an empty Accept-Language adds 20, or stands alone with a null source."""
     if not config.harvesters_enabled:
         return nothing()
-    found = pick(first_needle(F.coalesce(F.col("user_agent"), F.lit("")), list(config.harvesters)), list(config.harvesters))
 
     def judged(hit: Column) -> Column:
         score = F.when(hit.isNotNull(), 80).otherwise(0)
         detected, pattern = hit.isNotNull(), hit
         if config.check_accept_language:
-            silent = is_empty(header("Accept-Language"))
+            silent = is_empty(header(heads, "Accept-Language"))
             score = F.when(silent, F.least(score + 20, F.lit(100))).otherwise(score)
             detected = detected | silent
             pattern = F.coalesce(hit, F.lit("missing_accept_language"))
         return F.when(detected, result(F.lit("data_harvester"), hit, score, pattern))
 
-    return let(found, judged)
+    return let(pick(place, list(config.harvesters)), judged)
 
 
-def bot(config: Config, place: Column) -> Column:
+def bot(config: Config, heads: Column) -> Column:
     """Catalogue, crawler list and harvesters, in this order; the strictly highest score wins."""
-    return best(categorised_bot(config, place), crawler(config), harvester(config))
+    agent = F.col("agent")
+    return best(categorised_bot(config, agent["bot"]), crawler(config, agent["crawler"]), harvester(config, agent["harvester"], heads))
 
 
 def injection_pattern(value: Column) -> Column:
-    """The first injection pattern a value contains; null for none."""
-    tests = F.coalesce(*[F.when(value.rlike("(?i)" + jvm_regex(p)), F.lit(p)) for p in INJECTIONS])
-    return F.when(value.rlike("(?i)" + "|".join(f"(?:{jvm_regex(p)})" for p in INJECTIONS)), tests)
+    """The first injection pattern, in list order, that a value contains; null for none.
+
+    One expression tells whether any does; where one does, halving the list finds the first.
+    """
+
+    def first(patterns: tuple[str, ...]) -> Column:
+        if len(patterns) == 1:
+            return F.lit(patterns[0])
+        half = len(patterns) // 2
+        return F.when(value.rlike(any_regex(patterns[:half])), first(patterns[:half])).otherwise(first(patterns[half:]))
+
+    return F.when(value.rlike(any_regex(INJECTIONS)), first(INJECTIONS))
 
 
 def scan_value(value: Column, config: Config) -> Column:
@@ -148,29 +187,43 @@ def injection(config: Config) -> Column:
     return F.get(hits, F.lit(0))
 
 
-def fingerprint(config: Config) -> Column:
+def fingerprint(config: Config, heads: Column) -> Column:
     """Five additive signals on headers; under the least score, nothing."""
     if not config.fingerprint_enabled:
         return nothing()
-    names = F.transform("headers", lambda h: h["name"])
-    distinct = F.array_distinct(names)
-    missing = sum((F.when(header(h).isNull(), 1).otherwise(0) for h in BROWSER_HEADERS), F.lit(0))
-    accept, connection = header("Accept"), header("Connection")
-    signals = [
-        (missing > 4, F.least(missing * 5, F.lit(30)), F.concat(F.lit("missing_"), missing.cast("string"), F.lit("_browser_headers"))),
-        ((F.size(distinct) >= 3) & (F.array_sort(distinct) == distinct), F.lit(15), F.lit("alphabetical_header_order")),
-        (accept.isNull() | ((accept == "*/*") & F.coalesce(F.col("method") == "GET", F.lit(False))), F.lit(15), F.lit("anomalous_accept_header")),
-        (connection.isNull() | (ascii_lower(connection) == "close"), F.lit(10), F.lit("no_keep_alive")),
-        (header("Sec-Fetch-Site").isNull() & header("Referer").isNull(), F.lit(5), F.lit("no_navigation_context")),
-    ]
-    score = sum((F.when(test, points).otherwise(0) for test, points, _ in signals), F.lit(0))
-    tokens = F.array_join(F.array_compact(F.array(*[F.when(test, token) for test, _, token in signals])), ", ")
-    return F.when(score >= config.fingerprint_min_score, result(F.lit("suspicious_fingerprint"), F.lit("fingerprint_analysis"), F.least(score, F.lit(100)), tokens))
+    absent = F.array_except(F.array(*[F.lit(ascii_lower_text(h)) for h in BROWSER_HEADERS]), heads["names"])
+    distinct = F.array_distinct(heads["names"])
+    accept, connection = header(heads, "Accept"), header(heads, "Connection")
+    alone = header(heads, "Sec-Fetch-Site").isNull() & header(heads, "Referer").isNull()
+    unsent = accept.isNull() | ((accept == "*/*") & F.coalesce(F.col("method") == "GET", F.lit(False)))
+    # Each signal is worked out once: its points and its name, or null.
+    signal = lambda test, points, token: F.when(test, F.struct(points.cast("int").alias("points"), token.alias("token")))
+    signals = F.array_compact(
+        F.array(
+            let(F.size(absent), lambda n: signal(n > 4, F.least(n * 5, F.lit(30)), F.concat(F.lit("missing_"), n.cast("string"), F.lit("_browser_headers")))),
+            let(distinct, lambda d: signal((F.size(d) >= 3) & (F.array_sort(d) == d), F.lit(15), F.lit("alphabetical_header_order"))),
+            signal(unsent, F.lit(15), F.lit("anomalous_accept_header")),
+            signal(connection.isNull() | (ascii_lower(connection) == "close"), F.lit(10), F.lit("no_keep_alive")),
+            signal(alone, F.lit(5), F.lit("no_navigation_context")),
+        )
+    )
+
+    def judged(found: Column) -> Column:
+        score = F.aggregate(found, F.lit(0), lambda n, s: n + s["points"])
+        return F.when(
+            score >= config.fingerprint_min_score,
+            result(F.lit("suspicious_fingerprint"), F.lit("fingerprint_analysis"), F.least(score, F.lit(100)), F.array_join(found["token"], ", ")),
+        )
+
+    return let(signals, judged)
 
 
 def fingerprint_hash() -> Column:
     """16 hex digits of the MD5 of the headers that tell clients apart."""
     part = lambda c: F.coalesce(c, F.lit(""))
-    names = F.array_join(F.array_distinct(F.transform("headers", lambda h: h["name"])), ",")
-    joined = F.concat_ws("|", part(F.col("user_agent")), part(header("Accept-Language")), part(header("Accept-Encoding")), part(header("Accept")), part(names))
-    return F.substring(F.md5(joined.cast("binary")), 1, 16)
+
+    def joined(heads: Column) -> Column:
+        told = [header(heads, h) for h in ("Accept-Language", "Accept-Encoding", "Accept")]
+        return F.concat_ws("|", part(F.col("user_agent")), *map(part, told), part(F.array_join(F.array_distinct(heads["names"]), ",")))
+
+    return F.substring(F.md5(with_headers(joined).cast("binary")), 1, 16)

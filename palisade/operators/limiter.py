@@ -23,37 +23,60 @@ def rate_key() -> Column:
     return F.concat(F.lit("limit:"), F.coalesce(F.col("ip"), F.lit("")), F.lit(":"), F.substring(F.md5(ua.cast("binary")), 1, 8))
 
 
-def step(at: int, opened: int | None, hits: int, most: int, decay: int) -> tuple[bool, int | None, int]:
-    """One attempt at a time in microseconds: (allowed, when its window opened, hits in it)."""
-    if opened is not None and at >= opened + decay:
-        opened, hits = None, 0
-    if hits >= most:
-        return False, opened, hits
-    return True, at if opened is None else opened, hits + 1
-
-
-def limit(attempts: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
-    """(request_id, ts, rate_key) -> request_id, rate_key, allowed."""
+def verdicts(times: np.ndarray, opened: int | None, hits: int, most: int, decay: int) -> tuple[np.ndarray, int | None, int]:
+    """Which of a key's sorted attempts (microseconds) pass, given its open window and the hits in it; and those afterwards.
+
+    One step for each window: past the limit an attempt changes nothing.
+    """
+    allowed, at, n = np.zeros(len(times), bool), 0, len(times)
+    while at < n:
+        if opened is None or times[at] >= opened + decay:
+            opened, hits = int(times[at]), 0
+        end = int(np.searchsorted(times, opened + decay, "left"))
+        taken = max(0, min(most - hits, end - at))
+        allowed[at : at + taken] = True
+        hits, at = hits + taken, max(end, at + 1)
+    return allowed, opened, hits
+
+
+def limit(attempts: DataFrame, config: Config = Config(), counted: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
+    """(request_id, ts, rate_key) -> request_id, rate_key, allowed, and the columns to carry.
+
+    ``counted`` names a boolean column: rows where it isn't true are no attempts, and their
+    verdict is null.  An attempt without a time is in no window: it is allowed and counts for none.
+    """
     most, decay = config.max_attempts, config.decay_minutes * 60_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, opened, hits = None, None, 0
         for batch in batches:
-            times = batch.column(1).cast(pa.timestamp("us")).cast(pa.int64()).to_pylist()
-            keys = batch.column(2).to_pylist()
-            allowed = np.empty(len(keys), bool)
-            for i, (at, k) in enumerate(zip(times, keys)):
-                if k != key:
-                    key, opened, hits = k, None, 0
-                allowed[i], opened, hits = step(at, opened, hits, most, decay)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(allowed)], names=["request_id", "rate_key", "allowed"])
-
-    sorted_rows = attempts.select("request_id", "ts", "rate_key").where("ts IS NOT NULL").repartition("rate_key").sortWithinPartitions("rate_key", "ts", "request_id")
-    return sorted_rows.mapInArrow(run, "request_id long, rate_key string, allowed boolean")
-
-
-def limit_stream(attempts: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
-    """The same on a stream, batch by batch; a key's state is dropped when its window has passed."""
+            times = batch.column(1).cast(pa.timestamp("us")).cast(pa.int64())
+            attempt = batch.column(3).fill_null(False).to_numpy(zero_copy_only=False)
+            timed = times.is_valid().to_numpy(zero_copy_only=False) & attempt
+            times = times.fill_null(0).to_numpy()
+            keys = np.array(batch.column(2).to_pylist(), object)
+            allowed = np.ones(len(keys), bool)
+            edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else []
+            for a, b in zip(edges, [*edges[1:], len(keys)]):
+                if keys[a] != key:
+                    key, opened, hits = keys[a], None, 0
+                mine = a + np.flatnonzero(timed[a:b])
+                allowed[mine], opened, hits = verdicts(times[mine], opened, hits, most, decay)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(allowed, mask=~attempt), *batch.columns[4:]], names=names)
+
+    names = ["request_id", "rate_key", "allowed", *carry]
+    rows = attempts.select("request_id", "ts", "rate_key", (F.lit(True) if counted is None else F.col(counted)).alias("counted"), *carry)
+    sorted_rows = rows.repartition("rate_key").sortWithinPartitions("rate_key", "ts", "request_id")
+    carried = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return sorted_rows.mapInArrow(run, f"request_id long, rate_key string, allowed boolean{carried}")
+
+
+def limit_stream(attempts: DataFrame, config: Config = Config(), lateness: str = "10 minutes") -> DataFrame:  # noqa: B008
+    """The same on a stream with a timestamp ``ts``: each micro-batch's attempts of a key in order of time, after those of earlier batches.
+
+    State is a key's window and its hits; it goes once the watermark has passed the window's
+    end.  What a key sends in one micro-batch is held together, which the source's rate limit bounds.
+    """
     most, decay = config.max_attempts, config.decay_minutes * 60_000_000
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -61,18 +84,19 @@ def limit_stream(attempts: DataFrame, config: Config = Config()) -> DataFrame:
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-        opened, hits = state.get if state.exists else (0, 0)
-        opened = opened or None
-        verdicts = []
-        for at in rows["ts"].astype("datetime64[us]").astype("int64"):
-            ok, opened, hits = step(at, opened, hits, most, decay)
-            verdicts.append(ok)
-        state.update((opened or 0, hits))
-        state.setTimeoutDuration(max(1, decay // 1000))
-        yield pd.DataFrame({"request_id": rows["request_id"], "rate_key": key[0], "allowed": verdicts})
+        opened, hits = state.get if state.exists else (None, 0)
+        timed = rows["ts"].notna().to_numpy()
+        allowed = np.ones(len(rows), bool)
+        times = rows["ts"][timed].astype("datetime64[us]").astype("int64").to_numpy()
+        allowed[timed], opened, hits = verdicts(times, opened, hits, most, decay)
+        if opened is not None:
+            state.update((opened, hits))
+            state.setTimeoutTimestamp(max((opened + decay) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"request_id": rows["request_id"], "rate_key": key[0], "allowed": allowed})
 
     return (
         attempts.select("request_id", "ts", "rate_key")
+        .withWatermark("ts", lateness)
         .groupBy("rate_key")
-        .applyInPandasWithState(run, "request_id long, rate_key string, allowed boolean", "opened long, hits long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(run, "request_id long, rate_key string, allowed boolean", "opened long, hits long", "append", GroupStateTimeout.EventTimeTimeout)
     )

@@ -27,7 +27,8 @@ def leaks(body: Column, config: Config) -> Column:
         match = redact(F.regexp_extract(head, regex, 0))
         return F.when(head.rlike(regex), F.struct(F.lit(kind).alias("type"), F.lit(label).alias("label"), F.lit(severity).alias("severity"), match.alias("matched")))
 
-    return let(byte_head(body, config.max_response_length), lambda head: F.array_compact(F.array(*[one(head, *p) for p in kinds])))
+    head = body if config.max_response_length is None else byte_head(body, config.max_response_length)
+    return let(head, lambda head: F.array_compact(F.array(*[one(head, *p) for p in kinds])))
 
 
 def combine(found: Column) -> Column:

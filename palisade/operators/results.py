@@ -26,6 +26,11 @@ def result(
     )
 
 
+def each(found: Column) -> Column:
+    """One row for each result that is there.  A filter on it would be pushed under the projection, and its detectors run twice."""
+    return F.explode(F.array_compact(F.array(found)))
+
+
 def nothing() -> Column:
     return F.lit(None).cast(RESULT)
 

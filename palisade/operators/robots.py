@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.config import SIGNATURES, Config
 from palisade.functions.text import ascii_lower, ascii_lower_text, let, pick
 from palisade.operators.detectors import normal_path
 from palisade.operators.results import RESULT
-from palisade.sources.catalog import categories, signatures
+from palisade.sources.catalog import signature_table, signatures
 
 ALL = ("ai_training", "ai_assistants", "seo_tools", "scrapers", "bad_bots", "data_harvesters")
 DEFAULT = ("ai_training", "ai_assistants")
+WELCOME = ("Googlebot", "Bingbot", "*")
 
 
 def read_robots(spark: SparkSession, path: str) -> str | None:
@@ -98,25 +99,41 @@ def selected(option: str | None = None, everything: bool = False) -> list[str]:
 
 
 def generate(spark: SparkSession, as_of: datetime, option: str | None = None, everything: bool = False, path: str = SIGNATURES) -> DataFrame:
-    """(ord, line) of a robots.txt that keeps the chosen categories out."""
-    chosen, known, rule = selected(option, everything), categories(path), "# " + "-" * 60
-    lines, blocked = ["# " + "=" * 60, "# Palisade — robots.txt", "# " + "=" * 60, ""], 0
-    for name in chosen:
-        if name not in known:
-            continue
-        lines += [rule, f"# {known[name][0].label} ({len(known[name])} bots)", rule]
-        for s in known[name]:
-            bot = s.needle.rstrip("/ -")
-            if bot:
-                lines += [f"User-agent: {bot}", "Disallow: /", ""]
-                blocked += 1
-    lines += [rule, "# Allow search engines (don't block these)", rule]
-    for agent in ("Googlebot", "Bingbot", "*"):
-        lines += [f"User-agent: {agent}", "Allow: /", ""]
-    lines += [f"# Generated: {as_of:%Y-%m-%d %H:%M:%S}", f"# Bots blocked: {blocked}", f"# Categories: {', '.join(chosen)}"]
-    return spark.createDataFrame(list(enumerate(lines, 1)), "ord int, line string")
+    """(ord, line) of a robots.txt that keeps the chosen categories out.
+
+    A table of groups (section, place, agent, rule), ordered and spread over lines: first who
+    wrote it and when, then a group for each bot of the chosen categories, then who may enter.
+    """
+    chosen = selected(option, everything)
+    bots = signature_table(spark, path).withColumn("agent", F.rtrim("needle", F.lit("/ -"))).where("agent <> ''")
+    order = F.array_position(F.array(*[F.lit(c) for c in chosen]).cast("array<string>"), F.col("category"))
+    # A category that is named twice is written twice.
+    times = F.filter(F.sequence(F.lit(1), F.lit(max(len(chosen), 1))), lambda i: F.get(F.array(*[F.lit(c) for c in chosen]).cast("array<string>"), i - 1) == F.col("category"))
+    groups = bots.where(order > 0).select(F.explode(times).alias("section"), F.col("ord").alias("place"), "label", "agent", F.lit("Disallow: /").alias("rule"))
+    of_section = Window.partitionBy("section")
+    groups = groups.withColumn("first", F.min("place").over(of_section) == F.col("place")).withColumn("heading", F.format_string("# %s: %d kept out", "label", F.count(F.lit(1)).over(of_section)))
+    open_rows = [(len(chosen) + 1, i, None, agent, "Allow: /", i == 1, "# welcome") for i, agent in enumerate(WELCOME, 1)]
+    groups = groups.select("section", "place", "label", "agent", "rule", "first", "heading").unionByName(
+        spark.createDataFrame(open_rows, "section int, place int, label string, agent string, rule string, first boolean, heading string")
+    )
+    lines = F.array_compact(F.array(F.when(F.col("first"), F.col("heading")), F.concat(F.lit("User-agent: "), "agent"), F.col("rule"), F.lit("")))
+    head = [(0, 0, i, line) for i, line in enumerate((f"# robots.txt, written by palisade at {as_of:%Y-%m-%d %H:%M:%S}", f"# categories kept out: {', '.join(chosen)}", ""))]
+    spread = groups.select("section", "place", F.posexplode(lines).alias("part", "line")).unionByName(spark.createDataFrame(head, "section int, place int, part int, line string"))
+    # A file of some hundred lines: numbering it in one place is what the file needs.
+    return spread.select(F.row_number().over(Window.orderBy("section", "place", "part")).alias("ord"), "line")
 
 
 def write_robots(lines: DataFrame, path: str, append: bool = False) -> None:
-    """The lines as one text file in a folder; appended to or in place of what is there."""
-    lines.coalesce(1).sortWithinPartitions("ord").select("line").write.mode("append" if append else "overwrite").text(path)
+    """The lines as one text file; in place of what is there, or after it and an empty line."""
+    spark = lines.sparkSession
+    before = read_robots(spark, path) if append else None
+    body = [r.line for r in lines.orderBy("ord").collect()]
+    text = "\n".join([*([before.rstrip("\n"), ""] if before else []), *body]) + "\n"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fresh = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".new")
+    out = files.create(fresh, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.delete(place, True)
+    files.rename(fresh, place)

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.config import Config, MlConfig
+from palisade.config import MODES, Config, MlConfig
 from palisade.functions.patterns import PII
-from palisade.functions.text import first_needle, pick
 from palisade.operators import detectors, limiter, ml, responses, robots
-from palisade.operators.results import result
+from palisade.operators.results import each, result
 from palisade.plans import oracle as O  # noqa: N812
 from palisade.plans import pipeline, stats
-from palisade.session import ship
+from palisade.session import scratch_path, ship
 from palisade.sources import derived
 from palisade.sources.catalog import signature_table
+from palisade.sources.threat_log import ThreatLog
 
 AS_OF = datetime(2024, 1, 31)
 STAMP = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -40,9 +41,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def opened(rows: DataFrame, column: str = "r", *fields: str) -> DataFrame:
+def opened(rows: DataFrame, found: Column, *fields: str, key: str = "request_id") -> DataFrame:
+    """The fields of each result that is there."""
     names = fields or ("threat_type", "threat_source", "confidence_score", "matched_pattern")
-    return rows.where(F.col(column).isNotNull()).select("request_id", *[F.col(column)[n].alias(n) for n in names])
+    return rows.select(key, each(found).alias("r")).select(key, *[F.col("r")[n].alias(n) for n in names])
+
+
+def judged(spark: SparkSession, sf_dir: str, config: Config = PLAIN) -> DataFrame:
+    return detectors.judge_agents(derived.requests(spark, sf_dir), config)
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +57,8 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Free text
 
-_PII = Config(response_enabled=True)
+#: Of a document the whole text is searched; a response is cut at its limit.
+_PII = Config(response_enabled=True, max_response_length=None)
 _PII_KINDS = [p for p in PII if p[0] not in _PII.pii_disabled]
 
 
@@ -67,26 +74,20 @@ def _pii_body(table: str, key: str, text: str) -> str:
 )
 def pii_documents(spark, sf_dir):
     """How many documents hold each set of kinds of personal data, and how grave it is."""
-    found = responses.combine(responses.leaks(F.col("text"), _PII)).alias("r")
-    return (
-        docs(spark, sf_dir).select(found).where("r IS NOT NULL")
-        .groupBy(F.col("r.matched_pattern").alias("matched_pattern"))
-        .agg(F.count(F.lit(1)).alias("n"), F.max("r.confidence_score").alias("max_severity"))
-    )
+    found = docs(spark, sf_dir).select(each(responses.combine(responses.leaks(F.col("text"), _PII))).alias("r"))
+    return found.groupBy(F.col("r.matched_pattern").alias("matched_pattern")).agg(F.count(F.lit(1)).alias("n"), F.max("r.confidence_score").alias("max_severity"))
 
 
 @query(f"SELECT * FROM ({_pii_body('pages', 'page_id', 'html')}) AS x WHERE confidence_score > 0")
 def pii_pages(spark, sf_dir):
-    found = responses.combine(responses.leaks(F.col("html"), _PII)).alias("r")
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", found).where("r IS NOT NULL")
-    return rows.select("page_id", F.col("r.matched_pattern").alias("matched_pattern"), F.col("r.confidence_score").alias("confidence_score"))
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return opened(rows, responses.combine(responses.leaks(F.col("html"), _PII)), "matched_pattern", "confidence_score", key="page_id")
 
 
 @query(f"WITH {O.REQ} SELECT * FROM (SELECT request_id, {O.injection_case('payload', PLAIN)} AS matched_pattern FROM req) AS x WHERE matched_pattern IS NOT NULL")
 def detect_text(spark, sf_dir):
     value = F.get(F.filter("inputs", lambda x: x["path"] == "message"), F.lit(0))["value"]
-    rows = derived.requests(spark, sf_dir).select("request_id", detectors.detect_text(value).alias("r"))
-    return opened(rows, "r", "matched_pattern")
+    return opened(derived.requests(spark, sf_dir), detectors.detect_text(value), "matched_pattern")
 
 
 @query(
@@ -103,14 +104,14 @@ def detect_conversations(spark, sf_dir):
 
 @query(f"WITH {O.REQ}, {O.traps_cte(PLAIN)} SELECT request_id, 'honeypot_trap' AS threat_type, 'honeypot' AS threat_source, 100 AS confidence_score, trap AS matched_pattern FROM honey")
 def honeypot_hits(spark, sf_dir):
-    return opened(derived.requests(spark, sf_dir).select("request_id", detectors.honeypot(PLAIN).alias("r")))
+    return opened(derived.requests(spark, sf_dir), detectors.honeypot(PLAIN))
 
 
 @query(f"WITH {O.REQ}, {O.place_cte(PLAIN)} SELECT request_id, ord, category, needle FROM place")
 def find_bot(spark, sf_dir):
     """The first needle of the whole catalogue, whatever is switched off."""
     known = signature_table(spark).select("ord", "category", "needle")
-    rows = derived.requests(spark, sf_dir).select("request_id", detectors.find_bot(PLAIN).alias("ord")).where("ord IS NOT NULL")
+    rows = judged(spark, sf_dir).select("request_id", F.col("agent.bot").alias("ord"))
     return rows.join(F.broadcast(known), "ord").select("request_id", "ord", "category", "needle")
 
 
@@ -119,45 +120,41 @@ def find_bot(spark, sf_dir):
     f"category AS bot_category, label AS bot_label FROM place WHERE {O.live_category(PLAIN)}"
 )
 def bot_signature_match(spark, sf_dir):
-    rows = derived.requests(spark, sf_dir).withColumn("place", detectors.find_bot(PLAIN))
-    return opened(
-        rows.select("request_id", detectors.categorised_bot(PLAIN, F.col("place")).alias("r")), "r",
-        "threat_type", "threat_source", "confidence_score", "matched_pattern", "bot_category", "bot_label",
-    )
+    fields = ("threat_type", "threat_source", "confidence_score", "matched_pattern", "bot_category", "bot_label")
+    return opened(judged(spark, sf_dir), detectors.categorised_bot(PLAIN, F.col("agent.bot")), *fields)
 
 
 @query(f"WITH {O.REQ}, {O.crawler_ctes(PLAIN)} SELECT request_id, needle, 95 AS confidence_score FROM crawl")
 def crawler_list_match(spark, sf_dir):
-    place = first_needle(F.coalesce(F.col("user_agent"), F.lit("")), list(PLAIN.crawlers))
-    rows = derived.requests(spark, sf_dir).select("request_id", pick(place, list(PLAIN.crawlers)).alias("needle"))
-    return rows.where("needle IS NOT NULL").withColumn("confidence_score", F.lit(95))
+    found = opened(judged(spark, sf_dir), detectors.crawler(PLAIN, F.col("agent.crawler")), "threat_source", "confidence_score")
+    return found.withColumnRenamed("threat_source", "needle")
 
 
 @query(f"WITH {O.REQ}, {O.crawler_ctes(PLAIN)}, x AS ({O.HARVEST}) SELECT request_id, threat_type, threat_source, confidence_score, matched_pattern FROM x")
 def harvester_stacking(spark, sf_dir):
-    return opened(derived.requests(spark, sf_dir).select("request_id", detectors.harvester(PLAIN).alias("r")))
+    return opened(judged(spark, sf_dir), detectors.with_headers(lambda heads: detectors.harvester(PLAIN, F.col("agent.harvester"), heads)))
 
 
 @query(f"WITH {O.REQ}, {O.bots_cte(PLAIN)} SELECT request_id, threat_type, threat_source, confidence_score, matched_pattern FROM bots")
 def bot_best(spark, sf_dir):
-    rows = derived.requests(spark, sf_dir).withColumn("place", detectors.find_bot(PLAIN))
-    return opened(rows.select("request_id", detectors.bot(PLAIN, F.col("place")).alias("r")))
+    return opened(judged(spark, sf_dir), detectors.with_headers(lambda heads: detectors.bot(PLAIN, heads)))
 
 
 @query(f"WITH {O.REQ}, {O.injection_cte(PLAIN)} SELECT request_id, matched_pattern, payload_snippet FROM inj")
 def injection_scan(spark, sf_dir):
-    return opened(derived.requests(spark, sf_dir).select("request_id", detectors.injection(PLAIN).alias("r")), "r", "matched_pattern", "payload_snippet")
+    return opened(derived.requests(spark, sf_dir), detectors.injection(PLAIN), "matched_pattern", "payload_snippet")
 
 
 @query(f"WITH {O.REQ} SELECT * FROM (SELECT request_id, {O.injection_case('q', PLAIN)} AS matched_pattern FROM req) AS x WHERE matched_pattern IS NOT NULL")
 def query_scan(spark, sf_dir):
     config = replace(PLAIN, scan_inputs=False, scan_query=True)
-    return opened(derived.requests(spark, sf_dir).select("request_id", detectors.injection(config).alias("r")), "r", "matched_pattern")
+    return opened(derived.requests(spark, sf_dir), detectors.injection(config), "matched_pattern")
 
 
 @query(f"WITH {O.REQ}, {O.fingerprint_cte(FULL)} SELECT request_id, confidence_score, matched_pattern FROM printed")
 def fingerprint_score(spark, sf_dir):
-    return opened(derived.requests(spark, sf_dir).select("request_id", detectors.fingerprint(FULL).alias("r")), "r", "confidence_score", "matched_pattern")
+    found = detectors.with_headers(lambda heads: detectors.fingerprint(FULL, heads))
+    return opened(derived.requests(spark, sf_dir), found, "confidence_score", "matched_pattern")
 
 
 @query(
@@ -196,8 +193,7 @@ def robots_rules(spark, sf_dir):
 
 @query(f"WITH {O.REQ}, {O.place_cte(FULL)}, {O.robots_cte(FULL)} SELECT request_id, rule FROM broken")
 def robots_violations(spark, sf_dir):
-    rows = derived.requests(spark, sf_dir).withColumn("place", detectors.find_bot(FULL))
-    return rows.select("request_id", robots.violation(FULL, derived.ROBOTS, F.col("place")).alias("rule")).where("rule IS NOT NULL")
+    return judged(spark, sf_dir).select("request_id", each(robots.violation(FULL, derived.ROBOTS, F.col("agent.bot"))).alias("rule"))
 
 
 @query(
@@ -205,9 +201,9 @@ def robots_violations(spark, sf_dir):
     "concat(matched_pattern, ' + robots.txt disallow: ', rule) AS matched_pattern FROM bots JOIN broken USING (request_id)"
 )
 def robots_boost(spark, sf_dir):
-    rows = derived.requests(spark, sf_dir).withColumn("place", detectors.find_bot(FULL)).withColumn("rule", robots.violation(FULL, derived.ROBOTS, F.col("place")))
-    found = rows.where("rule IS NOT NULL").select("request_id", robots.boosted(detectors.bot(FULL, F.col("place")), F.col("rule"), FULL.robots_boost).alias("r"))
-    return opened(found, "r", "confidence_score", "matched_pattern")
+    rows = judged(spark, sf_dir).select("*", each(robots.violation(FULL, derived.ROBOTS, F.col("agent.bot"))).alias("rule"))
+    found = detectors.with_headers(lambda heads: robots.boosted(detectors.bot(FULL, heads), F.col("rule"), FULL.robots_boost))
+    return opened(rows, found, "confidence_score", "matched_pattern")
 
 
 def _robots_sql() -> str:
@@ -233,7 +229,7 @@ _PII_ALL = replace(FULL, pii_disabled=())
 def pii_scan(spark, sf_dir):
     rows = derived.responses(spark, sf_dir)
     found = responses.combine(responses.scan_response(F.col("content_type"), F.col("body"), FULL))
-    return opened(rows.select("request_id", found.alias("r")), "r", "confidence_score", "matched_pattern", "payload_snippet")
+    return opened(rows, found, "confidence_score", "matched_pattern", "payload_snippet")
 
 
 def _redacted_sql() -> str:
@@ -261,6 +257,20 @@ def _threats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.threats(derived.requests(spark, sf_dir), derived.responses(spark, sf_dir), FULL, derived.ROBOTS)
 
 
+def stored(spark: SparkSession, sf_dir: str) -> ThreatLog:
+    """The threat log of these tables, written once for each application: reports read it."""
+    known = spark.sparkContext.__dict__.setdefault("_palisade_logs", {})
+    if sf_dir not in known:
+        found = ThreatLog(spark, scratch_path(spark, "log"))
+        found.append(_threats(spark, sf_dir))
+        known[sf_dir] = found
+    return known[sf_dir]
+
+
+def _log(spark: SparkSession, sf_dir: str, hours: int | None = None) -> DataFrame:
+    return stored(spark, sf_dir).read(None if hours is None else AS_OF, hours)
+
+
 _T = f"WITH {O.threats_ctes(FULL)}"
 _RECENT = f"created_at >= {STAMP} - INTERVAL {HOURS} HOUR"
 _SHOWN = (
@@ -274,6 +284,20 @@ def pipeline_threats(spark, sf_dir):
     return _threats(spark, sf_dir).select(*_SHOWN)
 
 
+_SNAPSHOT = ("User-Agent", "Accept", "Accept-Language", "Accept-Encoding", "Content-Type", "Referer", "X-Forwarded-For", "X-Real-IP")
+
+
+@query(
+    f"WITH {O.threats_ctes(FULL)} SELECT id, headers, country_code, updated_at FROM (SELECT id, user_agent AS ua, id // 2 AS request_id, NULL::VARCHAR AS country_code, created_at AS updated_at FROM threats) AS t "
+    "JOIN (SELECT request_id, concat_ws('|', coalesce(user_agent, '-'), coalesce(h_accept, '-'), coalesce(h_accept_language, '-'), coalesce(h_accept_encoding, '-'), '-', coalesce(h_referer, '-'), '-', '-') AS headers FROM req) AS r "
+    "USING (request_id)"
+)
+def threat_log_rows(spark, sf_dir):
+    """What the log keeps beside the detection: the eight headers in order, no country, and the time."""
+    headers = F.concat_ws("|", *[F.coalesce(F.col("headers_snapshot")[h], F.lit("-")) for h in _SNAPSHOT])
+    return _log(spark, sf_dir).select("id", headers.alias("headers"), "country_code", "updated_at")
+
+
 @query(f"WITH {O.threats_ctes(PLAIN)} SELECT {', '.join(_SHOWN)} FROM threats")
 def pipeline_default(spark, sf_dir):
     """With the settings as shipped: no robots.txt, fingerprint or response scan."""
@@ -286,19 +310,19 @@ def pipeline_default(spark, sf_dir):
     "FROM bots AS b FULL JOIN inj AS i USING (request_id)"
 )
 def library_detect(spark, sf_dir):
-    return opened(pipeline.detect_request(derived.requests(spark, sf_dir)), "threat", "threat_type", "confidence_score")
+    return opened(pipeline.detect_request(derived.requests(spark, sf_dir)), F.col("threat"), "threat_type", "confidence_score")
 
 
 @query(
     " UNION ALL ".join(
         f"SELECT * FROM (WITH {O.threats_ctes(replace(PLAIN, mode=m))} SELECT {O.q(m)} AS mode, action_taken, count(*) AS n FROM threats GROUP BY action_taken)"
-        for m in ("log_only", "block", "rate_limit")
+        for m in MODES
     )
 )
 def action_matrix(spark, sf_dir):
-    found = pipeline.detect(derived.requests(spark, sf_dir)).where("threat IS NOT NULL")
-    rows = [found.select(F.lit(m).alias("mode"), pipeline.action(replace(PLAIN, mode=m), F.col("threat.confidence_score")).alias("action_taken")) for m in ("log_only", "block", "rate_limit")]
-    return rows[0].union(rows[1]).union(rows[2]).groupBy("mode", "action_taken").agg(F.count(F.lit(1)).alias("n"))
+    found = opened(pipeline.detect(derived.requests(spark, sf_dir)), F.col("threat"), "confidence_score")
+    by_mode = [F.struct(F.lit(m).alias("mode"), pipeline.action(replace(PLAIN, mode=m), F.col("confidence_score")).alias("action_taken")) for m in MODES]
+    return found.select(F.inline(F.array(*by_mode))).groupBy("mode", "action_taken").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -306,44 +330,44 @@ def action_matrix(spark, sf_dir):
     + f", count(*) FILTER (action_taken = 'blocked') AS blocked, count(*) FILTER (action_taken = 'rate_limited') AS rate_limited FROM threats WHERE {_RECENT}"
 )
 def threat_summary(spark, sf_dir):
-    return stats.summary(_threats(spark, sf_dir), AS_OF, HOURS)
+    return stats.summary(_log(spark, sf_dir, HOURS), AS_OF, HOURS)
 
 
 @query(f"{_T} SELECT ip_address, count(*) AS total, max(confidence_score) AS confidence_score FROM threats WHERE {_RECENT} GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 10")
 def top_ips(spark, sf_dir):
-    return stats.top_ips(_threats(spark, sf_dir), AS_OF, 10, HOURS)
+    return stats.top_ips(_log(spark, sf_dir, HOURS), AS_OF, 10, HOURS)
 
 
 @query(f"{_T} SELECT threat_source, count(*) AS total FROM threats WHERE {_RECENT} GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 10")
 def top_sources(spark, sf_dir):
-    return stats.top_sources(_threats(spark, sf_dir), AS_OF, 10, HOURS)
+    return stats.top_sources(_log(spark, sf_dir, HOURS), AS_OF, 10, HOURS)
 
 
 @query(f"{_T} SELECT strftime(created_at, '%Y-%m-%d %H:00:00') AS hour, count(*) AS total FROM threats WHERE {_RECENT} GROUP BY 1")
 def timeline_hourly(spark, sf_dir):
-    return stats.timeline(_threats(spark, sf_dir), AS_OF, HOURS)
+    return stats.timeline(_log(spark, sf_dir, HOURS), AS_OF, HOURS)
 
 
 @query(
     f"{_T} SELECT count(*) FILTER (confidence_score >= 90) AS high, count(*) FILTER (confidence_score BETWEEN 70 AND 89) AS medium, count(*) FILTER (confidence_score < 70) AS low FROM threats WHERE {_RECENT}"
 )
 def confidence_breakdown(spark, sf_dir):
-    return stats.confidence_breakdown(_threats(spark, sf_dir), AS_OF, HOURS)
+    return stats.confidence_breakdown(_log(spark, sf_dir, HOURS), AS_OF, HOURS)
 
 
 @query(f"{_T} SELECT id, threat_type, created_at FROM threats WHERE {_RECENT} AND threat_type = 'ai_crawler' ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 25")
 def threat_list_page(spark, sf_dir):
-    return stats.threat_page(_threats(spark, sf_dir), AS_OF, str(HOURS), 25, 2, "ai_crawler", "unknown").select("id", "threat_type", "created_at")
+    return stats.threat_page(_log(spark, sf_dir, HOURS), AS_OF, str(HOURS), 25, 2, "ai_crawler", "unknown").select("id", "threat_type", "created_at")
 
 
 @query(f"{_T} SELECT count(*) AS total FROM threats WHERE {_RECENT} AND threat_type = 'ai_crawler'")
 def threat_list_count(spark, sf_dir):
-    return stats.threat_count(_threats(spark, sf_dir), AS_OF, HOURS, "ai_crawler")
+    return stats.threat_count(_log(spark, sf_dir, HOURS), AS_OF, HOURS, "ai_crawler")
 
 
 @query(f"{_T} SELECT id, threat_type, created_at FROM threats WHERE created_at >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 24 HOUR ORDER BY created_at DESC, id DESC LIMIT 20")
 def recent_threats(spark, sf_dir):
-    return stats.recent_threats(_threats(spark, sf_dir), datetime(2024, 1, 30)).select("id", "threat_type", "created_at")
+    return stats.recent_threats(_log(spark, sf_dir), datetime(2024, 1, 30)).select("id", "threat_type", "created_at")
 
 
 def _label_sql() -> str:
@@ -358,30 +382,64 @@ def _label_sql() -> str:
 
 @query(_label_sql())
 def threat_labels(spark, sf_dir):
-    return stats.labelled(_threats(spark, sf_dir))
+    return stats.labelled(_log(spark, sf_dir))
 
 
 @query(f"{_T} SELECT threat_type, count(*) AS n, count(*) FILTER (confidence_score >= 70) AS high FROM threats WHERE ip_address = '10.1.0.1' GROUP BY 1")
 def scopes_by_ip(spark, sf_dir):
-    rows = stats.by_ip(_threats(spark, sf_dir), "10.1.0.1")
-    return rows.groupBy("threat_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence_score") >= 70).alias("high"))
+    rows = stats.by_ip(_log(spark, sf_dir), "10.1.0.1")
+    high = stats.high_confidence(rows).groupBy("threat_type").agg(F.count(F.lit(1)).alias("high"))
+    return rows.groupBy("threat_type").agg(F.count(F.lit(1)).alias("n")).join(high, "threat_type", "left").fillna(0, ["high"])
+
+
+_SCOPES = {
+    "ai_crawlers": ("threat_type = 'ai_crawler'", stats.ai_crawlers), "prompt_injections": ("threat_type = 'prompt_injection'", stats.prompt_injections),
+    "data_harvesters": ("threat_type = 'data_harvester'", stats.data_harvesters), "blocked": ("action_taken = 'blocked'", stats.blocked),
+    "rate_limited": ("action_taken = 'rate_limited'", stats.rate_limited), "high_confidence": ("confidence_score >= 70", stats.high_confidence),
+    "not_false_positive": ("id % 14 <> 0", stats.not_false_positive), "honeypot_traps": ("threat_type = 'honeypot_trap'", stats.honeypot_traps),
+    "pii_leaks": ("threat_type = 'pii_leak'", stats.pii_leaks), "bad_bots": ("threat_type = 'bad_bot'", stats.bad_bots), "scrapers": ("threat_type = 'scraper'", stats.scrapers),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_T} SELECT {O.q(n)} AS scope, count(*) AS n, max(id) AS newest FROM threats WHERE {test})" for n, (test, _) in _SCOPES.items()))
+def threat_scopes(spark, sf_dir):
+    """Rows in each scope, where every seventh request is marked as a false positive."""
+    log = _log(spark, sf_dir)
+    rows = stats.with_false_positives(log, log.where("id % 14 = 0").select("id"))
+    counted = [scope(rows).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("newest")).select(F.lit(n).alias("scope"), "n", "newest") for n, (_, scope) in _SCOPES.items()]
+    return functools.reduce(DataFrame.union, counted)
+
+
+@query(f"{_T} SELECT id, threat_type, confidence_score FROM threats WHERE id = (SELECT max(id) FROM threats WHERE threat_type = 'honeypot_trap')")
+def threat_lookup(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    newest = log.where("threat_type = 'honeypot_trap'").agg(F.max("id").alias("id")).first().id
+    return stats.find(log, newest).select("id", "threat_type", "confidence_score")
 
 
 @query(f"{_T} SELECT count(*) AS left_over, count(*) FILTER (is_fp) AS marked FROM (SELECT id, id % 14 = 0 AS is_fp FROM threats WHERE created_at >= {STAMP} - INTERVAL 168 HOUR) AS x")
 def false_positive_marks(spark, sf_dir):
-    rows = _threats(spark, sf_dir)
-    marked = stats.with_false_positives(rows, rows.where("id % 14 = 0").select("id"))
-    return stats.recent(marked, AS_OF, 168).agg(F.count(F.lit(1)).alias("left_over"), F.count_if("is_false_positive").alias("marked"))
+    log = _log(spark, sf_dir)
+    own = ThreatLog(spark, scratch_path(spark, "marks"))
+    own.append(stats.recent(log, AS_OF, 168))
+    own.mark(log.where("id % 14 = 0").select("id"))
+    return own.read(AS_OF, 168).agg(F.count(F.lit(1)).alias("left_over"), F.count_if("is_false_positive").alias("marked"))
 
 
-@query(f"{_T} SELECT count(*) AS n, min(created_at) AS oldest FROM threats WHERE created_at >= {STAMP} - INTERVAL 168 HOUR")
+@query(
+    f"{_T} SELECT count(*) FILTER (NOT old) AS n, min(created_at) FILTER (NOT old) AS oldest, count(*) FILTER (old) AS deleted "
+    f"FROM (SELECT created_at, created_at < {STAMP} - INTERVAL 168 HOUR AS old FROM threats) AS x"
+)
 def flush_survivors(spark, sf_dir):
-    return stats.flush_survivors(_threats(spark, sf_dir), AS_OF, "yes", 168).agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("oldest"))
+    own = ThreatLog(spark, scratch_path(spark, "flush"))
+    own.append(_log(spark, sf_dir))
+    deleted = own.flush(AS_OF, "yes", 168)
+    return own.read().agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("oldest"), F.lit(deleted).cast("long").alias("deleted"))
 
 
 @query(f"{_T} SELECT id, threat_type, threat_source AS source, confidence_score AS confidence, matched_pattern AS pattern FROM threats WHERE confidence_score >= 90")
 def alerts(spark, sf_dir):
-    return pipeline.alerts(_threats(spark, sf_dir), FULL)
+    return pipeline.alerts(_log(spark, sf_dir), FULL)
 
 
 @query("SELECT 18 AS crawler_patterns_count, 9 AS harvester_patterns_count, 365 AS bot_signatures_count, 7 AS bot_categories_count, 33 AS prompt_patterns, 10 AS pii_patterns, 28 AS trap_paths")
@@ -414,6 +472,41 @@ def rate_limiter(spark, sf_dir):
     return limiter.limit(derived.requests(spark, sf_dir).select("request_id", "ts", limiter.rate_key().alias("rate_key")), LIMITED)
 
 
+# What clients get
+
+_WINDOWS = replace(LIMITED, max_attempts=2, decay_minutes=720)
+
+
+def _outcome_sql() -> str:
+    decay = _WINDOWS.decay_minutes * 60_000_000
+    most = _WINDOWS.max_attempts
+    return (
+        f"WITH RECURSIVE {O.threats_ctes(_WINDOWS)}, told AS (SELECT r.request_id, r.ts, {_KEY} AS rate_key, t.threat_type, t.confidence_score, t.action_taken "
+        "FROM req AS r LEFT JOIN threats AS t ON t.id = r.request_id * 2), "
+        f"att AS (SELECT request_id, epoch_us(ts) AS us, rate_key, row_number() OVER (PARTITION BY rate_key ORDER BY ts, request_id) AS rn FROM told WHERE confidence_score >= {_WINDOWS.confidence_threshold}), "
+        "fold AS (SELECT request_id, rate_key, rn, true AS allowed, us AS opened, 1 AS hits FROM att WHERE rn = 1 UNION ALL "
+        f"SELECT a.request_id, a.rate_key, a.rn, a.us >= f.opened + {decay} OR f.hits < {most}, CASE WHEN a.us >= f.opened + {decay} THEN a.us ELSE f.opened END, "
+        f"CASE WHEN a.us >= f.opened + {decay} THEN 1 ELSE least(f.hits + 1, {most}) END FROM fold AS f JOIN att AS a ON a.rate_key = f.rate_key AND a.rn = f.rn + 1) "
+        "SELECT request_id, threat_type, confidence_score, action_taken, allowed, CASE WHEN allowed = false THEN 429 ELSE 200 END AS http_status FROM told LEFT JOIN fold USING (request_id)"
+    )
+
+
+@query(_outcome_sql())
+def request_outcomes(spark, sf_dir):
+    """Detection, threshold, limiter and answer of every request in rate_limit mode."""
+    return pipeline.outcomes(derived.requests(spark, sf_dir), None, _WINDOWS)
+
+
+@query(
+    f"{_T}, said AS (SELECT request_id, CASE WHEN i.confidence_score >= 70 THEN 403 WHEN o.id IS NOT NULL THEN 500 ELSE 200 END AS http_status "
+    "FROM req AS r LEFT JOIN threats AS i ON i.id = r.request_id * 2 LEFT JOIN threats AS o ON o.id = r.request_id * 2 + 1) SELECT http_status, count(*) AS n FROM said GROUP BY http_status"
+)
+def block_outcomes(spark, sf_dir):
+    """Answers in block mode: 403 for a request at or above the threshold, 500 in place of a response that leaks."""
+    rows = pipeline.outcomes(derived.requests(spark, sf_dir), derived.responses(spark, sf_dir), FULL, derived.ROBOTS)
+    return rows.groupBy("http_status").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Model scores
 
 _ML = {

@@ -203,6 +203,24 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(F.struct("*").alias("data"), F.lit("success").alias("status"))).alias("json"))
 
 
+def page_json(
+    rows: DataFrame, as_of: datetime, hours: object = None, limit: object = None, page: int = 1, threat_type: str | None = None, action: str | None = None
+) -> DataFrame:
+    """One page of the list in a success envelope: its rows, newest first, and where it stands.  A page holds at most 200 rows."""
+    n = limit_of(limit)
+    shown = threat_page(rows, as_of, hours, limit, page, threat_type, action)
+    listed = shown.agg(F.collect_list(F.struct(F.col("created_at"), F.col("id"), F.struct("*").alias("row"))).alias("found"))
+    newer = lambda a, b: F.when(a["created_at"] > b["created_at"], -1).when(a["created_at"] < b["created_at"], 1).otherwise(F.signum(b["id"] - a["id"]).cast("int"))
+    newest = F.transform(F.array_sort("found", newer), lambda x: x["row"])
+    total = threat_count(rows, as_of, hours, threat_type, action)
+    place = F.struct(
+        newest.alias("data"), F.lit(max(1, page)).alias("current_page"), F.lit(n).alias("per_page"), "total", F.greatest(F.ceil(F.col("total") / n), F.lit(1)).alias("last_page")
+    )
+    # One row beside one row.
+    both = listed.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
+    return both.select(F.to_json(F.struct(place.alias("data"), F.lit("success").alias("status"))).alias("json"))
+
+
 def flush_survivors(rows: DataFrame, as_of: datetime, confirm: str | None, hours: int | None = None) -> DataFrame:
     """What a flush leaves: rows of the last ``hours``, or none.  Rows without a time are not older, and stay."""
     if confirm != "yes":

@@ -56,9 +56,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder driver and executors share: spark.checkpoint.dir, or where that is unset a local one (tests)."""
+    """The folder driver and executors share: spark.checkpoint.dir, or where that is unset on a single machine (tests) a local one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         found = getattr(spark.sparkContext, "_palisade_scratch", None)
         if not found:
             found = tempfile.mkdtemp(prefix="palisade-scratch-")

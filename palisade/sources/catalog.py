@@ -1,22 +1,18 @@
 """The bot signature catalogue: ordered categories of ordered needles, read from a text file.
 
-The file lists each category in a table row ``| ord | `name` | label | confidence | threat type | ...`` and
-its needles in a line ``- **name** (...): `needle` · `needle` ...``, both in evaluation order.
+A line ``[name | label | confidence | threat type]`` begins a category, and each line
+``"needle"`` after it adds a needle; both are in evaluation order.  Other lines are comments.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.config import SIGNATURES
 
-ROW = re.compile(r"^\|\s*(\d+)\s*\|\s*`(\w+)`\s*\|\s*([^|]+?)\s*\|\s*(\d+)\s*\|\s*`(\w+)`\s*\|", re.M)
-NEEDLES = re.compile(r"^- \*\*(\w+)\*\* \([^)]*\): (`.*`)\s*$", re.M)
-
 
 @dataclass(frozen=True)
 class Signature:
@@ -30,13 +26,13 @@ class Signature:
 
 @functools.cache
 def signatures(path: str = SIGNATURES) -> tuple[Signature, ...]:
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
-    lists = {name: re.findall(r"`([^`]*)`", found) for name, found in NEEDLES.findall(text)}
     out: list[Signature] = []
-    for _, category, label, confidence, threat_type in sorted(ROW.findall(text), key=lambda r: int(r[0])):
-        for needle in lists[category]:
-            out.append(Signature(len(out) + 1, category, label, int(confidence), threat_type, needle))
+    with open(path, encoding="utf-8") as f:
+        for line in f.read().split("\n"):
+            if line[:1] == "[" and line[-1:] == "]":
+                category, label, confidence, threat_type = (x.strip() for x in line[1:-1].split("|"))
+            elif len(line) > 2 and line[0] == line[-1] == '"':
+                out.append(Signature(len(out) + 1, category, label, int(confidence), threat_type, line[1:-1]))
     return tuple(out)
 
 
