@@ -66,6 +66,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
+def vocabulary(name: str) -> str:
+    """Where a tokenizer's file is on this machine: a path as it is, a bare name by the installed tokenizers."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice has about ``limit`` bytes of the column, or one row."""
     for batch in batches:

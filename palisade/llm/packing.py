@@ -16,12 +16,13 @@ library once a worker while its cache has room.  Slices with a special string ar
 space only.  Words meet by a 64-bit hash within a slice of about 1 MB.
 
 Defined results: a null or empty text is the end id alone (length 1); equal rows are packed
-separately; null doc_ids are kept; empty tables give no rows.
+separately; null doc_ids are kept; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.kernel import LOWER, Words, buffers, hashes, slices
+from palisade.llm.kernel import LOWER, Words, buffers, hashes, slices, vocabulary
 from palisade.session import materialise
 
 WINDOW = 4096
@@ -41,6 +42,11 @@ BIN_ROWS = 50_000
 #: Words whose ids a worker remembers at most.
 CACHE_WORDS = 800_000
 DIGITS = re.compile(rb"[0-9]")
+#: Settings of the tokenizer for which texts may be cut as ``units`` does (fixed values of its file).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {
+    "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True,
+}
 #: Kinds of bytes: white space, ASCII letters, digits, apostrophe, other ASCII, beyond ASCII.
 KIND = np.full(256, 4, np.uint8)
 KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
@@ -130,8 +136,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        (self.zero,) = self.tokenizer.encode("0", add_special_tokens=False).ids
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        #: Whether texts may be cut into words here; those of any other tokenizer go through the library whole.
+        self.cuts = spec.get("normalizer") == NORMALIZER and (spec.get("pre_tokenizer") or {}).get("pretokenizers", [None])[0] == SPLIT
+        zero = self.tokenizer.encode("0", add_special_tokens=False).ids
+        self.zero = zero[0] if len(zero) == 1 else None
+        self.cuts = self.cuts and self.zero is not None
         self.cache: dict[bytes, bytes] = {}
 
     def _learn(self, need: list[bytes]) -> None:
@@ -160,6 +174,11 @@ class Encoder:
         data, offsets = buffers(texts)
         if not len(data):
             return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        if not self.cuts:
+            found = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            sizes = np.zeros(len(texts) + 1, np.int64)
+            np.cumsum([len(e.ids) for e in found], out=sizes[1:])
+            return np.concatenate([np.array(e.ids, "<u4") for e in found]), sizes
         whole = data.tobytes()
         if any(s in whole for s in self.special):
             words = Words(texts)
@@ -188,17 +207,17 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(tokenizer: str) -> Encoder:
+    return Encoder(vocabulary(tokenizer))
 
 
 def cut_documents(
-    docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (and ids) of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, step = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * window
+        encode, end, step = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * window
         for part in slices(batches, "text"):
             row, start, length, crc, total, ids = [], [], [], [], [], []
             found, offsets = encode(part.column(1))
@@ -229,7 +248,7 @@ def cut_documents(
 
 def pack(
     docs: DataFrame,
-    tokenizer_path: str,
+    tokenizer: str,
     window: int = WINDOW,
     end_id: int = END_ID,
     id_col: str = "doc_id",
@@ -237,8 +256,11 @@ def pack(
     bin_rows: int = BIN_ROWS,
     with_ids: bool = False,
 ) -> DataFrame:
-    """Every piece with its sequence and offset there; the token ids too where asked for."""
-    pieces = materialise(cut_documents(docs, tokenizer_path, window, end_id, id_col, text_col, with_ids), "pieces")
+    """Every piece with its sequence and offset there; the token ids too where asked for.
+
+    ``tokenizer``: a path that every worker has, or the bare name of an installed vocabulary.
+    """
+    pieces = materialise(cut_documents(docs, tokenizer, window, end_id, id_col, text_col, with_ids), "pieces")
     bins = max(1, -(-pieces.count() // bin_rows))
     dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bins)))
     names = [f.name for f in pieces.schema.fields]
@@ -254,7 +276,4 @@ def pack(
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), "word_bpe_49k.json")

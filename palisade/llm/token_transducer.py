@@ -11,7 +11,9 @@ entry state, after which all chunks run side by side and emit.  So one very long
 the same lanes as many short ones.
 
 Counts equal the library's with add_special_tokens=False.  Special strings in a text are
-tokens of their own (the library's default).  Null and empty texts have 0 tokens and 0 bytes.
+tokens of their own (the library's default).  Null and empty texts have 0 tokens and 0 bytes;
+null and repeated doc_ids and repeated rows are counted row by row; empty tables give none;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm.kernel import buffers, mix, powers, slices
+from palisade.llm.kernel import buffers, mix, powers, slices, vocabulary
 
 LIMIT = 1024
 CHUNK = 512
@@ -160,6 +162,10 @@ class Merges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # What the transducer is compiled for; another tokenizer would be counted wrongly without a word.
+        rules = spec.get("pre_tokenizer") or {}
+        if spec["model"]["type"] != "BPE" or spec.get("normalizer") or rules.get("type") != "ByteLevel" or rules.get("add_prefix_space") or not rules.get("use_regex", True):
+            raise ValueError(f"{path}: not a byte-level tokenizer with the usual pattern")
         vocab = spec["model"]["vocab"]
         self.special = [t["content"] for t in spec["added_tokens"]]
         symbols = byte_symbols()
@@ -293,15 +299,18 @@ class Counter:
 
 
 @functools.cache
-def counter(path: str) -> Counter:
-    return Counter(path)
+def counter(tokenizer: str) -> Counter:
+    return Counter(vocabulary(tokenizer))
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens of every row.  One narrow stage: nothing is shuffled."""
+def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens of every row.  One narrow stage: nothing is shuffled.
+
+    ``tokenizer``: a path that every worker has, or the bare name of an installed vocabulary.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer_path)
+        count = counter(tokenizer)
         for part in slices(batches, "text"):
             _, offsets = buffers(part.column(1))
             yield pa.RecordBatch.from_arrays(
@@ -314,8 +323,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    counted = count_tokens(docs, "byte_bpe_50k.json")
     return counted.selectExpr("*", f"n_tokens > {LIMIT} AS over_limit")
