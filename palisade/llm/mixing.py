@@ -5,19 +5,25 @@ Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and s
 cut off is shared again by weight until nothing is above.  That is water-filling: with
 sources in order of cap*size/weight there is one level L with target = min(cap*size, L*weight).
 
-Sampling: a source with target t and size s gives every document t/s copies on average.
-The whole part is allocated with certainty; the rest is the inclusion probability p of one
-more copy.  Documents rank by Pareto order, (u/(1-u)) / (p/(1-p)) with u from a hash of the
-document, and the smallest ranks fill the words that remain.
-
-The cut is found by blocks of u: sums per (source, block) tell which blocks lie wholly
-under it, and only the block it falls in is sorted (about ``BLOCK_ROWS`` rows a source).
-There the documents under the cut are taken, and in further passes those that still fit,
-so each source ends within its last misfit of the target.
-
-Defined results: null text has size 0; null source is a source of its own; equal rows of
-a table have equal u and are ranked arbitrarily among themselves, which leaves the result
-the same; empty tables give none.
+Sampling: a source with target t and size s takes every document floor(t/s) times with
+certainty.  The words that remain go to a sample of one more copy, in which a document of n
+words is included with probability p = min(1, L * n**``POWER``): longer documents are likelier,
+and those whose probability reaches 1 are certain.  L makes the expected words of the sample
+what remains; it comes from counts by size, largest first.  Documents rank by Pareto order,
+(u/(1-u)) / (p/(1-p)) with u from a hash of the document, and the smallest ranks fill what
+remains.
+
+The cut is found by blocks of q/(1+q): sums per (source, block) tell which blocks lie wholly
+under it, and only the block it falls in is sorted.  The cut lies near q = 1, where such a
+block holds at most about ``BLOCK_ROWS`` rows whatever the probabilities are.  There the
+documents under the cut are taken, and in further passes those that still fit, so each source
+ends within its last misfit of the target.
+
+Defined results: null text has size 0; documents of size 0 are included like an average word;
+null source is a source of its own; equal rows of a table have equal u and are ranked
+arbitrarily among themselves, which leaves the result the same; very long texts are one
+document like others; empty tables give none; other columns pass by name where carried and
+else are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from palisade.session import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BUDGET, CAP = 1.5, 2
+#: A document's probability of one more copy grows with its size to this power.
+POWER = 0.5
 BLOCK_ROWS = 4096
 PASSES = 6
 SEED = "mix-1"
@@ -59,6 +67,23 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, budge
     )
 
 
+def inclusion_levels(sized: DataFrame, targets: DataFrame, power: float) -> DataFrame:
+    """(source, L): the factor of size**power that makes the sample's expected words what remains of the target.
+
+    Sizes of a source in order from the largest: as long as L would lift one above probability 1,
+    its documents are certain and the rest shares what they leave.  Rows are distinct sizes, not documents.
+    """
+    sizes = sized.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.join(targets.selectExpr("source AS t_source", "rest"), F.col("source").eqNullSafe(F.col("t_source")))
+    by_size = "PARTITION BY source ORDER BY size DESC ROWS BETWEEN"
+    levels = sizes.selectExpr(
+        "source", "size",
+        f"(rest - coalesce(sum(size * m) OVER ({by_size} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) "
+        f"/ sum(m * power(size, {1 + power}D)) OVER ({by_size} CURRENT ROW AND UNBOUNDED FOLLOWING) AS L",
+    )
+    return levels.where(f"L * power(size, {power}D) <= 1").groupBy("source").agg(F.max_by("L", "size").alias("L"))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -69,9 +94,10 @@ def mix(
     cap: int = CAP,
     block_rows: int = BLOCK_ROWS,
     passes: int = PASSES,
+    power: float = POWER,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (how often the mix takes the document), taken, and columns to carry."""
+    """doc_id, source, size, source_size, target, copies (how often the mix takes the document), taken, inclusion (its probability of one copy more), and columns to carry."""
     sized = materialise(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -84,18 +110,20 @@ def mix(
     )
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = source_targets(sources, weights, budget, cap).selectExpr(
-        "source AS s_source",
+        "source",
         "source_size",
         "target",
         f"greatest(1, n div {block_rows}) AS blocks",
         "CASE WHEN source_size = 0 THEN 0L ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole",
     )
-    targets = targets.selectExpr("*", "target - whole * source_size AS rest", "CASE WHEN source_size = 0 THEN 0D ELSE target / source_size - whole END AS p")
-    rows = sized.join(targets, F.col("source").eqNullSafe(F.col("s_source"))).selectExpr(
-        "doc_id", "source", "size", "source_size", "target", "whole", "rest", "u", *carry,
-        "CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q",
-        "CAST(floor(u * blocks) AS INT) AS block",
-    )
+    targets = materialise(targets.selectExpr("*", "target - whole * source_size AS rest"), "targets")
+    levels = inclusion_levels(sized, targets, power).withColumnRenamed("source", "l_source")
+    targets = targets.join(levels, F.col("source").eqNullSafe(F.col("l_source")), "left").drop("l_source").withColumnRenamed("source", "s_source")
+    share = f"CASE WHEN rest <= 0 OR source_size = 0 THEN 0D WHEN size = 0 THEN rest / source_size ELSE least(1D, L * power(size, {power}D)) END"
+    rows = sized.join(targets, F.col("source").eqNullSafe(F.col("s_source"))).selectExpr("*", f"{share} AS p")
+    rows = rows.selectExpr("*", "CASE WHEN p > 0 THEN (u / (1 - u)) * ((1 - p) / p) END AS q").selectExpr(
+        "doc_id", "source", "size", "source_size", "target", "whole", "rest", "p", "q", *carry, "CAST(floor(coalesce(q / (1 + q), 0D) * blocks) AS INT) AS block"
+    )
     sums = rows.groupBy("source", "block", "rest").agg(F.sum("size").alias("block_size"))
     cuts = sums.selectExpr(
         "source AS c_source",
@@ -104,7 +132,7 @@ def mix(
         "block_size",
     )
     cut = rows.join(cuts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("block") == F.col("c_block")))
-    keep = ["doc_id", "source", "size", "source_size", "target", "whole", *carry]
+    keep = ["doc_id", "source", "size", "source_size", "target", "whole", "p", *carry]
     clear = cut.where("q IS NULL OR room <= 0 OR block_size <= room").selectExpr(*keep, "CAST(q IS NOT NULL AND room > 0 AS INT) AS more")
     # One block of each source at most, so what a task sorts here has a bounded size.
     at = cut.where("q IS NOT NULL AND room > 0 AND block_size > room").selectExpr(*keep, "q", "room", "0 AS more")
@@ -118,7 +146,7 @@ def mix(
             "CASE WHEN run <= room THEN 1 ELSE more END AS more",
         )
     return clear.unionByName(at.select(*keep, "more")).selectExpr(
-        "doc_id", "source", "size", "source_size", "target", "whole + more AS copies", "(whole + more) * size AS taken", *carry
+        "doc_id", "source", "size", "source_size", "target", "whole + more AS copies", "(whole + more) * size AS taken", "p AS inclusion", *carry
     )
 
 
