@@ -8,7 +8,9 @@ is new is appended; a digest the index has already keeps its row.
 
 Defined results: a null text is an empty one.  Null doc_ids count in group_size, and a
 group without any doc_id keeps a null keep_id.  Rows that repeat a doc_id and text count
-separately; all rows with the kept doc_id are marked kept.  Empty tables give none.
+separately; all rows with the kept doc_id are marked kept.  Empty and very long texts are
+texts like others; empty tables give none; other columns pass by name where carried and else
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from palisade.session import scratch_path
 
+
 def digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
@@ -72,6 +75,10 @@ class DigestIndex:
         )
         self.spark.catalog.refreshTable(self.table)
 
+    def close(self) -> None:
+        """Take the index out of the session's catalog; its files stay, and opening the path again reads them."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
 
 def exact_dedup(
     docs: DataFrame,
@@ -89,6 +96,7 @@ def exact_dedup(
     spark = docs.sparkSession
     index = DigestIndex(spark, index_path or scratch_path(spark, "digests"), buckets)
     index.append(docs, id_col, text_col)
+    index.close()
     rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"), *carry)
     # Both sides are shuffled here, so a text that many rows share is split by the adaptive skew join.
     return rows.join(index.rows(), "digest").select(
