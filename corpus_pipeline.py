@@ -88,10 +88,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every row with their sequences."""
-    import public_tokenizers
-
     ship(spark)
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(docs, "word_bpe_49k.json")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
