@@ -11,7 +11,10 @@
    together, not all pairs: links join members into clusters, only members outside the largest
    cluster are compared with the rest, and a bucket ends when nothing is left outside.  Links
    leave as a spanning forest, so a bucket of m sends fewer than m rows.
-   Buckets over ``BLOCK`` members are dealt as pairs of blocks; every two members still meet.
+   A bucket over ``BLOCK`` members is cut into blocks, and each block meets the bucket's
+   representative, which most near copies hang together with.  Only members that are not in
+   its cluster then meet every block, in blocks of their own: no link is lost, and a bucket
+   of near copies of one text costs in proportion to its members.
 4. Components of the links, by large-star and small-star steps, give each document the
    smallest doc_id it can reach.
 
@@ -83,19 +86,28 @@ def full_sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("text", "node", "n", "sketch").mapInArrow(run, "node long, n long, sketch binary, hashes binary")
 
 
-def links_within(node: np.ndarray, sketch: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, percent: int, far: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among members; pairs (i, j) of their places."""
+def links_within(
+    node: np.ndarray, sketch: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, percent: int, far: int, joined: np.ndarray | None = None
+) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links among members, as pairs (i, j) of their places, and each member's cluster.
+
+    ``joined``: members that are known to hang together; no links among them are looked for.
+    """
     m = len(node)
     _, ids = np.unique(hashes, return_inverse=True)
     starts = np.zeros(m, np.int64)
     np.cumsum(sizes[:-1], out=starts[1:])
     mark = np.zeros(int(ids.max()) + 1, bool)
     cluster, tested, out = np.arange(m), np.zeros(m, bool), []
+    home = None
+    if joined is not None and joined.any():
+        home = int(joined.argmax())
+        cluster[joined], tested[joined] = home, True
     while True:
-        counts = np.bincount(cluster, minlength=m)
-        outside = np.flatnonzero((cluster != counts.argmax()) & ~tested)
+        most = cluster[home] if home is not None else np.bincount(cluster, minlength=m).argmax()
+        outside = np.flatnonzero((cluster != most) & ~tested)
         if not len(outside):
-            return out
+            return out, cluster
         p = int(outside[0])
         tested[p] = True
         near = (cluster != cluster[p]) & (100 * np.minimum(sizes, sizes[p]) >= percent * np.maximum(sizes, sizes[p]))
@@ -113,15 +125,27 @@ def links_within(node: np.ndarray, sketch: np.ndarray, hashes: np.ndarray, sizes
 
 
 def bucket_links(table: pa.Table, percent: int, far: int) -> pa.Table:
+    """(node, n, sketch, hashes, bkey, lead, joined) of a group -> links a, b; and with a ``lead``, the members outside its cluster as a, null, bkey."""
     node = table.column("node").to_numpy()
-    node, first = np.unique(node, return_index=True)
-    table = table.take(pa.array(first))
+    # A node that is there twice: as the lead, and as no joined member, comes first.
+    order = np.lexsort((table.column("joined").to_numpy(zero_copy_only=False), ~table.column("lead").to_numpy(zero_copy_only=False), node))
+    node, first = np.unique(node[order], return_index=True)
+    table = table.take(pa.array(order[first]))
     sizes = table.column("n").to_numpy()
     hashes = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
-    pairs = links_within(node, sketch, hashes, sizes, percent, far) if len(node) > 1 else []
+    pairs, cluster = links_within(node, sketch, hashes, sizes, percent, far, table.column("joined").to_numpy(zero_copy_only=False))
     at = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.table({"a": node[at[:, 0]], "b": node[at[:, 1]]})
+    lead = np.flatnonzero(table.column("lead").to_numpy(zero_copy_only=False))
+    alone = node[cluster != cluster[lead[0]]] if len(lead) else node[:0]
+    bkey = table.column("bkey")[0].as_py()
+    return pa.table(
+        {
+            "a": np.concatenate([node[at[:, 0]], alone]),
+            "b": pa.array(np.concatenate([node[at[:, 1]], alone]), mask=np.arange(len(at) + len(alone)) >= len(at)),
+            "bkey": pa.array([None] * len(at) + [bkey] * len(alone), pa.int64()),
+        }
+    )
 
 
 def near_duplicates(
@@ -146,7 +170,7 @@ def near_duplicates(
         .where("m > 1")
         .groupBy("m", "members", "top")
         .agg(F.min("bkey").alias("bkey"))
-        .selectExpr("bkey", f"CAST(ceil(m / {block}) AS INT) AS g")
+        .selectExpr("bkey", "top AS lead", f"CAST(ceil(m / {block}) AS INT) AS g")
     )
     members = materialise(keys.join(buckets, "bkey"), "members")
     release(docs.sparkSession)
@@ -158,19 +182,30 @@ def near_duplicates(
     texts = rows.select("text", "doc_id", "tkey").join(chosen, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tkey") == F.col("r_key")))
     sets = full_sets(texts, k)
 
-    own = F.expr("CAST(pmod(xxhash64(node, 7), g) AS INT)")
-    # A large bucket's blocks meet in pairs; a small one is its only block.
-    dealt = members.withColumn("own", own).select(
-        "node", "bkey", F.explode(F.expr("CASE WHEN g = 1 THEN array(0) ELSE filter(sequence(0, g - 1), x -> x <> own) END")).alias("other"), "own", "g"
-    )
-    dealt = dealt.selectExpr("node", "bkey", "least(own, other) AS lo", "greatest(own, other) AS hi")
+    own = "CAST(pmod(xxhash64(node, 7), g) AS INT) AS own"
     far = largest_xor(percent / 100 - MARGIN, BANDS * ROWS, SKETCH_BITS)
-    links = (
-        dealt.join(sets, "node")
-        .groupBy("bkey", "lo", "hi")
-        .applyInArrow(lambda table: bucket_links(table, percent, far), "a long, b long")
-    )
-    labels = connected_components(links)
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        groups = dealt.join(sets, "node").groupBy("bkey", "own", "turn")
+        return materialise(groups.applyInArrow(lambda table: bucket_links(table, percent, far), "a long, b long, bkey long"), "links")
+
+    # A small bucket is its only block; each block of a large one has its lead with it.
+    small = members.where("g = 1").selectExpr("node", "bkey", "0 AS own", "false AS lead")
+    large = members.where("g > 1").selectExpr("node", "bkey", own, "node = lead AS lead")
+    leads = members.where("g > 1 AND node = lead").selectExpr("node", "bkey", "explode(sequence(0, g - 1)) AS own", "true AS lead")
+    first = linked(small.unionByName(large).unionByName(leads).selectExpr("*", "0 AS turn", "false AS joined"))
+    release(docs.sparkSession)
+
+    # Members outside their lead's cluster, in blocks, meet every block of their bucket.
+    alone = first.where("b IS NULL").selectExpr("a AS node", "bkey").distinct()
+    turns = alone.groupBy("bkey").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("turns"))
+    open_members = members.where("g > 1").join(turns, "bkey")
+    told = open_members.join(alone.withColumn("alone", F.lit(True)), ["node", "bkey"], "left").selectExpr("node", "bkey", "g", "turns", own, "alone IS NULL AS joined")
+    told = materialise(told, "told")
+    blocks = told.selectExpr("node", "bkey", "own", "explode(sequence(0, turns - 1)) AS turn", "joined")
+    visitors = told.where("NOT joined").selectExpr("node", "bkey", "explode(sequence(0, g - 1)) AS own", "CAST(pmod(xxhash64(node, 11), turns) AS INT) AS turn", "joined")
+    second = linked(blocks.unionByName(visitors).withColumn("lead", F.lit(False)))
+    labels = connected_components(first.where("b IS NOT NULL").unionByName(second).select("a", "b"))
     release(docs.sparkSession)
 
     named = (
