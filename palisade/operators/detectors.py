@@ -165,7 +165,7 @@ def detect_text(value: Column, config: Config = Config()) -> Column:  # noqa: B0
 
 
 def scanned_inputs(config: Config) -> Column | None:
-    """Inputs less form tokens; where queries are scanned too, a query value replaces the input of its name."""
+    """Inputs less form tokens; where queries are scanned too, a query value replaces the input of its name, and those with numbers for names are added."""
     top = lambda x: F.substring_index(x["path"], ".", 1)
     inputs = F.filter(F.coalesce("inputs", F.array().cast("array<struct<path:string,value:string>>")), lambda x: ~top(x).isin("_token", "_method"))
     query = F.coalesce("query", F.array().cast("array<struct<path:string,value:string>>"))
@@ -173,9 +173,17 @@ def scanned_inputs(config: Config) -> Column | None:
         return query if config.scan_query else None
     if not config.scan_query:
         return inputs
-    names = F.array_distinct(F.concat(F.transform(inputs, top), F.transform(query, top)))
-    of = lambda items, name: F.filter(items, lambda x: top(x) == name)
-    return F.flatten(F.transform(names, lambda n: F.when(F.size(of(query, n)) > 0, of(query, n)).otherwise(of(inputs, n))))
+
+    def named(items: Column, kind: str) -> Column:
+        key = lambda x: F.concat(F.when(top(x).rlike("^(0|[1-9][0-9]*)$"), F.lit(kind)).otherwise("named"), F.lit(":"), top(x))
+        return F.transform(items, lambda x: F.struct(key(x).alias("key"), x.alias("item")))
+
+    def merged(both: Column) -> Column:
+        of = lambda items, key: F.transform(F.filter(items, lambda x: x["key"] == key), lambda x: x["item"])
+        keys = F.array_distinct(F.concat(both["inputs"]["key"], both["query"]["key"]))
+        return F.flatten(F.transform(keys, lambda k: let(of(both["query"], k), lambda found: F.when(F.size(found) > 0, found).otherwise(of(both["inputs"], k)))))
+
+    return let(F.struct(named(inputs, "input").alias("inputs"), named(query, "query").alias("query")), merged)
 
 
 def injection(config: Config) -> Column:

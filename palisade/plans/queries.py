@@ -481,8 +481,8 @@ def _outcome_sql() -> str:
     decay = _WINDOWS.decay_minutes * 60_000_000
     most = _WINDOWS.max_attempts
     return (
-        f"WITH RECURSIVE {O.threats_ctes(_WINDOWS)}, told AS (SELECT r.request_id, r.ts, {_KEY} AS rate_key, t.threat_type, t.confidence_score, t.action_taken "
-        "FROM req AS r LEFT JOIN threats AS t ON t.id = r.request_id * 2), "
+        f"WITH RECURSIVE {O.threats_ctes(_WINDOWS)}, told AS (SELECT r.request_id, r.ts, r.rate_key, t.threat_type, t.confidence_score, t.action_taken "
+        f"FROM (SELECT request_id, ts, {_KEY} AS rate_key FROM req) AS r LEFT JOIN threats AS t ON t.id = r.request_id * 2), "
         f"att AS (SELECT request_id, epoch_us(ts) AS us, rate_key, row_number() OVER (PARTITION BY rate_key ORDER BY ts, request_id) AS rn FROM told WHERE confidence_score >= {_WINDOWS.confidence_threshold}), "
         "fold AS (SELECT request_id, rate_key, rn, true AS allowed, us AS opened, 1 AS hits FROM att WHERE rn = 1 UNION ALL "
         f"SELECT a.request_id, a.rate_key, a.rn, a.us >= f.opened + {decay} OR f.hits < {most}, CASE WHEN a.us >= f.opened + {decay} THEN a.us ELSE f.opened END, "

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from palisade.config import Config
 from palisade.operators import limiter
 from palisade.operators.results import each
+from palisade.operators.robots import read_robots
 from palisade.plans import pipeline
 from palisade.sources.threat_log import ThreatLog
 
@@ -45,6 +46,18 @@ def verdict_stream(requests: DataFrame, config: Config = Config(), robots_text:
     return limiter.limit_stream(counted, config, lateness)
 
 
+def request_writer(
+    requests: DataFrame, threat_log: ThreatLog, checkpoint: str, config: Config = Config(), robots_path: str | None = None, send: Callable[[DataFrame], None] | None = None  # noqa: B008
+) -> DataStreamWriter:
+    """Judge requests batch by batch and log the threats: robots.txt is read anew for each, and a batch's user agents are judged once each."""
+
+    def judge(rows: DataFrame, batch_id: int) -> None:
+        text = None if robots_path is None else read_robots(rows.sparkSession, robots_path)
+        _store(pipeline.threats(rows, None, config, text), batch_id, threat_log, config, send)
+
+    return requests.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint)
+
+
 def hourly_stream(threats: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Threats an hour and type as a stream: an hour is final once the watermark has passed it."""
     timed = threats.withColumn("at", F.col("created_at").cast("timestamp")).withWatermark("at", lateness)
@@ -55,17 +68,17 @@ def log_writer(
     threats: DataFrame, threat_log: ThreatLog, checkpoint: str, config: Config = Config(), send: Callable[[DataFrame], None] | None = None  # noqa: B008
 ) -> DataStreamWriter:
     """Write threat rows to the log, and hand each batch's alerts to ``send``.  Alerts that can't be sent stop nothing."""
-
-    def store(rows: DataFrame, batch_id: int) -> None:
-        rows = rows.persist()
-        try:
-            threat_log.append_batch(rows, batch_id)
-            if send is not None:
-                try:
-                    send(pipeline.alerts(rows, config))
-                except Exception:  # the hook is the user's, and optional
-                    log.warning("alerts of batch %s were not sent", batch_id, exc_info=True)
-        finally:
-            rows.unpersist()
-
-    return threats.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return threats.writeStream.foreachBatch(lambda rows, batch_id: _store(rows, batch_id, threat_log, config, send)).option("checkpointLocation", checkpoint)
+
+
+def _store(rows: DataFrame, batch_id: int, threat_log: ThreatLog, config: Config, send: Callable[[DataFrame], None] | None) -> None:
+    rows = rows.persist()
+    try:
+        threat_log.append_batch(rows, batch_id)
+        if send is not None:
+            try:
+                send(pipeline.alerts(rows, config))
+            except Exception:  # the hook is the user's, and optional
+                log.warning("alerts of batch %s were not sent", batch_id, exc_info=True)
+    finally:
+        rows.unpersist()

@@ -220,6 +220,18 @@ def test_streams(spark, six, tmp_path):
     assert [(r.start, r.threat_type, r.total) for r in spark.table("hours").collect()] == [(NOW, "ai_crawler", 6)]
 
 
+def test_rules_are_read_for_each_batch(spark, tmp_path):
+    source, log, rules = str(tmp_path / "in"), ThreatLog(spark, str(tmp_path / "log")), tmp_path / "robots.txt"
+    run = lambda: live.request_writer(live.read_requests(spark, source), log, str(tmp_path / "c"), Config(robots_enabled=True), str(rules)).trigger(availableNow=True).start().awaitTermination()
+    rows = requests(spark, [{"agent": "AhrefsBot/7.0", "language": "en", "path": "/private/x"}] * 2)
+    rows.where("request_id = 1").write.mode("append").parquet(source)
+    run()
+    rules.write_text("User-agent: *\nDisallow: /private\n")
+    rows.where("request_id = 2").write.mode("append").parquet(source)
+    run()
+    assert [(r.confidence_score, r.matched_pattern) for r in log.read().orderBy("id").collect()] == [(60, "AhrefsBot"), (90, "AhrefsBot + robots.txt disallow: /private")]
+
+
 def test_alerts_that_fail_stop_nothing(spark, six, tmp_path):
     source, log = str(tmp_path / "in"), ThreatLog(spark, str(tmp_path / "log"))
     six.write.parquet(source)
