@@ -15,7 +15,9 @@ that is counted, so nothing grows with the corpus and nothing but counts is shuf
 Base labels come from phrases whose words stand consecutively in the document, across lines.
 
 Defined results: null and empty texts have no words, no labels and score 0; ``score`` is 1
-with a base label, else the best containment of a template met, else 0.
+with a base label, else the best containment of a template met, else 0; templates that are
+met alike all give their labels; repeated rows and null doc_ids are scanned row by row; very
+long texts are scanned whole; empty tables give none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,24 +41,48 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Notices by label; public license wording.
+#: Notices and paragraphs of licenses by label (fixed values: public license wording).
 TEMPLATES = {
     "agpl": ["licensed under the gnu affero general public license"],
-    "apache": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "apache": [
+        "licensed under the apache license version 2 0",
+        "you may not use this file except in compliance with the license",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or "
+        "conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must "
+        "reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission",
+    ],
     "cc-by": ["this work is licensed under a creative commons attribution 4 0 international license"],
     "cc-by-nc": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
+    "cc0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
     "gpl": [
         "this work is licensed under the gnu general public license version 3",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a "
+        "particular purpose see the gnu general public license for more details",
+    ],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and "
+        "this permission notice appear in all copies",
     ],
     "lgpl": ["licensed under the gnu lesser general public license"],
     "mit": [
         "licensed under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the "
+        "software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice "
+        "shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a "
+        "particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability",
     ],
     "mpl": ["this source code form is subject to the terms of the mozilla public license"],
+    "public-domain": ["this is free and unencumbered software released into the public domain"],
     "reserved": ["all rights reserved no part of this publication may be reproduced"],
 }
 
