@@ -109,9 +109,19 @@ def test_mixing_stage(spark, tmp_path):
     for source, total in totals.items():
         mine = [r[0] for r in rows if r[3] == source]
         whole = math.floor(target[source] / total)
-        room = target[source] - whole * total
+        rest = room = target[source] - whole * total
         if room > 0:
-            for d in sorted(mine, key=lambda d: int(hashlib.md5(f"mix-1:{d}".encode()).hexdigest()[:12], 16)):  # those that fit, in order of the hash
+            # Inclusion grows with the root of the size; documents rank by their odds over its odds, and those that fit are in.
+            low, high = 0.0, 10.0
+            for _ in range(200):
+                level = (low + high) / 2
+                low, high = (level, high) if sum(size[d] * min(1, level * math.sqrt(size[d])) for d in mine) < rest else (low, level)
+            rank = {}
+            for d in mine:
+                u = (int(hashlib.md5(f"mix-1:{d}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
+                p = min(1, low * math.sqrt(size[d])) if size[d] else rest / total
+                rank[d] = u / (1 - u) * (1 - p) / p
+            for d in sorted(mine, key=rank.get):
                 if size[d] <= room:
                     room -= size[d]
                     want[d] += 1
@@ -135,3 +145,43 @@ def test_packing_stage(spark, tmp_path):
     end = lambda spans: [sum(n for _, n in sorted(spans)[:i]) for i in range(len(spans))] == [a for a, _ in sorted(spans)] and sum(n for _, n in spans)
     assert {d: end(spans) for d, spans in pieces.items()} == total
     assert all(end(spans) and end(spans) <= 4096 for spans in windows.values())
+
+
+def odd_rows():
+    """Rows out of the ordinary, with extra columns that bear the names the operators give their own."""
+    rnd = random.Random(12)
+    prose = lambda n: " ".join(f"w{rnd.randrange(400)}" for _ in range(n))
+    long, passage = prose(2500), prose(60)
+    rows = [(None, None, None, None), (None, "", "en", "a"), (None, prose(50), None, None), (3, None, "en", "b"), (3, "same id " + prose(30), "en", "b"), (4, passage, "en", "a")]
+    rows += [(4, passage, "en", "a"), (5, passage, None, "b"), (6, "\n \t", "de", "c"), (7, long, "de", "c"), (8, long + " end", "de", "c"), (9, "short", "en", "a")]
+    rows += [(20 + i, prose(rnd.randrange(25, 60)), rnd.choice(["en", "de", None]), rnd.choice("abc")) for i in range(40)]
+    return [(*r, 0, i, "x", "y", 1.5) for i, r in enumerate(rows)]
+
+
+ODD = SCHEMA + ", row_index int, kept string, component string, copies double"
+
+
+def test_stages_in_a_row(spark, tmp_path):
+    from palisade.session import materialise
+
+    spark.createDataFrame(odd_rows(), ODD).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    first = docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialise(stage(spark, docs, str(tmp_path)), name)
+        assert out.columns == first.columns, name
+        before, after = Counter(map(tuple, docs.collect())), Counter(map(tuple, out.collect()))
+        assert after and set(after) <= set(before), name
+        assert name == "mixing" or all(after[r] <= before[r] for r in after), name
+        sizes.append(sum(after.values()))
+        docs = out
+    assert sizes[0] < len(odd_rows()) and sizes[1] < sizes[0] and sizes[2] < sizes[1]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r.doc_id for r in docs.collect())
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in whole) == Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in packed)
+
+
+def test_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], ODD).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
