@@ -20,7 +20,9 @@
 
 Defined results: null and empty texts, and texts without words, have no shingles and are
 linked with nothing; a null doc_id takes part and is never a component's id unless its
-component has no other; rows that repeat a doc_id share its verdict; empty tables give none.
+component has no other; rows that repeat a doc_id share its verdict, and repeated rows are one
+text; very long texts are whole sets; empty tables give none; other columns pass by name where
+carried and else are ignored.
 """
 
 from __future__ import annotations

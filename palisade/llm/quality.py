@@ -22,7 +22,8 @@ whose mean is noisier.
 
 Defined results: null and empty texts have no words and fail the base rules; a null
 language is a language of its own; texts under 5 bytes have no perplexity and keep the base
-verdict; repeated rows are judged like any others; empty tables give none.
+verdict; repeated rows are judged like any others; very long texts are scored whole; empty
+tables give none; other columns pass by name where carried and else are ignored.
 """
 
 from __future__ import annotations

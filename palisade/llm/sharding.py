@@ -8,7 +8,9 @@ that child's subtree, lowering it only out of it, and siblings exchange nothing.
 
 New shards open a region of their own, so growth moves rows into the new shard only
 (law ``key``).  Defined results: a null key hashes to a fixed value; equal keys share a
-shard; a null text has size 1 and checksum 0.
+shard, and repeated rows have slots of their own there; null and empty texts have size 1 and
+checksum 0; very long texts are one row like others; empty tables give none; other columns
+are ignored.
 """
 
 from __future__ import annotations
