@@ -50,7 +50,11 @@ def _named(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass the base rules and their language's perplexity band."""
+    """Rows that pass the base rules and their language's perplexity band.
+
+    Null and empty texts fail the base rules; equal rows are judged alike and all stay or go; a
+    null language is a language; a null doc_id changes nothing.
+    """
     ship(spark)
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]
@@ -60,7 +64,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with equal texts, one with the largest doc_id."""
+    """Of rows with equal texts, one with the largest doc_id.
+
+    A null text is an empty one; null doc_ids come before all others; of several rows with that
+    doc_id the first in the files stays.
+    """
     ship(spark)
     rows, names = _numbered(docs)
     judged = exact_dedup(rows, id_col=_column(names, "doc_id"), text_col=_column(names, "text"), carry=ROW)
@@ -69,7 +77,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates (0.8 and more in five-word shingles), the one with the smallest doc_id; texts without words all stay."""
+    """Of near duplicates (0.8 and more in five-word shingles), the one with the smallest doc_id; texts without words all stay.
+
+    A null doc_id comes after all others; of several rows with the kept doc_id the first in the
+    files stays.
+    """
     ship(spark)
     rows, names = _numbered(docs)
     judged = near_duplicates(rows, _column(names, "doc_id"), _column(names, "text"), percent=NEAR_PERCENT, carry=ROW).where("kept")
@@ -79,7 +91,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it."""
+    """Each row as often as the mix takes it.
+
+    A null source is a source; null texts have no words and come as often as their source is
+    taken whole; repeated rows are taken one by one.
+    """
     rows, names = _numbered(docs)
     mixed = mix(rows, _column(names, "doc_id"), _column(names, "text"), _column(names, "source"), carry=ROW).where("copies > 0")
     taken = rows.join(mixed.select(*ROW, "copies"), list(ROW))
@@ -87,7 +103,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of every row with their sequences."""
+    """Pieces of every row with their sequences.
+
+    A null text is an empty one, a piece of one id; a row that stands twice is packed twice.
+    """
     ship(spark)
     return pack(docs, "word_bpe_49k.json")
 
