@@ -98,5 +98,8 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished stages now: it does so when the driver collects garbage."""
     import gc
 
+    import pyarrow as pa
+
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
