@@ -15,9 +15,8 @@ remains.
 
 The cut is found by blocks of q/(1+q): sums per (source, block) tell which blocks lie wholly
 under it, and only the block it falls in is sorted.  The cut lies near q = 1, where such a
-block holds at most about ``BLOCK_ROWS`` rows whatever the probabilities are.  There the
-documents under the cut are taken, and in further passes those that still fit, so each source
-ends within its last misfit of the target.
+block holds at most about ``BLOCK_ROWS`` rows whatever the probabilities are.  They are walked
+through in order of rank, and each document that still fits is taken.
 
 Defined results: null text has size 0; documents of size 0 are included like an average word;
 null source is a source of its own; equal rows of a table have equal u and are ranked
@@ -39,7 +38,6 @@ BUDGET, CAP = 1.5, 2
 #: A document's probability of one more copy grows with its size to this power.
 POWER = 0.5
 BLOCK_ROWS = 4096
-PASSES = 6
 SEED = "mix-1"
 
 
@@ -93,7 +91,6 @@ def mix(
     budget: float = BUDGET,
     cap: int = CAP,
     block_rows: int = BLOCK_ROWS,
-    passes: int = PASSES,
     power: float = POWER,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
@@ -116,9 +113,11 @@ def mix(
         f"greatest(1, n div {block_rows}) AS blocks",
         "CASE WHEN source_size = 0 THEN 0L ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole",
     )
-    targets = materialise(targets.selectExpr("*", "target - whole * source_size AS rest"), "targets")
+    targets = targets.selectExpr("*", "target - whole * source_size AS rest")
     levels = inclusion_levels(sized, targets, power).withColumnRenamed("source", "l_source")
     targets = targets.join(levels, F.col("source").eqNullSafe(F.col("l_source")), "left").drop("l_source").withColumnRenamed("source", "s_source")
+    # Written, a table of one row a source has a known size, by which Spark decides to broadcast it.
+    targets = materialise(targets, "targets")
     share = f"CASE WHEN rest <= 0 OR source_size = 0 THEN 0D WHEN size = 0 THEN rest / source_size ELSE least(1D, L * power(size, {power}D)) END"
     rows = sized.join(targets, F.col("source").eqNullSafe(F.col("s_source"))).selectExpr("*", f"{share} AS p")
     rows = rows.selectExpr("*", "CASE WHEN p > 0 THEN (u / (1 - u)) * ((1 - p) / p) END AS q").selectExpr(
@@ -134,17 +133,17 @@ def mix(
     cut = rows.join(cuts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("block") == F.col("c_block")))
     keep = ["doc_id", "source", "size", "source_size", "target", "whole", "p", *carry]
     clear = cut.where("q IS NULL OR room <= 0 OR block_size <= room").selectExpr(*keep, "CAST(q IS NOT NULL AND room > 0 AS INT) AS more")
-    # One block of each source at most, so what a task sorts here has a bounded size.
-    at = cut.where("q IS NOT NULL AND room > 0 AND block_size > room").selectExpr(*keep, "q", "room", "0 AS more")
-    for _ in range(passes):
-        fits = "more = 0 AND size <= room"
-        at = at.selectExpr(
-            *keep, "q", "room", "more",
-            f"CASE WHEN {fits} THEN sum(CASE WHEN {fits} THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS run",
-        ).selectExpr(
-            *keep, "q", "room - coalesce(max(CASE WHEN run <= room THEN run END) OVER (PARTITION BY source), 0) AS room",
-            "CASE WHEN run <= room THEN 1 ELSE more END AS more",
-        )
+    # One block of each source at most, so what is collected and walked through here has a bounded size.
+    fields = ["q", "doc_id", "size", *[c for c in keep if c not in ("doc_id", "size", "source")]]
+    at = cut.where("q IS NOT NULL AND room > 0 AND block_size > room").groupBy("source").agg(
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("ranked"), F.max("room").alias("room")
+    )
+    fits = "x.size <= acc.room"
+    taken = (
+        "aggregate(ranked, named_struct('room', room, 'more', CAST(array() AS array<int>)), "
+        f"(acc, x) -> named_struct('room', CASE WHEN {fits} THEN acc.room - x.size ELSE acc.room END, 'more', concat(acc.more, array(CAST({fits} AS INT)))), acc -> acc.more)"
+    )
+    at = at.selectExpr("source", "ranked", f"{taken} AS more").selectExpr("source", "inline(arrays_zip(ranked, more))").selectExpr("source", "ranked.*", "more")
     return clear.unionByName(at.select(*keep, "more")).selectExpr(
         "doc_id", "source", "size", "source_size", "target", "whole + more AS copies", "(whole + more) * size AS taken", "p AS inclusion", *carry
     )
