@@ -44,6 +44,8 @@ PERCENT = 85
 #: How far below the threshold a sketch's estimate still leads to an exact test (five deviations).
 MARGIN = 0.20
 BLOCK = 2048
+#: A member's block.
+OWN = "CAST(pmod(xxhash64(node, 7), g) AS INT) AS own"
 
 
 def features(rows: DataFrame, k: int) -> DataFrame:
@@ -150,6 +152,16 @@ def bucket_links(table: pa.Table, percent: int, far: int) -> pa.Table:
     )
 
 
+def visits(members: DataFrame, alone: DataFrame, block: int) -> DataFrame:
+    """Groups in which the members outside their lead's cluster, in blocks, meet every block of their bucket."""
+    turns = alone.groupBy("bkey").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("turns"))
+    told = members.where("g > 1").join(turns, "bkey").join(alone.withColumn("alone", F.lit(True)), ["node", "bkey"], "left")
+    told = materialise(told.selectExpr("node", "bkey", "g", "turns", OWN, "alone IS NULL AS joined"), "told")
+    blocks = told.selectExpr("node", "bkey", "own", "explode(sequence(0, turns - 1)) AS turn", "joined")
+    visitors = told.where("NOT joined").selectExpr("node", "bkey", "explode(sequence(0, g - 1)) AS own", "CAST(pmod(xxhash64(node, 11), turns) AS INT) AS turn", "joined")
+    return blocks.unionByName(visitors).withColumn("lead", F.lit(False))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, carry: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -184,7 +196,6 @@ def near_duplicates(
     texts = rows.select("text", "doc_id", "tkey").join(chosen, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tkey") == F.col("r_key")))
     sets = full_sets(texts, k)
 
-    own = "CAST(pmod(xxhash64(node, 7), g) AS INT) AS own"
     far = largest_xor(percent / 100 - MARGIN, BANDS * ROWS, SKETCH_BITS)
 
     def linked(dealt: DataFrame) -> DataFrame:
@@ -193,21 +204,16 @@ def near_duplicates(
 
     # A small bucket is its only block; each block of a large one has its lead with it.
     small = members.where("g = 1").selectExpr("node", "bkey", "0 AS own", "false AS lead")
-    large = members.where("g > 1").selectExpr("node", "bkey", own, "node = lead AS lead")
+    large = members.where("g > 1").selectExpr("node", "bkey", OWN, "node = lead AS lead")
     leads = members.where("g > 1 AND node = lead").selectExpr("node", "bkey", "explode(sequence(0, g - 1)) AS own", "true AS lead")
     first = linked(small.unionByName(large).unionByName(leads).selectExpr("*", "0 AS turn", "false AS joined"))
     release(docs.sparkSession)
 
-    # Members outside their lead's cluster, in blocks, meet every block of their bucket.
     alone = first.where("b IS NULL").selectExpr("a AS node", "bkey").distinct()
-    turns = alone.groupBy("bkey").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("turns"))
-    open_members = members.where("g > 1").join(turns, "bkey")
-    told = open_members.join(alone.withColumn("alone", F.lit(True)), ["node", "bkey"], "left").selectExpr("node", "bkey", "g", "turns", own, "alone IS NULL AS joined")
-    told = materialise(told, "told")
-    blocks = told.selectExpr("node", "bkey", "own", "explode(sequence(0, turns - 1)) AS turn", "joined")
-    visitors = told.where("NOT joined").selectExpr("node", "bkey", "explode(sequence(0, g - 1)) AS own", "CAST(pmod(xxhash64(node, 11), turns) AS INT) AS turn", "joined")
-    second = linked(blocks.unionByName(visitors).withColumn("lead", F.lit(False)))
-    labels = connected_components(first.where("b IS NOT NULL").unionByName(second).select("a", "b"))
+    links = first.where("b IS NOT NULL").select("a", "b")
+    if not alone.isEmpty():
+        links = links.unionByName(linked(visits(members, alone, block)).select("a", "b"))
+    labels = connected_components(links)
     release(docs.sparkSession)
 
     named = (
