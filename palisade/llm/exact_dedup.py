@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from palisade.session import scratch_path
 
 
+#: Tasks that the rows of one text are dealt to.
+SALTS = 16
+
+
 def digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
@@ -97,9 +101,12 @@ def exact_dedup(
     index = DigestIndex(spark, index_path or scratch_path(spark, "digests"), buckets)
     index.append(docs, id_col, text_col)
     index.close()
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"), *carry)
-    # Both sides are shuffled here, so a text that many rows share is split by the adaptive skew join.
-    return rows.join(index.rows(), "digest").select(
+    # A text that many rows share goes to ``SALTS`` tasks.  Of a new index, a text with one row meets that row by its own salt.
+    salt = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(SALTS))
+    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"), salt(F.col(id_col)).alias("_salt"), *carry)
+    all_salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    salts = all_salts if index_path else F.when(F.col("group_size") == 1, F.array(salt(F.col("keep_id")))).otherwise(all_salts)
+    return rows.join(index.rows().select("*", F.explode(salts).alias("_salt")), ["digest", "_salt"]).select(
         "doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), *carry
     )
 
