@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import exact_dedup, html_extract, licenses, mixing, near_dedup, packing, quality, sharding, substring_dedup, token_transducer
+from palisade.llm import byte_pairs, exact_dedup, html_extract, licenses, mixing, near_dedup, packing, prefix_trie, quality, sharding, substring_dedup, token_transducer, whitening
 from palisade.session import ship
 
 
@@ -36,10 +36,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup.op8,
         "op9_exact_dedup": exact_dedup.op9,
         "op10_best_fit_packing": packing.op10,
+        "op11_rank_queue_bpe": byte_pairs.op11,
+        "op12_conversation_trie": prefix_trie.op12,
+        "op13_embedding_whitening": whitening.op13,
         "pipeline": _pipeline,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op9_exact_dedup": exact_dedup.OP9_SQL, "op12_conversation_trie": prefix_trie.OP12_SQL}
