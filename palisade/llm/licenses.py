@@ -1,13 +1,14 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, whatever its length, or for each template any stretch of
-words of about its notice's length (with room for a tenth of other words), across lines, so a
-wrapped notice is found too; a template is the notice below.  A block meets a template where
-it holds at least ``THRESHOLD`` of the template's distinct words.  Every such pair is found: words are ordered by their frequency in the corpus (rarest first), and a block that
-meets the threshold must hold one of the first |T| - ceil(t|T|) + 1 words of that order
-(prefix filter); it must have ceil(t|T|) words at least (length filter); and in a line,
-from the first prefix word it holds, enough of the template must be left (positional filter).
-What passes is verified on whole sets; of the stretches, those that end in a template's word.
+For each template a block is any stretch of words of about its notice's length (with room for
+a tenth of other words), across lines, so a wrapped notice is found, and words that lie far
+apart are none; a template is a notice below.  A block meets a template where it holds at
+least ``THRESHOLD`` of the template's distinct words.  Every such pair is found: words are
+ordered by their frequency in the corpus (rarest first), and a block that meets the threshold
+must hold one of the first |T| - ceil(t|T|) + 1 words of that order (prefix filter; from each of
+them ceil(t|T|) words of the order are left, so the positional filter is met by the prefix's
+length), and ceil(t|T|) places of the template's words (length filter).  What passes is verified
+on whole sets; of all blocks, those that end in a template's word are enough.
 
 The templates are a fixed, short list: they are what is broadcast, and their words are all
 that is counted, so nothing grows with the corpus and nothing but counts is shuffled.
@@ -139,10 +140,6 @@ def word_counts(docs: DataFrame, templates: Templates) -> dict[int, int]:
 class Scanner:
     def __init__(self, templates: Templates, prefixes: list[tuple[int, int, int]], phrases: dict[str, str] = PHRASES):
         self.templates = templates
-        self.prefix_words = np.array(sorted({w for w, _, _ in prefixes}), np.uint64)
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for w, t, place in prefixes:
-            self.postings.setdefault(w, []).append((t, place))
         self.phrases = [(hashes_of(p), label) for p, label in phrases.items()]
         vocabulary = templates.vocabulary
         self.member = np.array([np.isin(vocabulary, s) for s in templates.sets]).reshape(-1, len(vocabulary))
@@ -150,37 +147,6 @@ class Scanner:
         for w, t, _ in prefixes:
             self.rare[t, np.searchsorted(vocabulary, np.uint64(w))] = True
 
-    def blocks(self, words: Words) -> list[tuple[int, int, float]]:
-        """(text, template, containment) of every line that meets a template."""
-        if not len(self.prefix_words) or not words.n:
-            return []
-        at = np.minimum(np.searchsorted(self.prefix_words, words.hashes), len(self.prefix_words) - 1)
-        hits = np.flatnonzero(self.prefix_words[at] == words.hashes)
-        if not len(hits):
-            return []
-        newline = np.flatnonzero(words.data == 10)
-        line = np.searchsorted(newline, words.starts)  # lines of the whole slice
-        edge = np.flatnonzero(np.diff(line, prepend=-1) | np.diff(words.doc, prepend=-1))
-        block = np.searchsorted(edge, hits, "right") - 1
-        found = []
-        for b in np.unique(block).tolist():
-            first, end = int(edge[b]), int(edge[b + 1]) if b + 1 < len(edge) else words.n
-            mine = hits[block == b]
-            best: dict[int, int] = {}
-            for w in set(words.hashes[mine].tolist()):
-                for t, place in self.postings[w]:
-                    best[t] = min(best.get(t, place), place)
-            held = None
-            for t, place in best.items():
-                whole, least = self.templates.sets[t], self.templates.least[t]
-                if end - first < least or len(whole) - place < least:
-                    continue
-                held = np.unique(words.hashes[first:end]) if held is None else held
-                common = int(np.isin(whole, held, assume_unique=True).sum())
-                if common >= least:
-                    found.append((int(words.doc[first]), t, common / len(whole)))
-        return found
-
     def stretches(self, words: Words) -> list[tuple[int, int, float]]:
         """(text, template, best containment) where a stretch of the template's span meets it, across lines."""
         vocabulary = self.templates.vocabulary
@@ -198,11 +164,17 @@ class Scanner:
                 continue
             place, word, text = hits[mine], kind[mine], doc[mine]
             start = np.maximum(place - span + 1, words.first[text])
+            # The filters: places of the template's words, and of its prefix words, in the stretch that ends here.
+            begin, here = np.searchsorted(place, start), np.arange(1, len(mine) + 1)
+            rare = np.append(0, np.cumsum(self.rare[t][word]))
+            passed = (here - begin >= least) & (rare[here] > rare[begin])
+            if not passed.any():
+                continue
             common = np.zeros(len(mine), np.int64)
             for w in np.flatnonzero(self.member[t]).tolist():
                 common += np.maximum.accumulate(np.where(word == w, place, -1)) >= start  # its last place is in the stretch
             best = np.zeros(len(words.counts), np.int64)
-            np.maximum.at(best, text, common)
+            np.maximum.at(best, text[passed], common[passed])
             found += [(d, t, int(best[d]) / len(whole)) for d in np.flatnonzero(best >= least).tolist()]
         return found
 
@@ -229,7 +201,7 @@ class Scanner:
                 base[d].add(label)
         score = np.zeros(n)
         labels = [set(b) for b in base]
-        for d, t, containment in self.blocks(words) + self.stretches(words):
+        for d, t, containment in self.stretches(words):
             labels[d].add(self.templates.labels[t])
             score[d] = max(score[d], containment)
         none = n_base == 0

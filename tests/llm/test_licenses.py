@@ -11,14 +11,13 @@ MIT = " * Permission is hereby granted, free of charge, to any person obtaining\
 
 
 def plain(text, templates, threshold=0.9):
-    """labels and score: every line, and every stretch of each notice's span, against every template."""
-    lines = [WORD.findall(line.lower()) for line in text.split("\n")]
-    words = [w for line in lines for w in line]
+    """labels and score: every stretch of each notice's span against every template."""
+    words = WORD.findall(text.lower())
     labels, score = set(), 0.0
     for label, notices in templates.items():
         for notice in notices:
             span, whole = math.ceil(len(notice.split()) / threshold - 1e-9), set(notice.split())
-            blocks = lines + [words[i : i + span] for i in range(max(1, len(words) - span + 1))]
+            blocks = [words[i : i + span] for i in range(max(1, len(words) - span + 1))]
             held = max(len(whole & set(b)) for b in blocks)
             if held >= math.ceil(threshold * len(whole) - 1e-9):
                 labels.add(label)
@@ -53,3 +52,18 @@ def test_wrapped_notices(spark):
         base = set(filter(None, rows[i].base_labels.split(",")))
         assert rows[i].labels == ",".join(sorted(base | set(filter(None, labels.split(",")))))
         assert rows[i].score == (1 if base else score)
+
+
+def test_scattered_words(spark):
+    """A notice's words far apart in one line are no notice; a wrapped notice in a line of 5,000 words is."""
+    from palisade.llm.licenses import scan_licenses
+    from palisade.session import ship
+
+    ship(spark)
+    rnd = random.Random(2)
+    filler = lambda n: [rnd.choice(["gadget", "lorem", "vivid", "ocean", "this", "to", "in"]) for _ in range(n)]
+    scattered = lambda parts: " ".join(w for part in parts for w in [*filler(100), *part.split()])
+    far = [scattered(["reserved", "all rights", "no part", "publication", "may be reproduced", "of"]), scattered(["permission is", "hereby granted", "free of charge", "to any person obtaining a copy", "of this software and associated", "documentation files"])]
+    near = " ".join(filler(2500)) + " " + MIT.replace("\n", " ") + " " + " ".join(filler(2500))
+    got = {r.doc_id: (r.labels, r.score) for r in scan_licenses(spark.createDataFrame(list(enumerate([*far, near])), "doc_id int, text string")).collect()}
+    assert got == {0: ("", 0.0), 1: ("", 0.0), 2: ("mit", 1.0)}
