@@ -20,9 +20,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.session import materialise
+
 SEED = 20_240_229
 #: Blocks a shard's rows are numbered in; each block is sorted by itself.
-BLOCKS = 512
+BLOCKS = 4096
+#: Copies of a row that one row of a task becomes.
+COPIES = 8192
 
 
 @dataclass(frozen=True)
@@ -90,31 +94,30 @@ def _descend(nodes: tuple[Node, ...], key: Column, seed: int) -> Column:
 def shard_rows(docs: DataFrame, tree: HashTree, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row.
 
-    Slots are dealt by block: rows are counted for each (shard, block) with partial sums,
-    the counts are summed up in block order, and each block numbers its own rows.  No task
-    sorts a whole shard, and the text never leaves the scan.
+    Equal rows are counted first, in part by every task, and only their count moves on; their
+    slots follow one another, so it makes no difference which of them gets which.  Slots are
+    dealt by block, a share of a shard that a hash of the row gives: counts are summed up for
+    each block, blocks of a shard follow one another, and a block numbers its own rows.  Last,
+    a count becomes rows again, ``COPIES`` at a time in any task.  No task sorts a whole shard or
+    holds what one id has, and the text never leaves the scan.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.col(id_col)
-    block = F.pmod(F.xxhash64(F.lit("block"), key), F.lit(blocks)).cast("int")
-    placed = docs.select(
-        key.alias("doc_id"),
-        (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        tree.place(key).alias("shard"),
-        block.alias("_block"),
-    )
-    counts = docs.select(tree.place(key).alias("shard"), block.alias("_block")).groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    rows = docs.select(key.alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n"))
+    placed = rows.withColumns({"shard": tree.place(F.col("doc_id")), "_block": F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(blocks)).cast("int")})
+    placed = materialise(placed, "shards")
+    counts = placed.groupBy("shard", "_block").agg(F.sum("_n").alias("_rows"))
     # At most shards x blocks rows, whatever the input: safe to order and to broadcast.
-    starts = counts.selectExpr("shard", "_block", "sum(_n) OVER (PARTITION BY shard ORDER BY _block) - _n AS _start")
-    joined = placed.join(F.broadcast(starts), ["shard", "_block"])
-    return joined.selectExpr(
-        "doc_id",
-        "size",
-        "text_crc32",
-        "shard",
-        "_start + row_number() OVER (PARTITION BY shard, _block ORDER BY doc_id, text_crc32, size) - 1 AS slot",
+    starts = counts.selectExpr("shard", "_block", "sum(_rows) OVER (PARTITION BY shard ORDER BY _block) - _rows AS _start")
+    numbered = placed.join(F.broadcast(starts), ["shard", "_block"]).selectExpr(
+        "doc_id", "size", "text_crc32", "shard", "_n", "_start + sum(_n) OVER (PARTITION BY shard, _block ORDER BY doc_id, text_crc32, size) - _n AS _first"
     )
+    chunks = numbered.selectExpr("*", f"explode(sequence(0, (_n - 1) div {COPIES})) AS _chunk")
+    # Chunks of one row's copies are dealt out anew; most rows are one chunk and stay where they are.
+    dealt = chunks.where("_chunk = 0").unionByName(chunks.where("_chunk > 0").repartition("doc_id", "_chunk"))
+    copies = f"explode(sequence(_chunk * {COPIES}, least(_n, (_chunk + 1) * {COPIES}) - 1))"
+    return dealt.selectExpr("doc_id", "size", "text_crc32", "shard", "_first", f"{copies} AS _copy").selectExpr("doc_id", "size", "text_crc32", "shard", "_first + _copy AS slot")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
