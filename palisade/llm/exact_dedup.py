@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from palisade.session import scratch_path
 
 
-#: Tasks that the rows of one text are dealt to.
-SALTS = 16
+#: A text with so large a share (1 of HOT) of all rows is looked up by broadcast: there are HOT of them at most.
+HOT = 1000
 
 
 def digest(text: Column) -> Column:
@@ -101,14 +101,17 @@ def exact_dedup(
     index = DigestIndex(spark, index_path or scratch_path(spark, "digests"), buckets)
     index.append(docs, id_col, text_col)
     index.close()
-    # A text that many rows share goes to ``SALTS`` tasks.  Of a new index, a text with one row meets that row by its own salt.
-    salt = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(SALTS))
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"), salt(F.col(id_col)).alias("_salt"), *carry)
-    all_salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-    salts = all_salts if index_path else F.when(F.col("group_size") == 1, F.array(salt(F.col("keep_id")))).otherwise(all_salts)
-    return rows.join(index.rows().select("*", F.explode(salts).alias("_salt")), ["digest", "_salt"]).select(
-        "doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), *carry
-    )
+    groups = index.rows()
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    hot = F.col("group_size") * HOT >= total
+    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"), *carry)
+    # Rows of hot texts meet their group where they are, and go to the other join under a name of their own, which no task has many of.
+    rows = rows.join(F.broadcast(groups.where(hot).selectExpr("digest AS h_digest", "keep_id AS h_keep", "group_size AS h_size")), F.col("digest") == F.col("h_digest"), "left")
+    rows = rows.withColumn("_key", F.when(F.col("h_digest").isNull(), F.col("digest")).otherwise(F.monotonically_increasing_id().cast("string")))
+    rows = rows.join(groups.where(~hot).withColumnRenamed("digest", "_key"), "_key", "left")
+    met = F.col("h_digest").isNotNull()
+    rows = rows.withColumns({"keep_id": F.when(met, F.col("h_keep")).otherwise(F.col("keep_id")), "group_size": F.when(met, F.col("h_size")).otherwise(F.col("group_size"))})
+    return rows.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), *carry)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
