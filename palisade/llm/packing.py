@@ -262,7 +262,9 @@ def pack(
     """
     pieces = materialise(cut_documents(docs, tokenizer, window, end_id, id_col, text_col, with_ids), "pieces")
     bins = max(1, -(-pieces.count() // bin_rows))
-    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bins)))
+    # By place in the written table too, so that equal rows are dealt out; a part's number is the same in a rerun.
+    part = F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1)
+    dealt = pieces.select("*", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", part, F.col("_metadata.row_index")), F.lit(bins)).alias("bin"))
     names = [f.name for f in pieces.schema.fields]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
 
