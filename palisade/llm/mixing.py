@@ -10,23 +10,24 @@ certainty.  The words that remain go to a sample of one more copy, in which a do
 words is included with probability p = min(1, L * n**``POWER``): longer documents are likelier,
 and those whose probability reaches 1 are certain.  L makes the expected words of the sample
 what remains; it comes from counts by size, largest first.  Documents rank by Pareto order,
-(u/(1-u)) / (p/(1-p)) with u from a hash of the document, and the smallest ranks fill what
-remains.
+(u/(1-u)) / (p/(1-p)) with u from a hash of the document's id and its place in the files, and
+the smallest ranks fill what remains.
 
 The cut is found by blocks of q/(1+q): sums per (source, block) tell which blocks lie wholly
 under it, and only the block it falls in is sorted.  The cut lies near q = 1, where such a
-block holds at most about ``BLOCK_ROWS`` rows whatever the probabilities are.  They are walked
-through in order of rank, and each document that still fits is taken.
+block holds at most about ``BLOCK_ROWS`` rows whatever the probabilities are, and whatever ids
+and rows are null or repeated, as no two rows share a place.  They are walked through in order
+of rank, and each document that still fits is taken.
 
 Defined results: null text has size 0; documents of size 0 are included like an average word;
-null source is a source of its own; equal rows of a table have equal u and are ranked
-arbitrarily among themselves, which leaves the result the same; very long texts are one
-document like others; empty tables give none; other columns pass by name where carried and
-else are ignored.
+null source is a source of its own; null and repeated ids and equal rows are documents of their
+own; very long texts are one document like others; empty tables give none; other columns pass
+by name where carried and else are ignored.  A rerun over the same files gives the same mix.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,24 @@ def uniform(key: Column, seed: str = SEED) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
+#: The column with a row's draw by its place: a name that no table has.
+PLACE = "__drawn_by_place__"
+
+
+def drawn(docs: DataFrame, id_col: str, *names: str) -> DataFrame:
+    """The id and the named columns of each row, and ``PLACE``'s draw u: from the id, the row's number in its file and the file's name, less what a rewrite of the same parts gives anew.
+
+    Rows that come from no files have their place in a table that is written here.
+    """
+    columns = list(dict.fromkeys((id_col, *names)))
+    name = F.regexp_replace(F.col("_metadata.file_name"), "-[0-9a-f]{8}-[0-9a-f-]{27}", "")
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), name, F.col("_metadata.row_index").cast("string"))
+    try:
+        return docs.select(*columns, uniform(key).alias(PLACE))
+    except AnalysisException:
+        return materialise(docs.select(*columns), "rows").select("*", uniform(key).alias(PLACE))
+
+
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
     """(source, source_size, n) -> with target.  One row a source: a dimension, ordered in one place."""
     weight = "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {} {} END".format(
@@ -96,11 +115,11 @@ def mix(
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (how often the mix takes the document), taken, inclusion (its probability of one copy more), and columns to carry."""
     sized = materialise(
-        docs.select(
+        drawn(docs, id_col, text_col, source_col, *carry).select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            uniform(F.col(id_col)).alias("u"),
+            F.col(PLACE).alias("u"),
             *carry,
         ),
         "mix",
