@@ -90,6 +90,11 @@ def full_sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("text", "node", "n", "sketch").mapInArrow(run, "node long, n long, sketch binary, hashes binary")
 
 
+def one_each(sets: DataFrame) -> DataFrame:
+    """One row a node; tasks drop their own copies before anything is shuffled."""
+    return sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "hashes")])
+
+
 def links_within(
     node: np.ndarray, sketch: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, percent: int, far: int, joined: np.ndarray | None = None
 ) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -194,7 +199,8 @@ def near_duplicates(
     parts = feats.where("n > 0").select("doc_id", "tkey", "node", "n", "sketch")
     chosen = parts.join(reps, "node").where("doc_id <=> r_id AND tkey = r_key").select("r_id", "r_key", "node", "n", "sketch").distinct()
     texts = rows.select("text", "doc_id", "tkey").join(chosen, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tkey") == F.col("r_key")))
-    sets = full_sets(texts, k)
+    # Rows that repeat a node's id and text are one set from here on: a bucket never holds copies.
+    sets = one_each(full_sets(texts, k))
 
     far = largest_xor(percent / 100 - MARGIN, BANDS * ROWS, SKETCH_BITS)
 

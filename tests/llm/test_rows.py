@@ -103,17 +103,17 @@ def test_index_of_two_batches(spark, tmp_path):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
 
 
-def test_mixing_probabilities(spark):
+def test_mixing_probabilities(spark, tmp_path):
     """Inclusion probabilities and ranks against a plain version: sizes differ, so do the odds, and the order of them decides."""
-    from palisade.llm.mixing import mix, uniform
-    from pyspark.sql import functions as F
+    from palisade.llm.mixing import PLACE, drawn, mix
 
     rnd = random.Random(2)
     sizes = {("a", i): rnd.choice([10, 20, 50, 400, 410, 3000]) for i in range(400)} | {("b", i): rnd.randrange(1, 2000) for i in range(400, 700)} | {(None, 900): 3}
     rows = [(i, " ".join(["x"] * n), s) for (s, i), n in sizes.items()]
-    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "d"))
+    table = spark.read.parquet(str(tmp_path / "d"))
     got = {(r.source, r.doc_id): r for r in mix(table, block_rows=50, weights=(1, 1, 1), budget=1.2).collect()}
-    u = {r.doc_id: r.u for r in table.select("doc_id", uniform(F.col("doc_id")).alias("u")).collect()}
+    u = {r.doc_id: r[PLACE] for r in drawn(table, "doc_id").collect()}
     assert got.keys() == sizes.keys()
     for s in ("a", "b"):
         mine = {k: n for k, n in sizes.items() if k[0] == s}
@@ -232,3 +232,82 @@ def test_base_columns_of_odd_texts():
     for i, t in enumerate(texts):
         n, chars, symbols, dup, rep, _ = brute.base_quality(t)
         assert [int(got[c][i]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == [n, chars, symbols, dup, rep]
+
+
+@pytest.fixture(scope="module")
+def copies(spark, tmp_path_factory):
+    """200,000 rows of null id and one text, beside rows with ids, some of which repeat."""
+    from palisade.session import ship
+    from pyspark.sql import functions as F
+
+    ship(spark)
+    text = " ".join(f"w{i}" for i in range(12))
+    path = str(tmp_path_factory.mktemp("copies") / "documents.parquet")
+    hot = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"), F.lit("a").alias("source"))
+    rest = spark.range(3000).select((F.col("id") % 2000).alias("doc_id"), F.concat(F.lit(f"{text} n"), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source"))
+    hot.unionByName(rest).repartition(8).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_copies_in_shards(copies):
+    """Slots of each shard from 0 without gaps; of equal rows, each has one."""
+    from palisade.llm.sharding import HashTree, shard_rows
+    from pyspark.sql import functions as F
+
+    rows = shard_rows(copies, HashTree.of(8)).persist()
+    found = rows.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.countDistinct("slot").alias("d")).collect()
+    assert sum(r.n for r in found) == 203_000 and all((r.a, r.b, r.d) == (0, r.n - 1, r.n) for r in found)
+    assert {(r.doc_id, r["size"], r.text_crc32): r.n for r in rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")).collect()} == {
+        (r.doc_id, r.s, r.c): r.n for r in copies.groupBy("doc_id", (F.octet_length("text").cast("long") + 1).alias("s"), F.crc32(F.col("text").cast("binary")).alias("c")).agg(F.count("*").alias("n")).collect()
+    }
+    assert max(len(p) for p in rows.rdd.glom().collect()) < 110_000
+    rows.unpersist()
+
+
+def test_copies_in_exact_dedup(copies):
+    from palisade.llm.exact_dedup import exact_dedup
+    from pyspark.sql import functions as F
+
+    rows = exact_dedup(copies)
+    # Rows of the hot text stay in the task that read them.
+    assert max(len(p) for p in rows.rdd.glom().collect()) < 60_000
+    told = rows.groupBy("group_size", F.col("keep_id").isNull().alias("null_id"), "kept").agg(F.count("*").alias("n")).collect()
+    assert {tuple(r) for r in told} == {(200_000, True, True, 200_000), (1, False, True, 3000)}
+
+
+def test_copies_in_mixing(copies, monkeypatch):
+    """What is collected of a cut block has a bounded size, and the mix comes near its target."""
+    from palisade.llm.mixing import mix
+    from pyspark.sql import functions as F
+
+    got = mix(copies, budget=1.5, cap=2, block_rows=1000)
+    assert got.agg(F.sum("taken")).first()[0] == pytest.approx(1.5 * copies.agg(F.sum(F.regexp_count("text", F.lit("[^ ]+")))).first()[0], rel=1e-4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    taken = got.where("doc_id IS NULL").groupBy("copies").count().collect()
+    assert {r.copies for r in taken} == {1, 2} and all(90_000 < r["count"] < 110_000 for r in taken)
+
+
+def test_copies_in_packing(copies, monkeypatch):
+    """Bins of equal rows are of bounded size."""
+    from palisade.llm import packing
+    from pyspark.sql import functions as F
+
+    few = copies.where("doc_id IS NULL").limit(60_000)
+    rows = packing.pack(few, "word_bpe_49k.json", bin_rows=5000)
+    bins = rows.groupBy((F.col("sequence_id") % 12).alias("bin")).count().collect()
+    assert len(bins) == 12 and max(r["count"] for r in bins) < 6000
+    used = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert used.where("n > 4096 OR n <> end").count() == 0
+
+
+def test_copies_in_near_dedup(copies, monkeypatch):
+    """200,000 equal rows are one set in every group: they join no list of members."""
+    from palisade.llm import near_dedup
+    from pyspark.sql import functions as F
+
+    rows = copies.where("doc_id IS NULL OR doc_id < 3")
+    told = near_dedup.near_duplicates(rows).groupBy("doc_id", "n_shingles", "kept").agg(F.count("*").alias("n"), F.countDistinct("component").alias("c")).collect()
+    assert sum(r.n for r in told) == rows.count() and [r.n for r in told if r.doc_id is None] == [200_000] and all(r.c == 1 for r in told)
+    texts = rows.select("text", F.lit(1).cast("long").alias("node"), F.lit(8).cast("long").alias("n"), F.lit(b"").alias("sketch"))
+    assert near_dedup.one_each(near_dedup.full_sets(texts, 5)).count() == 1
