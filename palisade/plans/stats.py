@@ -115,7 +115,8 @@ def recent_threats(rows: DataFrame, as_of: datetime, limit: int = 20) -> DataFra
     return not_false_positive(recent(rows, as_of)).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
 
-def _filtered(rows: DataFrame, as_of: datetime, hours: object, threat_type: str | None, action: str | None) -> DataFrame:
+def filtered(rows: DataFrame, as_of: datetime, hours: object, threat_type: str | None, action: str | None) -> DataFrame:
+    """The window's rows that are no false positives, of a type and an action where those are known ones."""
     out = not_false_positive(recent(rows, as_of, hours_of(hours)))
     if threat_type in FILTER_TYPES:
         out = out.where(F.col("threat_type") == threat_type)
@@ -129,11 +130,11 @@ def threat_page(
 ) -> DataFrame:
     """One page of the list, newest first; ties by id."""
     n = limit_of(limit)
-    return _filtered(rows, as_of, hours, threat_type, action).orderBy(F.desc("created_at"), F.desc("id")).offset((max(1, page) - 1) * n).limit(n)
+    return filtered(rows, as_of, hours, threat_type, action).orderBy(F.desc("created_at"), F.desc("id")).offset((max(1, page) - 1) * n).limit(n)
 
 
 def threat_count(rows: DataFrame, as_of: datetime, hours: object = None, threat_type: str | None = None, action: str | None = None) -> DataFrame:
-    return _filtered(rows, as_of, hours, threat_type, action).agg(F.count(F.lit(1)).alias("total"))
+    return filtered(rows, as_of, hours, threat_type, action).agg(F.count(F.lit(1)).alias("total"))
 
 
 def find(rows: DataFrame, id: int) -> DataFrame:  # noqa: A002

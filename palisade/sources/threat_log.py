@@ -1,19 +1,32 @@
 """The threat log: threat rows in a folder, by day, with marks beside them.
 
 Layout: ``rows/day=YYYY-MM-DD`` holds the rows of a day (rows without a time under Spark's
-default name), ``marks`` the ids that were marked as false positives.  Appending only adds
-files.  Reports read the columns and, where they ask for a window, the days they need.
+default name), ``marks`` the ids that were marked as false positives, ``dead`` what could not be
+judged.  Appending only adds files, sorted by id and with a Bloom filter on it, so that one
+row is found without reading the others.  Reports read the columns and, where they ask for a
+window, the days they need.
+
+A stream's batch is committed once.  Its writer (a name for what is read, say a checkpoint's
+place), its epoch (the query's id, which a checkpoint keeps) and its number name it and its
+files.  The batch is written beside the log, then ``commits/WRITER/EPOCH/BATCH.begun`` tells
+that its files are being moved in, and ``.done`` that they are there.  A batch that is done is
+not added again; one that was cut short first loses the files it has left, which its name
+finds, and no other batch's rows are read.  Only where a writer's earlier epoch has brought
+rows, as after a checkpoint was lost and the source is read from its start again, ids that the
+writer's earlier epochs have logged are left out.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from datetime import date, datetime, timedelta
 
 from pyspark.errors import PySparkValueError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.plans.stats import hours_of, with_false_positives
+from palisade.plans.stats import filtered, hours_of, limit_of, with_false_positives
 
 SCHEMA = (
     "id long, ip_address string, user_agent string, threat_type string, threat_source string, confidence_score int, request_url string, request_method string, "
@@ -21,6 +34,8 @@ SCHEMA = (
     "created_at timestamp_ntz, updated_at timestamp_ntz"
 )
 
+DEAD = "request_id long, phase int, error string, row string"
+
 
 class ThreatLog:
     """A threat log at ``path``, in any file system that Spark reaches."""
@@ -39,40 +54,100 @@ class ThreatLog:
         return files.exists(place(path))
 
     def append(self, rows: DataFrame) -> None:
-        """Add threat rows.  One shuffle by day and a few hundred thousand rows a file, so that days don't become many small files."""
+        """Add threat rows."""
+        self._write(rows, self.rows_path)
+
+    def _write(self, rows: DataFrame, path: str) -> None:
+        """One shuffle by day and a few hundred thousand rows a file, so that days don't become many small files."""
         names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
         dated = rows.select(*names, F.col("created_at").cast("date").alias("day"))
-        dated.repartition("day", F.floor(F.col("id") / 500_000)).write.mode("append").partitionBy("day").parquet(self.rows_path)
+        dealt = dated.repartition("day", F.floor(F.col("id") / 500_000)).sortWithinPartitions("day", "id")
+        dealt.write.mode("append").partitionBy("day").option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.expected.ndv#id", "500000").parquet(path)
 
-    def append_batch(self, rows: DataFrame, batch_id: int) -> None:
-        """For ``foreachBatch``.  A batch that Spark runs again after a failure is not added twice."""
-        done = f"{self.path}/batches/{batch_id}"
+    def append_batch(self, rows: DataFrame, batch_id: int, writer: str = "batches", epoch: str = "0") -> None:
+        """Add a batch of a stream's rows once, however often it is run."""
+        writer, epoch = re.sub(r"[^A-Za-z0-9_-]", "_", writer), re.sub(r"[^A-Za-z0-9_-]", "_", epoch)
+        files, place = self._file_system()
+        commits = f"{self.path}/commits/{writer}"
+        begun, done = (f"{commits}/{epoch}/{batch_id}.{state}" for state in ("begun", "done"))
         if self._exists(done):
             return
-        if self._exists(self.rows_path):
-            # What a run that was cut short has left is of the batch's own days.
-            first = rows.agg(F.min("created_at").cast("date").alias("day")).first().day
-            known = self.spark.read.schema("id long, day date").parquet(self.rows_path)
-            known = known.where(F.col("day").isNull() | F.lit(first is not None) & (F.col("day") >= F.lit(first).cast("date")))
-            rows = rows.join(known.select("id"), "id", "left_anti")
-        self.append(rows)
-        files, place = self._file_system()
-        files.mkdirs(place(done))
+        name = f"{writer}.{epoch}.{batch_id}."
+        before = [] if not self._exists(commits) else [e for e in (s.getPath().getName() for s in files.listStatus(place(commits))) if e != epoch]
+        if before and self._exists(self.rows_path):
+            rows = self._unlogged(rows, f"{writer}.{{{','.join(before)}}}.*")
+        staged = f"{self.path}/staging/{name}{uuid.uuid4().hex}"
+        self._write(rows, staged)
+        if self._exists(begun):
+            for left in files.globStatus(place(f"{self.rows_path}/day=*/{name}*")):
+                files.delete(left.getPath(), False)
+        files.create(place(begun), True).close()
+        at = 0
+        for day in files.listStatus(place(staged)):
+            if not day.isDirectory():
+                continue
+            target = f"{self.rows_path}/{day.getPath().getName()}"
+            files.mkdirs(place(target))
+            for file in files.listStatus(day.getPath()):
+                if not files.rename(file.getPath(), place(f"{target}/{name}{at}.parquet")):
+                    raise OSError(f"{file.getPath()} could not be moved to {target}")
+                at += 1
+        files.create(place(done), True).close()
+        for left in files.globStatus(place(f"{self.path}/staging/{name}*")):
+            files.delete(left.getPath(), True)
+        self.spark.catalog.refreshByPath(self.rows_path)
 
-    def rows(self, as_of: datetime | None = None, hours: object = None) -> DataFrame:
-        """The rows as they were written; with a time, only days that its window touches are read."""
+    def _unlogged(self, rows: DataFrame, names: str) -> DataFrame:
+        """Rows whose ids are not in the files with such names; only days from the rows' first one on are read."""
+        first = rows.agg(F.min("created_at").cast("date").alias("day")).first().day
+        known = self.spark.read.schema("id long, day date").option("pathGlobFilter", names).parquet(self.rows_path)
+        known = known.where(F.col("day").isNull() | F.lit(first is not None) & (F.col("day") >= F.lit(first).cast("date")))
+        return rows.join(known.select("id"), "id", "left_anti")
+
+    def set_aside(self, rows: DataFrame, batch: str) -> None:
+        """Keep a batch's dead letters (request_id, phase, error, row: what could not be judged, as JSON) beside the log; a rerun replaces them."""
+        rows.select(*[f.split(" ")[0] for f in DEAD.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/dead/batch={batch}")
+
+    def dead_letters(self) -> DataFrame:
+        path = f"{self.path}/dead"
+        return self.spark.read.schema(DEAD).parquet(path) if self._exists(path) else self.spark.createDataFrame([], DEAD)
+
+    def rows(self, as_of: datetime | None = None, hours: object = None, days: tuple[date, date] | None = None) -> DataFrame:
+        """The rows as they were written; with a time, only days that its window touches are read, and with days, only those."""
         if not self._exists(self.rows_path):
             return self.spark.createDataFrame([], SCHEMA)
         found = self.spark.read.schema(SCHEMA + ", day date").parquet(self.rows_path)
         if as_of is not None:
             found = found.where(F.col("day") >= F.lit((as_of - timedelta(hours=hours_of(hours))).date()))
+        if days is not None:
+            found = found.where(F.col("day").between(*map(F.lit, days)))
         return found.drop("day")
 
-    def read(self, as_of: datetime | None = None, hours: object = None) -> DataFrame:
+    def read(self, as_of: datetime | None = None, hours: object = None, days: tuple[date, date] | None = None) -> DataFrame:
         """The rows with their false-positive marks."""
-        found = self.rows(as_of, hours)
+        found = self.rows(as_of, hours, days)
         return with_false_positives(found, self.spark.read.schema("id long").parquet(self.marks_path)) if self._exists(self.marks_path) else found
 
+    def page(self, as_of: datetime, hours: object = None, limit: object = None, page: int = 1, threat_type: str | None = None, action: str | None = None) -> DataFrame:
+        """One page of the list, as ``stats.threat_page`` gives it, from the days that the page touches.
+
+        Rows are counted by day first (a window has 366 days at most), so however far back a
+        page lies, only its own days are sorted.
+        """
+        n, first = limit_of(limit), (max(1, page) - 1) * limit_of(limit)
+        chosen = filtered(self.read(as_of, hours), as_of, hours, threat_type, action)
+        counts = sorted(chosen.groupBy(F.col("created_at").cast("date").alias("day")).count().collect(), key=lambda r: r.day, reverse=True)
+        touched, before, skipped = [], 0, 0
+        for r in counts:
+            if before + r["count"] > first and before < first + n:
+                skipped = before if not touched else skipped
+                touched.append(r.day)
+            before += r["count"]
+        if not touched:
+            return chosen.limit(0)
+        rows = filtered(self.read(as_of, hours, (touched[-1], touched[0])), as_of, hours, threat_type, action)
+        return rows.orderBy(F.desc("created_at"), F.desc("id")).offset(first - skipped).limit(n)
+
     def mark(self, ids: DataFrame) -> None:
         """Mark the rows with these ids as false positives.  Ids that no row has change nothing."""
         ids.select(F.col("id").cast("long")).distinct().write.mode("append").parquet(self.marks_path)
