@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.config import Config
+from palisade.functions.automaton import first_needles
 from palisade.functions.patterns import BROWSER_HEADERS, INJECTIONS
 from palisade.functions.text import any_regex, ascii_lower, ascii_lower_text, byte_length, contains_ci, first_needle, is_empty, let, pick, snippet
 from palisade.operators.results import best, nothing, result
@@ -67,17 +68,25 @@ def find_bot(config: Config, agent: Column) -> Column:
     return first_needle(agent, [s.needle for s in signatures(config.signatures_path)])
 
 
+#: From so many needles on, an automaton finds the first.
+INLINE_NEEDLES = 2000
+
+
 def judge_agents(requests: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
     """Requests with ``agent``: the places of the user agent's first needle in catalogue, crawlers and harvesters.
 
     Agents are few beside requests, so each distinct one is judged once and joined back; Spark
     broadcasts them where their measured size allows it and else splits a frequent agent.  A
-    stream has no distinct agents to wait for: there each row is judged by itself.
+    stream has no distinct agents to wait for: there each row is judged by itself.  A few needles
+    are tried one by one in the JVM; longer lists go through one automaton.
     """
 
+    lists = {"bot": [s.needle for s in signatures(config.signatures_path)], "crawler": list(config.crawlers), "harvester": list(config.harvesters)}
+
     def found(agent: Column) -> Column:
-        crawler_at, harvester_at = first_needle(agent, list(config.crawlers)), first_needle(agent, list(config.harvesters))
-        return F.struct(find_bot(config, agent).alias("bot"), crawler_at.alias("crawler"), harvester_at.alias("harvester"))
+        if sum(map(len, lists.values())) > INLINE_NEEDLES:
+            return first_needles(agent, lists)
+        return F.struct(*[first_needle(agent, needles).alias(name) for name, needles in lists.items()])
 
     if requests.isStreaming:
         return requests.withColumn("agent", found(agent_text()))
