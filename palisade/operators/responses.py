@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +14,25 @@ from palisade.functions.text import byte_head, byte_length, contains_ci, jvm_reg
 from palisade.operators.results import result
 
 
+def _holds(*parts: str) -> Callable[[Column], Column]:
+    return lambda seen: functools.reduce(lambda a, b: a | b, [F.contains(seen["head"], F.lit(p)) for p in parts])
+
+
+#: What a text must hold for a pattern to match: cheap to see, and most texts lack it.  ``digits``: four in a row.
+GUARDS: dict[str, Callable[[Column], Column]] = {
+    "email": _holds("@"),
+    "phone": lambda seen: seen["digits"],
+    "credit_card": lambda seen: seen["digits"] & seen["head"].rlike("[0-9]{13}"),
+    "ssn": lambda seen: seen["digits"],
+    "api_key": lambda seen: seen["head"].rlike("[a-zA-Z0-9]{20}"),
+    "aws_key": _holds("AKIA", "ABIA", "ACCA", "ASIA"),
+    "private_key": _holds("-----BEGIN "),
+    "jwt_token": _holds("eyJ"),
+    "ip_address": _holds("10.", "172.", "192.168."),
+    "database_url": _holds("://"),
+}
+
+
 def scannable(content_type: Column) -> Column:
     out = F.lit(False)
     for kind in SCANNED_TYPES:
@@ -22,13 +44,15 @@ def leaks(body: Column, config: Config) -> Column:
     """type, label, severity and the redacted first match of each kind found, in table order."""
     kinds = [p for p in PII if p[0] not in config.pii_disabled]
 
-    def one(head: Column, kind: str, label: str, severity: int, pattern: str) -> Column:
-        regex = jvm_regex(pattern)
-        match = redact(F.regexp_extract(head, regex, 0))
-        return F.when(head.rlike(regex), F.struct(F.lit(kind).alias("type"), F.lit(label).alias("label"), F.lit(severity).alias("severity"), match.alias("matched")))
+    def one(seen: Column, kind: str, label: str, severity: int, pattern: str) -> Column:
+        # No pattern matches nothing, so an empty match is none: each is searched once, and only where it can be.
+        found = F.when(GUARDS[kind](seen), F.nullif(F.regexp_extract(seen["head"], jvm_regex(pattern), 0), F.lit("")))
+        told = lambda m: F.when(m.isNotNull(), F.struct(F.lit(kind).alias("type"), F.lit(label).alias("label"), F.lit(severity).alias("severity"), redact(m).alias("matched")))
+        return let(found, told)
 
     head = body if config.max_response_length is None else byte_head(body, config.max_response_length)
-    return let(head, lambda head: F.array_compact(F.array(*[one(head, *p) for p in kinds])))
+    both = lambda head: F.struct(head.alias("head"), head.rlike("[0-9]{4}").alias("digits"))
+    return let(head, lambda head: let(both(head), lambda seen: F.array_compact(F.array(*[one(seen, *p) for p in kinds]))))
 
 
 def combine(found: Column) -> Column:

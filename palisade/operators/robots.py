@@ -1,14 +1,21 @@
-"""robots.txt: parsing, matching, the score boost, and writing one from the catalogue."""
+"""robots.txt: parsing, matching, the score boost, and writing one from the catalogue.
+
+A few rules are an expression of the row (``violation``).  Many rules, and rules that change
+over time, are a table: a path is spread into its prefixes, as long as rules have, and those are
+joined to the rules' prefixes (``broken_rules``), so the plan is as large for 50,000 rules as for
+five.  Which version of the file holds for a request goes by its time.
+"""
 
 from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.config import SIGNATURES, Config
-from palisade.functions.text import ascii_lower, ascii_lower_text, let, pick
+from palisade.functions.text import ascii_lower, ascii_lower_text, constants, let, pick
 from palisade.operators.detectors import normal_path
 from palisade.operators.results import RESULT
 from palisade.sources.catalog import signature_table, signatures
@@ -58,7 +65,12 @@ def rules_table(spark: SparkSession, text: str | None) -> DataFrame:
 
 
 def path_matches(path: Column, rule: str) -> Column:
-    return F.lit(True) if rule == "/" else F.startswith(path, F.lit(rule.rstrip("*") if rule.endswith("*") else rule))
+    return F.lit(True) if rule == "/" else F.startswith(path, F.lit(matched_prefix(rule)))
+
+
+def matched_prefix(rule: str) -> str:
+    """What a path must begin with to break a rule; every path begins with a slash."""
+    return rule.rstrip("*") if rule.endswith("*") else rule
 
 
 def violation(config: Config, text: str | None, place: Column) -> Column:
@@ -79,6 +91,74 @@ def violation(config: Config, text: str | None, place: Column) -> Column:
     return out
 
 
+#: Versions of a site's rules: when each came into force (None: from the start) and its text, or None for no file.
+Versions = list[tuple[datetime | None, str | None]]
+#: From so many rule lines on they are joined, not tried one by one.
+INLINE_RULES = 200
+
+
+def rule_count(text: str | None) -> int:
+    return sum(len(rules) for _, rules in parse_robots(text or ""))
+
+
+def read_versions(rows: DataFrame) -> Versions:
+    """The versions in a table (valid_from, text).  A site has few, and each is one small file."""
+    return sorted(((r.valid_from, r.text) for r in rows.select("valid_from", "text").collect()), key=lambda v: (v[0] is not None, v[0] or datetime.min))
+
+
+def rule_tables(spark: SparkSession, versions: Versions, config: Config) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Rules (version, grp, prefix, ord, rule), which groups hold for a catalogue place (version, bot, grp), and the lengths of prefixes."""
+    rules, members, lengths = [], [], set()
+    for v, (_, text) in enumerate(versions):
+        at = 0
+        agents: dict[str, list[int]] = {}
+        for g, (agent, found) in enumerate(parse_robots(text or "")):
+            agents.setdefault(ascii_lower_text(agent), []).append(g)
+            for rule in found:
+                rules.append((v, g, matched_prefix(rule), at, rule))
+                lengths.add(len(matched_prefix(rule)))
+                at += 1
+        for s in signatures(config.signatures_path):
+            low = ascii_lower_text(s.needle)
+            members += [(v, s.ord, g) for agent, groups in agents.items() if agent == "*" or low in agent for g in groups]
+    table = lambda rows, names, kinds: spark.createDataFrame(
+        pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
+    )
+    number, text = pa.int32(), pa.string()
+    return (
+        table(rules, ("version", "grp", "prefix", "ord", "rule"), (number, number, text, number, text)),
+        table(members, ("version", "bot", "grp"), (number, number, number)),
+        sorted(lengths),
+    )
+
+
+def version_of(versions: Versions) -> Column:
+    """The version that holds at a row's ``ts``: the last one in force by then; null before the first.  A row without a time has the first without one, if any."""
+    starts = [F.lit(t).cast("timestamp_ntz") if t is not None else F.lit(None).cast("timestamp_ntz") for t, _ in versions]
+    begun = F.filter(F.array(*starts), lambda t: t.isNull() | F.coalesce(t <= F.col("ts").cast("timestamp_ntz"), F.lit(False)))
+    return F.when(F.size(begun) > 0, F.size(begun) - 1)
+
+
+def broken_rules(judged: DataFrame, versions: Versions, config: Config, into: str = "rule") -> DataFrame:
+    """Requests (with ``agent``, see ``judge_agents``) and the first rule that each breaks, or null.
+
+    Each pair of a bot and a path that requests have is looked up once: the path's prefixes meet
+    the rules of the bot's groups by equality, the rule that stands first in the file wins, and
+    what was found is joined back.
+    """
+    rows = judged.withColumns({"_version": version_of(versions), "_path": normal_path()}) if config.robots_enabled and versions else None
+    if rows is None:
+        return judged.withColumn(into, F.lit(None).cast("string"))
+    rules, members, lengths = rule_tables(judged.sparkSession, versions, config)
+    asked = rows.where("agent.bot IS NOT NULL AND _version IS NOT NULL").groupBy(F.col("_version").alias("version"), F.col("agent.bot").alias("bot"), F.col("_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    fitting = F.filter(constants(lengths), lambda n: n <= F.length("path")) if lengths else F.array().cast("array<int>")
+    spread = asked.select("version", "bot", "path", F.explode(fitting).alias("n")).withColumn("prefix", F.expr("left(path, n)"))
+    met = spread.join(members, ["version", "bot"]).join(rules, ["version", "grp", "prefix"])
+    first = met.groupBy(F.col("version").alias("f_version"), F.col("bot").alias("f_bot"), F.col("path").alias("f_path")).agg(F.min_by("rule", "ord").alias(into))
+    on = (F.col("_version") == F.col("f_version")) & (F.col("agent.bot") == F.col("f_bot")) & (F.col("_path") == F.col("f_path"))
+    return rows.join(first, on, "left").drop("_version", "_path", "f_version", "f_bot", "f_path")
+
+
 def boosted(found: Column, rule: Column, boost: int) -> Column:
     """A bot's result with the boost for breaking a rule."""
 

@@ -127,10 +127,10 @@ def fingerprint_cte(config: Config) -> str:
     FROM signals WHERE s1 + s2 + s3 + s4 + s5 >= {config.fingerprint_min_score})"""
 
 
-def robots_cte(config: Config) -> str:
+def robots_cte(config: Config, text: str = ROBOTS) -> str:
     rows, i = [], 0
     for s in signatures(config.signatures_path):
-        for i, rule in enumerate(disallowed(ROBOTS, s.needle), 1):
+        for i, rule in enumerate(disallowed(text, s.needle), 1):
             prefix = rule.rstrip("*") if rule.endswith("*") else rule
             rows.append(f"({s.ord}, {i}, {q(rule)}, {q('' if rule == '/' else prefix)})")
     return (

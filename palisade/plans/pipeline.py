@@ -12,13 +12,17 @@ from palisade.operators import detectors, limiter, ml, responses, robots
 from palisade.operators.results import best, each, nothing
 
 
-def inbound(config: Config, robots_text: str | None = None, ml_score: Column | None = None) -> Column:
-    """The strictly highest of honeypot, bot (with its robots.txt boost), injection (with its model score) and fingerprint."""
+def inbound(config: Config, robots_text: str | None = None, ml_score: Column | None = None, rule: Column | None = None) -> Column:
+    """The strictly highest of honeypot, bot (with its robots.txt boost), injection (with its model score) and fingerprint.
+
+    ``rule``: the rule of robots.txt that the request breaks, where that is known already.
+    """
 
     def judged(heads: Column) -> Column:
         bot = detectors.bot(config, heads)
         if config.robots_enabled:
-            bot = robots.boosted(bot, robots.violation(config, robots_text, F.col("agent")["bot"]), config.robots_boost)
+            broken = robots.violation(config, robots_text, F.col("agent")["bot"]) if rule is None else rule
+            bot = robots.boosted(bot, broken, config.robots_boost)
         injection = detectors.injection(config)
         if config.ml.enabled and ml_score is not None:
             injection = ml.refined(injection, ml_score, config)
@@ -33,11 +37,21 @@ def action(config: Config, score: Column) -> Column:
     return F.when(over, F.lit(named)).otherwise("logged") if named else F.lit("logged")
 
 
-def detect(requests: DataFrame, config: Config = Config(), robots_text: str | None = None, ml_score: Column | None = None) -> DataFrame:  # noqa: B008
-    """Requests that are not whitelisted, with ``threat`` (null: clean)."""
+def detect(
+    requests: DataFrame, config: Config = Config(), robots_text: str | None = None, ml_score: Column | None = None, versions: robots.Versions | None = None  # noqa: B008
+) -> DataFrame:
+    """Requests that are not whitelisted, with ``threat`` (null: clean).
+
+    ``versions``: in place of one text, the rules that held at each request's time.
+    """
     if not config.enabled:
         return requests.where(F.lit(False)).withColumn("threat", nothing())
     live = detectors.judge_agents(requests.where(~detectors.whitelisted(config)), config)
+    if config.robots_enabled and versions is None and not requests.isStreaming and robots.rule_count(robots_text) > robots.INLINE_RULES:
+        versions = [(None, robots_text)]
+    if versions is not None:
+        live = robots.broken_rules(live, versions, config, "_broken")
+        return live.withColumn("threat", inbound(config, None, ml_score, F.col("_broken"))).drop("agent", "_broken")
     return live.withColumn("threat", inbound(config, robots_text, ml_score)).drop("agent")
 
 
@@ -98,10 +112,10 @@ def threats(
     return rows.unionByName(log_rows(out, 1, config))
 
 
-def leaking(responses_df: DataFrame, config: Config) -> DataFrame:
-    """request_id and ``threat`` of the responses that leak; they are few, so their requests are looked up and not the other way round."""
+def leaking(responses_df: DataFrame, config: Config, *more: str) -> DataFrame:
+    """request_id and ``threat`` (and more columns) of the responses that leak; they are few, so their requests are looked up and not the other way round."""
     found = responses.combine(responses.scan_response(F.col("content_type"), F.col("body"), config))
-    return responses_df.select("request_id", each(found).alias("threat"))
+    return responses_df.select("request_id", *more, each(found).alias("threat"))
 
 
 def response_outcome(found: Column, config: Config) -> Column:
@@ -119,9 +133,19 @@ def outcomes(
     passes (200) and whose response leaks is answered with 500 in block mode.
     Whitelisted requests, and all of them while detection is off, pass.
     """
+    found = verdicts_of(requests, config, robots_text, ml_score)
+    return answers(requests, found, None if responses_df is None else leaking(responses_df, config), config)
+
+
+def verdicts_of(requests: DataFrame, config: Config = Config(), robots_text: str | None = None, ml_score: Column | None = None) -> DataFrame:  # noqa: B008
+    """request_id, ts, rate_key, threat_type, confidence_score of the requests in which something was detected."""
     found = detect(requests, config, robots_text, ml_score)
     threat = found.select("request_id", "ts", limiter.rate_key().alias("rate_key"), each(F.col("threat")).alias("threat"))
-    threat = threat.select("request_id", "ts", "rate_key", "threat.threat_type", "threat.confidence_score")
+    return threat.select("request_id", "ts", "rate_key", "threat.threat_type", "threat.confidence_score")
+
+
+def answers(requests: DataFrame, threat: DataFrame, leaks: DataFrame | None, config: Config) -> DataFrame:
+    """What requests come to, given what was detected in them and which responses leak (request_id and ``threat``)."""
     if config.mode == "rate_limit":
         threat = threat.withColumn("counted", F.col("confidence_score") >= config.confidence_threshold)
         threat = limiter.limit(threat, config, "counted", ("threat_type", "confidence_score"))
@@ -129,9 +153,9 @@ def outcomes(
         threat = threat.withColumn("allowed", F.lit(None).cast("boolean"))
     threat = threat.select("request_id", "threat_type", "confidence_score", action(config, F.col("confidence_score")).alias("action_taken"), "allowed")
     out = requests.select("request_id").join(threat, "request_id", "left").withColumn("http_status", http_status(config, F.col("confidence_score"), F.col("allowed")))
-    if responses_df is not None and config.enabled and config.response_enabled:
+    if leaks is not None and config.enabled and config.response_enabled:
         spared = requests.select("request_id", detectors.whitelisted(config).alias("spared"))
-        leaks = leaking(responses_df, config).select("request_id", response_outcome(F.col("threat"), config).alias("replaced"))
+        leaks = leaks.select("request_id", response_outcome(F.col("threat"), config).alias("replaced"))
         leaks = leaks.join(spared.where("NOT spared"), "request_id", "left_semi")
         out = out.join(leaks, "request_id", "left")
         out = out.withColumn("http_status", F.when(F.col("http_status") == 200, F.coalesce("replaced", "http_status")).otherwise(F.col("http_status"))).drop("replaced")

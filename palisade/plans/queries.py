@@ -193,7 +193,28 @@ def robots_rules(spark, sf_dir):
 
 @query(f"WITH {O.REQ}, {O.place_cte(FULL)}, {O.robots_cte(FULL)} SELECT request_id, rule FROM broken")
 def robots_violations(spark, sf_dir):
-    return judged(spark, sf_dir).select("request_id", each(robots.violation(FULL, derived.ROBOTS, F.col("agent.bot"))).alias("rule"))
+    """By the join of paths' prefixes with rules; ``robots_boost`` tries the same few rules in the row."""
+    found = robots.broken_rules(judged(spark, sf_dir), [(None, derived.ROBOTS)], FULL)
+    return found.select("request_id", "rule").where("rule IS NOT NULL")
+
+
+def _versions_sql() -> str:
+    """Each version's first broken rule by itself, and of those the one in force at the request's time."""
+    broken = []
+    for i, (start, text) in enumerate(derived.ROBOTS_VERSIONS):
+        ends = [t for t, _ in derived.ROBOTS_VERSIONS[i + 1 :]][:1]
+        during = f"r.ts >= TIMESTAMP '{start}'" + "".join(f" AND r.ts < TIMESTAMP '{t}'" for t in ends)
+        broken.append(
+            f"SELECT r.request_id, b.rule FROM req AS r JOIN (WITH {O.robots_cte(FULL, text)} SELECT request_id, rule FROM broken) AS b USING (request_id) WHERE {during}"
+        )
+    return f"WITH {O.REQ}, {O.place_cte(FULL)} " + " UNION ALL ".join(broken)
+
+
+@query(_versions_sql())
+def robots_as_of(spark, sf_dir):
+    """Rules that change twice in the month: each request is held to those of its time, and to none before the first."""
+    found = robots.broken_rules(judged(spark, sf_dir), derived.ROBOTS_VERSIONS, FULL)
+    return found.select("request_id", "rule").where("rule IS NOT NULL")
 
 
 @query(
@@ -461,17 +482,28 @@ _KEY = "concat('limit:', coalesce(ip, ''), ':', substr(md5(coalesce(user_agent,
 _DECAY = LIMITED.decay_minutes * 60_000_000
 
 
-@query(
-    f"WITH RECURSIVE {O.REQ}, att AS (SELECT request_id, epoch_us(ts) AS us, {_KEY} AS rate_key, row_number() OVER (PARTITION BY {_KEY} ORDER BY ts, request_id) AS rn FROM req), "
-    "fold AS (SELECT request_id, rate_key, rn, true AS allowed, us AS opened, 1 AS hits FROM att WHERE rn = 1 UNION ALL "
-    f"SELECT a.request_id, a.rate_key, a.rn, a.us >= f.opened + {_DECAY} OR f.hits < {LIMITED.max_attempts}, CASE WHEN a.us >= f.opened + {_DECAY} THEN a.us ELSE f.opened END, "
-    f"CASE WHEN a.us >= f.opened + {_DECAY} THEN 1 ELSE least(f.hits + 1, {LIMITED.max_attempts}) END FROM fold AS f JOIN att AS a ON a.rate_key = f.rate_key AND a.rn = f.rn + 1) "
-    "SELECT request_id, rate_key, allowed FROM fold"
-)
+def _limiter_sql(key: str) -> str:
+    return (
+        f"WITH RECURSIVE {O.REQ}, att AS (SELECT request_id, epoch_us(ts) AS us, {key} AS rate_key, row_number() OVER (PARTITION BY {key} ORDER BY ts, request_id) AS rn FROM req), "
+        "fold AS (SELECT request_id, rate_key, rn, true AS allowed, us AS opened, 1 AS hits FROM att WHERE rn = 1 UNION ALL "
+        f"SELECT a.request_id, a.rate_key, a.rn, a.us >= f.opened + {_DECAY} OR f.hits < {LIMITED.max_attempts}, CASE WHEN a.us >= f.opened + {_DECAY} THEN a.us ELSE f.opened END, "
+        f"CASE WHEN a.us >= f.opened + {_DECAY} THEN 1 ELSE least(f.hits + 1, {LIMITED.max_attempts}) END FROM fold AS f JOIN att AS a ON a.rate_key = f.rate_key AND a.rn = f.rn + 1) "
+        "SELECT request_id, rate_key, allowed FROM fold"
+    )
+
+
+@query(_limiter_sql(_KEY))
 def rate_limiter(spark, sf_dir):
     return limiter.limit(derived.requests(spark, sf_dir).select("request_id", "ts", limiter.rate_key().alias("rate_key")), LIMITED)
 
 
+@query(_limiter_sql(f"CASE WHEN request_id % 2 = 0 THEN 'limit:gateway' ELSE {_KEY} END"))
+def rate_limiter_hot_key(spark, sf_dir):
+    """Half of all requests come through one gateway: its key is judged in slices of at most about 200 attempts."""
+    key = F.when(F.col("request_id") % 2 == 0, F.lit("limit:gateway")).otherwise(limiter.rate_key())
+    return limiter.limit(derived.requests(spark, sf_dir).select("request_id", "ts", key.alias("rate_key")), LIMITED, slice_rows=200)
+
+
 # What clients get
 
 _WINDOWS = replace(LIMITED, max_attempts=2, decay_minutes=720)

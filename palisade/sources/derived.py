@@ -6,6 +6,8 @@ ordered arrays that the detectors read.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +99,14 @@ ROBOTS = "\n".join(
 )
 
 
+#: Rules that came into force one after the other.
+ROBOTS_VERSIONS = [
+    (datetime(2024, 1, 5), "User-agent: *\nDisallow: /search"),
+    (datetime(2024, 1, 12, 6, 30), ROBOTS),
+    (datetime(2024, 1, 22), "User-agent: curl\nDisallow: /page/1*\nUser-agent: *\nDisallow: /page/1\nDisallow: /private/area"),
+]
+
+
 def _headers_column() -> Column:
     order = lambda names: F.array(
         *[F.when(F.col(column_of(h)).isNotNull(), F.struct(F.lit(h).alias("name"), F.col(column_of(h)).alias("value"))) for h in names]
