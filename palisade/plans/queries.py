@@ -292,6 +292,11 @@ def _log(spark: SparkSession, sf_dir: str, hours: int | None = None) -> DataFram
     return stored(spark, sf_dir).read(None if hours is None else AS_OF, hours)
 
 
+def _rolled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Reports from the log's partial counts alone: the window begins on the hour."""
+    return stats.rolled_reports(stored(spark, sf_dir).rolled(AS_OF, HOURS))
+
+
 _T = f"WITH {O.threats_ctes(FULL)}"
 _RECENT = f"created_at >= {STAMP} - INTERVAL {HOURS} HOUR"
 _SHOWN = (
@@ -351,34 +356,34 @@ def action_matrix(spark, sf_dir):
     + f", count(*) FILTER (action_taken = 'blocked') AS blocked, count(*) FILTER (action_taken = 'rate_limited') AS rate_limited FROM threats WHERE {_RECENT}"
 )
 def threat_summary(spark, sf_dir):
-    return stats.summary(_log(spark, sf_dir, HOURS), AS_OF, HOURS)
+    return _rolled(spark, sf_dir)["summary"]
 
 
 @query(f"{_T} SELECT ip_address, count(*) AS total, max(confidence_score) AS confidence_score FROM threats WHERE {_RECENT} GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 10")
 def top_ips(spark, sf_dir):
-    return stats.top_ips(_log(spark, sf_dir, HOURS), AS_OF, 10, HOURS)
+    return _rolled(spark, sf_dir)["top_ips"]
 
 
 @query(f"{_T} SELECT threat_source, count(*) AS total FROM threats WHERE {_RECENT} GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 10")
 def top_sources(spark, sf_dir):
-    return stats.top_sources(_log(spark, sf_dir, HOURS), AS_OF, 10, HOURS)
+    return _rolled(spark, sf_dir)["top_sources"]
 
 
 @query(f"{_T} SELECT strftime(created_at, '%Y-%m-%d %H:00:00') AS hour, count(*) AS total FROM threats WHERE {_RECENT} GROUP BY 1")
 def timeline_hourly(spark, sf_dir):
-    return stats.timeline(_log(spark, sf_dir, HOURS), AS_OF, HOURS)
+    return _rolled(spark, sf_dir)["timeline"]
 
 
 @query(
     f"{_T} SELECT count(*) FILTER (confidence_score >= 90) AS high, count(*) FILTER (confidence_score BETWEEN 70 AND 89) AS medium, count(*) FILTER (confidence_score < 70) AS low FROM threats WHERE {_RECENT}"
 )
 def confidence_breakdown(spark, sf_dir):
-    return stats.confidence_breakdown(_log(spark, sf_dir, HOURS), AS_OF, HOURS)
+    return _rolled(spark, sf_dir)["confidence"]
 
 
 @query(f"{_T} SELECT id, threat_type, created_at FROM threats WHERE {_RECENT} AND threat_type = 'ai_crawler' ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 25")
 def threat_list_page(spark, sf_dir):
-    return stats.threat_page(_log(spark, sf_dir, HOURS), AS_OF, str(HOURS), 25, 2, "ai_crawler", "unknown").select("id", "threat_type", "created_at")
+    return stored(spark, sf_dir).page(AS_OF, str(HOURS), 25, 2, "ai_crawler", "unknown").select("id", "threat_type", "created_at")
 
 
 @query(f"{_T} SELECT count(*) AS total FROM threats WHERE {_RECENT} AND threat_type = 'ai_crawler'")

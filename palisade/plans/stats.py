@@ -110,6 +110,22 @@ def confidence_breakdown(rows: DataFrame, as_of: datetime, hours: int = 24) -> D
     return recent(rows, as_of, hours).agg(F.count_if(s >= 90).alias("high"), F.count_if(s.between(70, 89)).alias("medium"), F.count_if(s < 70).alias("low"))
 
 
+def rolled_reports(partials: DataFrame, limit: int = 10) -> dict[str, DataFrame]:
+    """The five reports from a log's partial counts (``ThreatLog.rolled``), equal to those from its rows."""
+    total = F.coalesce(F.sum("total"), F.lit(0))
+    of = lambda test: F.coalesce(F.sum(F.when(test, F.col("total"))), F.lit(0))
+    kinds = [of(F.col("threat_type") == kind).alias(name) for name, kind in SUMMARY_TYPES]
+    actions = [of(F.col("action_taken") == a).alias(a) for a in ("blocked", "rate_limited")]
+    top = lambda key, *more: partials.groupBy(key).agg(total.alias("total"), *more).orderBy(F.desc("total"), F.asc_nulls_first(key)).limit(limit)
+    return {
+        "summary": partials.agg(total.alias("total"), *kinds, *actions),
+        "top_ips": top("ip_address", F.max("confidence_score").alias("confidence_score")),
+        "top_sources": top("threat_source"),
+        "timeline": partials.groupBy(F.date_format("hour", "yyyy-MM-dd HH:00:00").alias("hour")).agg(total.alias("total")).orderBy("hour"),
+        "confidence": partials.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("high", "medium", "low")]),
+    }
+
+
 def recent_threats(rows: DataFrame, as_of: datetime, limit: int = 20) -> DataFrame:
     """The newest of the last day that are no false positives; ties by id, newest first."""
     return not_false_positive(recent(rows, as_of)).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
