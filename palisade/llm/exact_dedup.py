@@ -63,7 +63,9 @@ class DigestIndex:
             .groupBy("digest")
             .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         )
-        return groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        # The count in the condition keeps the join above the sums: on digests alone Spark would push it below them, to every row.
+        seen = self.read().select(F.col("digest").alias("seen")).hint("merge")
+        return groups.join(seen, (F.col("digest") == F.col("seen")) & (F.col("group_size") > 0), "left_anti")
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Add what the index lacks."""
