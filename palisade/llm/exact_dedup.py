@@ -20,7 +20,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.session import scratch_path
+from palisade.session import materialise, scratch_path
 
 
 #: A text with so large a share (1 of HOT) of all rows is looked up by broadcast: there are HOT of them at most.
@@ -63,6 +63,8 @@ class DigestIndex:
             .groupBy("digest")
             .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         )
+        if self.buckets != int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            groups = materialise(groups, "digests")  # written, a row for each text is dealt to the index's buckets, and the index stays
         # The count in the condition keeps the join above the sums: on digests alone Spark would push it below them, to every row.
         seen = self.read().select(F.col("digest").alias("seen")).hint("merge")
         return groups.join(seen, (F.col("digest") == F.col("seen")) & (F.col("group_size") > 0), "left_anti")
