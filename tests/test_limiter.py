@@ -69,6 +69,15 @@ def test_rows_that_do_not_count(spark):
     assert limiter.limit(table.where("false"), config, slice_rows=1).collect() == []
 
 
+@pytest.fixture
+def one_partition(spark):
+    """State is kept by partition, and small streams need no more than one."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def streamed(spark, tmp_path, batches, name, config, **kw):
     from palisade.session import ship
 
@@ -82,7 +91,7 @@ def streamed(spark, tmp_path, batches, name, config, **kw):
     return spark.table(name).collect()
 
 
-def test_stream_in_any_order(spark, tmp_path):
+def test_stream_in_any_order(spark, tmp_path, one_partition):
     """Attempts arrive up to half an hour late, in chunks that mix times: waiting verdicts are those of the batch."""
     rnd = random.Random(8)
     rows = [r for r in attempts(600, 7200, 6) if r[1]]
@@ -95,7 +104,7 @@ def test_stream_in_any_order(spark, tmp_path):
     assert len([r for r in got if r.request_id >= 0]) == len(rows)
 
 
-def test_stream_at_once(spark, tmp_path):
+def test_stream_at_once(spark, tmp_path, one_partition):
     """Micro-batches in order of time, shuffled inside: verdicts at once, as in batch; an attempt without a time passes."""
     rows = sorted((r for r in attempts(400, 7200, 7) if r[1]), key=lambda r: (r[1], r[0]))
     batches = [rows[i : i + 80] for i in range(0, len(rows), 80)]

@@ -16,6 +16,15 @@ NOW = datetime(2024, 1, 31, 12)
 BLOCK = Config(mode="block", response_enabled=True, whitelist_ips=("9.9.9.9",))
 
 
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    """State is kept by partition, and small streams need no more than one."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture
 def traffic(spark):
     """Requests a minute apart: crawlers, plain ones and a whitelisted one; and what was sent to each: leaks, clean texts, late and missing responses."""
