@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from palisade.config import MODES, Config, MlConfig
 from palisade.functions.patterns import PII
+from palisade.functions.text import pick
 from palisade.operators import detectors, limiter, ml, responses, robots
 from palisade.operators.results import each, result
 from palisade.plans import oracle as O  # noqa: N812
 from palisade.plans import pipeline, stats
 from palisade.session import scratch_path, ship
 from palisade.sources import derived
-from palisade.sources.catalog import signature_table
+from palisade.sources.catalog import signature_table, signatures
 from palisade.sources.threat_log import ThreatLog
 
 AS_OF = datetime(2024, 1, 31)
@@ -110,9 +111,9 @@ def honeypot_hits(spark, sf_dir):
 @query(f"WITH {O.REQ}, {O.place_cte(PLAIN)} SELECT request_id, ord, category, needle FROM place")
 def find_bot(spark, sf_dir):
     """The first needle of the whole catalogue, whatever is switched off."""
-    known = signature_table(spark).select("ord", "category", "needle")
-    rows = judged(spark, sf_dir).select("request_id", F.col("agent.bot").alias("ord"))
-    return rows.join(F.broadcast(known), "ord").select("request_id", "ord", "category", "needle")
+    known = signatures()
+    found = judged(spark, sf_dir).select("request_id", F.col("agent.bot").alias("ord")).where("ord IS NOT NULL")
+    return found.select("request_id", "ord", pick(F.col("ord"), [s.category for s in known]).alias("category"), pick(F.col("ord"), [s.needle for s in known]).alias("needle"))
 
 
 @query(

@@ -49,7 +49,7 @@ def ship(spark: SparkSession) -> None:
         for base, folders, names in os.walk(top):
             folders[:] = [f for f in folders if f != "__pycache__"]
             for name in names:
-                if name.endswith(".py"):
+                if name.endswith((".py", ".txt")):
                     full = os.path.join(base, name)
                     z.write(full, os.path.join("palisade", os.path.relpath(full, top)))
     context.addPyFile(path)
