@@ -65,6 +65,8 @@ def limit(
     """
     rows = attempts.select("request_id", "ts", "rate_key", (F.lit(True) if counted is None else F.coalesce(F.col(counted), F.lit(False))).alias("counted"), *carry)
     timed = F.col("counted") & F.col("ts").isNotNull()
+    if rows.where(timed).count() <= slice_rows:
+        return _whole_keys(rows, config, carry)
     # At most one in ``slice_rows`` attempts names a key here, so the list of hot keys is small beside the attempts.
     hot = rows.where(timed).groupBy("rate_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > slice_rows).select(F.col("rate_key").alias("hot_key"))
     hot = materialise(hot, "hot_keys")

@@ -17,7 +17,7 @@ from palisade.operators import detectors, limiter, ml, responses, robots
 from palisade.operators.results import each, result
 from palisade.plans import oracle as O  # noqa: N812
 from palisade.plans import pipeline, stats
-from palisade.session import scratch_path, ship
+from palisade.session import scratch_path, ship, spread
 from palisade.sources import derived
 from palisade.sources.catalog import signature_table, signatures
 from palisade.sources.threat_log import ThreatLog
@@ -53,7 +53,7 @@ def judged(spark: SparkSession, sf_dir: str, config: Config = PLAIN) -> DataFram
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 # Free text
@@ -81,7 +81,7 @@ def pii_documents(spark, sf_dir):
 
 @query(f"SELECT * FROM ({_pii_body('pages', 'page_id', 'html')}) AS x WHERE confidence_score > 0")
 def pii_pages(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return opened(rows, responses.combine(responses.leaks(F.col("html"), _PII)), "matched_pattern", "confidence_score", key="page_id")
 
 
@@ -96,7 +96,7 @@ def detect_text(spark, sf_dir):
     "SELECT count(*) AS n, count(p) AS hits FROM a"
 )
 def detect_conversations(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return rows.select(detectors.detect_text(F.col("text")).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.count("r").alias("hits"))
 
 
@@ -280,13 +280,18 @@ def _threats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> ThreatLog:
-    """The threat log of these tables, written once for each application: reports read it."""
+    """The threat log of these tables, written once for each state that they are in: reports read it."""
     known = spark.sparkContext.__dict__.setdefault("_palisade_logs", {})
-    if sf_dir not in known:
+    jvm, state = spark.sparkContext._jvm, [sf_dir]
+    for table in ("events", "documents"):
+        place = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        state += [files.getFileStatus(place).getModificationTime(), files.getContentSummary(place).getLength()]
+    if tuple(state) not in known:
         found = ThreatLog(spark, scratch_path(spark, "log"))
         found.append(_threats(spark, sf_dir))
-        known[sf_dir] = found
-    return known[sf_dir]
+        known[tuple(state)] = found
+    return known[tuple(state)]
 
 
 def _log(spark: SparkSession, sf_dir: str, hours: int | None = None) -> DataFrame:

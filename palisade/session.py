@@ -28,6 +28,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a source that has fewer splits than there are cores, dealt out to all of them, as a small file is one split and detection is work; other rows stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 #: Rows that Spark hands to a Python worker at once: whole texts, so Spark's own 10,000 can be very large.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

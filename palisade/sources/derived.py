@@ -11,6 +11,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.session import spread
+
 AGENTS = (
     "Mozilla/5.0 (compatible; GPTBot/1.0)", "curl/7.88.1", "python-requests/2.31.0", "Mozilla/5.0 (compatible; Googlebot/2.1)",
     "Mozilla/5.0 (compatible; Googlebot/2.1; AhrefsBot/7.0)", "Mozilla/5.0 AhrefsBot/7.0", "SCRAPY/2.11", "HeadlessChrome/119", "sqlmap/1.7",
@@ -118,7 +120,7 @@ def _item(name: str, column: str, key: str = "path") -> str:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("palisade_events")
+    spread(spark.read.parquet(f"{sf_dir}/events.parquet")).createOrReplaceTempView("palisade_events")
     flat = spark.sql(REQUESTS_SQL.replace("FROM events", "FROM palisade_events"))
     return flat.select(
         "request_id", "ts", "ip", "method", "url", "path", "user_agent", _headers_column().alias("headers"),
@@ -129,5 +131,5 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("palisade_documents")
+    spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).createOrReplaceTempView("palisade_documents")
     return spark.sql(RESPONSES_SQL.replace("FROM documents", "FROM palisade_documents"))
