@@ -1,6 +1,5 @@
 """The pipeline's stages against plain versions on small tables."""
 
-import hashlib
 import math
 import os
 import random
@@ -98,6 +97,8 @@ def test_exact_dedup_stage(spark, tmp_path):
 
 
 def test_mixing_stage(spark, tmp_path):
+    from palisade.llm.mixing import PLACE, drawn
+
     rnd = random.Random(2)
     rows = [(i, " ".join(["w"] * rnd.randrange(0, 90)), "en", rnd.choice(["a", "b", "c", "c", "c", None])) for i in range(150)] + [(200, None, "en", "a")]
     size = {r[0]: len((r[1] or "").split()) for r in rows}
@@ -105,6 +106,9 @@ def test_mixing_stage(spark, tmp_path):
     for r in rows:
         totals[r[3]] += size[r[0]]
     target = brute.targets(totals)
+    docs = table(spark, tmp_path, rows)
+    draw = {r.doc_id: r[PLACE] for r in drawn(docs, "doc_id").collect()}
+    assert len(set(draw.values())) == len(rows)
     want = Counter()
     for source, total in totals.items():
         mine = [r[0] for r in rows if r[3] == source]
@@ -118,7 +122,7 @@ def test_mixing_stage(spark, tmp_path):
                 low, high = (level, high) if sum(size[d] * min(1, level * math.sqrt(size[d])) for d in mine) < rest else (low, level)
             rank = {}
             for d in mine:
-                u = (int(hashlib.md5(f"mix-1:{d}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
+                u = draw[d]
                 p = min(1, low * math.sqrt(size[d])) if size[d] else rest / total
                 rank[d] = u / (1 - u) * (1 - p) / p
             for d in sorted(mine, key=rank.get):
@@ -127,7 +131,7 @@ def test_mixing_stage(spark, tmp_path):
                     want[d] += 1
         for d in mine:
             want[d] += whole
-    got = Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, table(spark, tmp_path, rows), "").collect())
+    got = Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
     assert got == +want
 
 
