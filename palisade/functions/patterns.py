@@ -4,40 +4,33 @@ from __future__ import annotations
 
 # Matched case-insensitively anywhere in a value; the text is what results report.
 INJECTIONS = (
-    # instruction override
     r"ignore previous instructions",
     r"ignore all previous instructions",
     r"disregard (your|all|previous|the above)",
     r"forget (everything|all|your instructions|what)",
     r"override (your|all|previous|the)",
-    # role manipulation
     r"you are now",
     r"act as (a|an|if)",
     r"pretend (you are|to be|that you)",
     r"roleplay as",
     r"your new (role|persona|identity|instructions)",
     r"from now on you (are|will|must)",
-    # system prompt
     r"(reveal|show|display|print|output|tell me) (your|the) (system prompt|instructions|rules|constraints)",
     r"what (are|were) your (original|initial|system|base) instructions",
     r"repeat (everything|all|your|the) (above|before|prior|previous)",
-    # jailbreak
     r"\bDAN\b",
     r"do anything now",
     r"jailbreak",
     r"bypass (your|all|the|safety|content)",
     r"without (any |your )?(restrictions|limitations|filters|guidelines)",
-    # privilege escalation
     r"developer mode",
     r"admin mode",
     r"sudo (mode|access|override)",
     r"maintenance mode",
     r"debug mode",
     r"you are in (developer|admin|sudo|test)",
-    # data extraction
     r"(output|print|show|display|repeat|dump) (all|every|the) (data|records|entries|users|passwords|keys)",
     r"(ignore|bypass|skip) (validation|sanitization|security|filters)",
-    # tokens
     r"<\|im_start\|>",
     r"<\|im_end\|>",
     r"\[INST\]",
