@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.kernel import SLICE_BYTES, SPACE, Words, buffers, mix, slices
-from palisade.session import materialise
+from palisade.session import materialise, release
 
 ORDER = 5
 #: Models by fold; PLAIN is the one of all rows, copies and the scored text itself included.
@@ -181,6 +181,7 @@ class Model:
     def __init__(self, table: DataFrame, shard_grams: int):
         spark = table.sparkSession
         table = materialise(table, "model")
+        release(spark)  # the driver's memory is the model's from here on, shard by shard
         self.n = max(1, -(-table.count() // shard_grams))
         place = F.expr(f"pmod(shiftright(pmod(key, {SHARD_PRIME}) * {SHARD_FACTOR}, {SHARD_SHIFT}), {self.n})")
         self.shards = []
