@@ -38,22 +38,22 @@ def fail_open(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], phase: i
     plain = given.drop("_deal")
     good: list[DataFrame] = []
     dead: list[DataFrame] = []
-    waiting, split = [(given, 0, str(None))], 0
+    waiting, split = [(given, 0, None)], 0
     while waiting:
-        part, depth, _ = waiting.pop()
+        part, depth, size = waiting.pop()
         told = part.drop("_deal")
         try:
             good.append(materialise(judge(told), "judged"))
             continue
         except Exception as e:
             why = str(e).strip().split("\n")[0][:500]
-        if split >= splits or depth > 14 or part.limit(2).count() < 2:
+        if split >= splits or depth > 14 or size == 1:
             letter = told.select(F.col(key).cast("long").alias("request_id"), F.lit(phase).alias("phase"), F.lit(why).alias("error"), F.to_json(F.struct(*plain.columns)).alias("row"))
             dead.append(letter)
             continue
         split += 1
         turn = F.pmod(F.shiftright("_deal", 4 * depth), F.lit(parts))
-        waiting += [(part.where(turn == i), depth + 1, why) for i in range(parts)]
+        waiting += [(part.where(turn == r.turn), depth + 1, r["count"]) for r in part.groupBy(turn.alias("turn")).count().collect()]
     found = good[0] if good else materialise(judge(plain.where(F.lit(False))), "judged")
     for more in good[1:]:
         found = found.unionByName(more)

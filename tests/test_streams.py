@@ -107,14 +107,14 @@ def picky(rows):
 
 def test_fail_open(spark):
     """The rows that break a judge are dead letters; all others are judged; a judge that is broken itself says so."""
-    rows = requests(spark, [{"agent": "GPTBot/1.0" if i % 3 == 0 else "Mozilla", "language": "en", "inputs": [("m", BREAKS if i in (4, 9, 60) else "x")]} for i in range(80)])
-    found, dead = fail_open.fail_open(rows, picky, parts=4)
-    assert sorted(r.request_id for r in found.collect()) == [i + 1 for i in range(80) if i % 3 == 0 and i not in (9, 60)]
+    rows = requests(spark, [{"agent": "GPTBot/1.0" if i % 3 == 0 else "Mozilla", "language": "en", "inputs": [("m", BREAKS if i in (4, 9) else "x")]} for i in range(40)])
+    found, dead = fail_open.fail_open(rows, picky)
+    assert sorted(r.request_id for r in found.collect()) == [i + 1 for i in range(40) if i % 3 == 0 and i != 9]
     letters = dead.collect()
-    assert sorted(r.request_id for r in letters) == [5, 10, 61] and all(BREAKS in r.row and r.error and r.phase == 0 for r in letters)
+    assert sorted(r.request_id for r in letters) == [5, 10] and all(BREAKS in r.row and r.error and r.phase == 0 for r in letters)
     # When too many rows fail, what is left is set aside, not lost.
     found, dead = fail_open.fail_open(rows, picky, parts=2, splits=3)
-    assert {r.request_id for r in dead.collect()} >= {5, 10, 61} and found.count() + dead.where("(request_id - 1) % 3 = 0").count() == 27
+    assert {r.request_id for r in dead.collect()} >= {5, 10} and found.count() + dead.where("(request_id - 1) % 3 = 0").count() == 14
     clean, none = fail_open.fail_open(rows.where("request_id < 4"), picky)
     assert clean.count() == 1 and none.isEmpty()
     with pytest.raises(Exception, match="(?i)no_such"):
