@@ -64,6 +64,8 @@ def limit(
     Keys with more than ``slice_rows`` attempts are cut into slices of about that many.
     """
     rows = attempts.select("request_id", "ts", "rate_key", (F.lit(True) if counted is None else F.coalesce(F.col(counted), F.lit(False))).alias("counted"), *carry)
+    # Written once: attempts are what detection found, and they are counted before they are judged.
+    rows = materialise(rows, "attempts")
     timed = F.col("counted") & F.col("ts").isNotNull()
     if rows.where(timed).count() <= slice_rows:
         return _whole_keys(rows, config, carry)

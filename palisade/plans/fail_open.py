@@ -57,8 +57,9 @@ def fail_open(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], phase: i
     found = good[0] if good else materialise(judge(plain.where(F.lit(False))), "judged")
     for more in good[1:]:
         found = found.unionByName(more)
-    letters = dead[0]
-    for more in dead[1:]:
+    # None where the first failure did not come from a row, as when a machine was lost.
+    letters = rows.sparkSession.createDataFrame([], DEAD)
+    for more in dead:
         letters = letters.unionByName(more)
     letters = materialise(letters, "dead")
     discard(given)

@@ -259,3 +259,18 @@ def _scans(plan):
     children = plan.children()
     for i in range(children.size()):
         yield from _scans(children.apply(i))
+
+
+def test_a_failure_that_no_row_caused(spark, monkeypatch):
+    """What fails once and then works gives all rows and no dead letter."""
+    rows = requests(spark, [{"agent": "GPTBot/1.0"}] * 3)
+    failed = []
+
+    def once(part):
+        if not failed:
+            failed.append(True)
+            raise OSError("a machine was lost")
+        return pipeline.verdicts_of(part)
+
+    found, dead = fail_open.fail_open(rows, once)
+    assert found.count() == 3 and dead.count() == 0
