@@ -15,9 +15,11 @@ passage visits the one shard that can hold it:
    2 * WINDOW - GRAM words).  Its runs come sorted by place (doc_id, then start) and stream
    past the shard's automaton, which then takes them in: what it holds is always what stands
    earlier.  Words are compared as they are; hashes only bring runs together.
-3. A value with more runs (a passage in a third of all documents) is no shard: its windows
-   go by 128-bit names instead, and each name keeps its earliest place.  That is a minimum
-   with partial aggregation, so such a passage sends one row a window and task.
+3. A value with more runs (a passage in a third of all documents) mostly has the same ones
+   again and again, and of equal runs only the earliest can hold a window's first place.  So
+   each task keeps one of equal runs, Spark the earliest of all, told by 128 bits of hashes,
+   and what is left is a shard as in 2.  Where more than ``SHARD`` different runs are left,
+   their windows go by 128-bit names, and each name keeps its earliest place.
 4. Each document gets the windows where it is the earliest; all its other windows in repeated
    runs stand earlier too, and their words go.
 
@@ -37,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -253,30 +256,73 @@ def first_windows(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("value", "doc_id", "dk", "tie", "start", "words").mapInArrow(run, "dk long, tie long, ranges array<long>")
 
 
-def named_windows(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, dk, tie, frequent, text) -> name (two longs), dk, tie, doc_id, start of the first place of each frequent window in its document."""
+def frequent_runs(rows: DataFrame, window: int, gram: int, held: int = 200_000) -> DataFrame:
+    """(doc_id, dk, tie, frequent, text) -> of equal runs of a frequent value the earliest that the task has met: value, name (two longs), doc_id, dk, tie, start, words."""
+    keys = [("value", "ascending"), ("name", "ascending"), ("second", "ascending"), ("known", "ascending"), ("doc_id", "ascending"), ("tie", "ascending"), ("start", "ascending")]
+
+    def earliest(tables: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(tables).sort_by(keys).combine_chunks()
+        group = [table.column(c).to_numpy() for c in ("value", "name", "second")]
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.logical_or.reduce([g[1:] != g[:-1] for g in group])
+        return table.filter(pa.array(new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[pa.Table] = []
         for part in slices(batches, "text"):
             words = Words(part.column(4))
             doc, value, first, last = window_runs(words, window, gram)
             mine = _held(doc, value, part.column(3))
-            at = np.flatnonzero(_spread(words.n, first[mine], last[mine]))
-            name, second = words.runs(at, at + window), np.zeros(len(at), np.uint64)
+            doc, value, first, end = doc[mine], value[mine], first[mine], last[mine] + window
+            name, second = words.runs(first, end), np.zeros(len(first), np.uint64)
+            for i in range(int((end - first).max(initial=0))):  # a name of its own kind: every word mixed in by itself
+                at = np.minimum(first + i, words.n - 1)
+                second = np.where(first + i < end, mix(second * np.uint64(0x9E3779B97F4A7C15) + words.hashes[at]), second)
+            # Of a text that repeats a run, the first place.
+            order = np.lexsort((second, name, value, doc))
+            same = (value[order], name[order], second[order], doc[order])
+            new = np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in same])]) if len(order) else np.zeros(0, bool)
+            keep = order[new]
+            owner = pa.array(doc[keep])
+            ids = part.column(0).take(owner)
+            columns = [pa.array(value[keep].view(np.int64)), pa.array(name[keep].view(np.int64)), pa.array(second[keep].view(np.int64)), ids.is_valid()]
+            columns += [ids.fill_null(0), part.column(1).take(owner), part.column(2).take(owner), pa.array(first[keep] - words.first[doc[keep]])]
+            columns.append(Line(words).stretches(first[keep], end[keep] - 1))
+            found.append(earliest([pa.table(columns, names=["value", "name", "second", "known", "doc_id", "dk", "tie", "start", "words"])]))
+            if sum(t.num_rows for t in found) > held:
+                found = [earliest(found)]
+                if found[0].num_rows > held // 2:
+                    yield from out(found.pop())
+        if found:
+            yield from out(earliest(found))
+
+    def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = pc.if_else(table.column("known"), table.column("doc_id"), pa.scalar(None, pa.int64()))
+        table = table.set_column(table.schema.get_field_index("doc_id"), "doc_id", ids).drop_columns(["known"])
+        yield from table.to_batches(max_chunksize=10_000)
+
+    return rows.select("doc_id", "dk", "tie", "frequent", "text").mapInArrow(run, "value long, name long, second long, doc_id long, dk long, tie long, start long, words binary")
+
+
+def named_windows(rows: DataFrame, window: int) -> DataFrame:
+    """Runs (value, doc_id, dk, tie, start, words) -> name (two longs), doc_id, dk, tie, start of each of their windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "words"):
+            words = Words(part.column(4))
+            at, name = words.windows(window)
+            second = np.zeros(len(at), np.uint64)
             for i in range(window):  # a name of its own kind: every word mixed in by itself
                 second = mix(second * np.uint64(0x9E3779B97F4A7C15) + words.hashes[at + i])
             doc = words.doc[at]
-            order = np.lexsort((at, second, name, doc))
-            keys = (name[order], second[order], doc[order])
-            new = np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]) if len(at) else np.zeros(0, bool)
-            keep = np.sort(order[new])
-            owner = pa.array(doc[keep])
+            owner = pa.array(doc)
+            start = part.column(3).to_numpy()[doc] + at - words.first[doc]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(name[keep].view(np.int64)), pa.array(second[keep].view(np.int64)), *[part.column(i).take(owner) for i in range(3)], pa.array(at[keep] - words.first[doc[keep]])],
+                [pa.array(name.view(np.int64)), pa.array(second.view(np.int64)), *[part.column(i).take(owner) for i in range(3)], pa.array(start)],
                 names=["name", "second", "doc_id", "dk", "tie", "start"],
             )
 
-    return rows.select("doc_id", "dk", "tie", "frequent", "text").mapInArrow(run, "name long, second long, doc_id long, dk long, tie long, start long")
+    return rows.select("doc_id", "dk", "tie", "start", "words").mapInArrow(run, "name long, second long, doc_id long, dk long, tie long, start long")
 
 
 def _kept(words: Words, removed: np.ndarray) -> list[bytes]:
@@ -354,10 +400,17 @@ def substring_dedup(
     release(spark)
     discard(all_rows)
 
-    routed = passages(open_rows.where("size(shared) > 0"), window, gram).repartition("value")
+    # Of equal runs of a frequent value only the earliest can be the first place of a window.
+    runs = frequent_runs(open_rows.where("size(frequent) > 0"), window, gram).withColumn("place", F.expr(PLACE))
+    told_apart = [F.min_by(F.struct("doc_id", "dk", "tie", "start", "words"), F.struct("place", "start")).alias("first")]
+    runs = runs.groupBy("value", "name", "second").agg(*told_apart).select("value", "first.*")
+    runs = materialise(runs.withColumn("salt", salt), "runs")
+    wide = runs.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > shard).select("value", salted())
+    narrow = runs.join(wide, ["value", "salt"], "left_anti").drop("salt")
+    routed = passages(open_rows.where("size(shared) > 0"), window, gram).unionByName(narrow).repartition("value")
     ordered = routed.sortWithinPartitions("value", F.asc_nulls_first("doc_id"), "tie", "start")
-    named = named_windows(open_rows.where("size(frequent) > 0"), window, gram).select("name", "second", "dk", "tie", "start", F.expr(PLACE).alias("place"))
-    earliest = named.groupBy("name", "second").agg(*[F.min_by(c, "place").alias(c) for c in ("dk", "tie", "start")])
+    named = named_windows(runs.join(wide, ["value", "salt"], "left_semi"), window).select("name", "second", "dk", "tie", "start", F.expr(PLACE).alias("place"))
+    earliest = named.groupBy("name", "second").agg(*[F.min_by(c, F.struct("place", "start")).alias(c) for c in ("dk", "tie", "start")])
     firsts = first_windows(ordered, window).unionByName(earliest.select("dk", "tie", F.array(F.col("start").bitwiseOR(F.shiftleft("start", 32))).alias("ranges")))
     firsts = materialise(firsts.groupBy("dk", "tie").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "firsts")
     release(spark)

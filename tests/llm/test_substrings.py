@@ -70,6 +70,29 @@ def test_ids_that_repeat(spark):
     assert sorted(r.n_removed for r in got) == [0, 30, 30, 30, 30]
 
 
+def test_frequent_passage(spark, monkeypatch):
+    """A passage in every document comes to rows for its different runs, not for each document and window."""
+    from palisade.llm import substring_dedup as module
+    from palisade.session import ship
+
+    ship(spark)
+    rnd = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(300 - i, f"{'a' + str(rnd.randrange(4))} {passage} {'z' + str(rnd.randrange(4))}" + f" own{i}" * (i % 3)) for i in range(300)]
+    made, real = [], module.named_windows
+
+    def counted(*given):
+        out = real(*given)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "named_windows", counted)
+    for shard in (40, 2):
+        got = module.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shard=shard, with_text=True).collect()
+        assert sorted(map(tuple, got), key=str) == plain(rows)
+    assert max(made) < 1000, made  # 9,523 when each document had a row for each window
+
+
 def test_empty_table(spark):
     from palisade.llm.substring_dedup import substring_dedup
 
