@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.session import materialise
+from palisade.session import materialise, release
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,6 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         now = materialise(_step(_step(now, True), False), "edges")
+        release(edges.sparkSession)  # a round is some ten shuffles, and what the driver keeps of each adds up
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("a", "b"), 20)).alias("s")).first()
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

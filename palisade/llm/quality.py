@@ -165,6 +165,7 @@ def fit(counts: DataFrame) -> DataFrame:
             level = level.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << (8 * (order - 1))) - 1 | MODEL_BITS))).join(below, "suffix")
         smooth = materialise(level.selectExpr("key", "context", "gamma", "(n - less) / total + gamma * lower AS p"), "smooth")
         below = smooth.selectExpr("key AS suffix", "p AS lower")
+        release(counts.sparkSession)
         lacks = f"shiftright(key, {MODEL_AT}) < {FOLDS}"
         entries.append((smooth if order == ORDER else smooth.where(lacks)).selectExpr(f"key | {order << WHAT_AT} AS key", "ln(p) AS logp"))
         entries.append(smooth.where(lacks).selectExpr(f"context | {(OF_CONTEXT + order) << WHAT_AT} AS key", "ln(gamma) AS logp").distinct())
@@ -191,6 +192,11 @@ class Model:
             order = np.argsort(hashed)
             self.shards.append(spark.sparkContext.broadcast((hashed[order], found.column("logp").to_numpy()[order])))
 
+    def close(self) -> None:
+        """Take the shards from the driver and the workers; no text can be scored after."""
+        for shard in self.shards:
+            shard.destroy()
+
     def find(self, key: np.ndarray) -> np.ndarray:
         """Log probabilities of the entries; NaN where there is none."""
         out = np.full(len(key), np.nan)
@@ -313,6 +319,8 @@ def quality(
     schema += "".join(f", {c} double" for c in scores)
     schema += "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
     scored = materialise(rows.mapInArrow(run, schema), "quality")
+    model.close()
+    release(docs.sparkSession)
     failed = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words")
     scored = scored.withColumn("base_failed", failed)
     # Quartiles by language over every distinct text that passes the base rules: from counts by step, so reruns agree.
