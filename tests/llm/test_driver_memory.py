@@ -22,3 +22,35 @@ def test_model_is_let_go(spark, monkeypatch):
     rows = [(i, f"a text of some words, number {i}, that says little more than its number {i * 7}", "en") for i in range(50)]
     got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), plain=False)
     assert got.count() == 50 and closed == [1]
+
+
+def test_freed_memory_goes_back_to_the_system(spark):
+    """Buffers freed outside the heap, with some still in use between them, which keep the allocator from shrinking by itself."""
+    import gc
+    import re
+    import time
+    from pathlib import Path
+
+    import pytest
+
+    from palisade.session import release
+
+    jvm = spark.sparkContext._jvm
+    rollup = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+    if not rollup.exists():
+        pytest.skip("not Linux")
+
+    def mb():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", rollup.read_text())[1]) / 1024
+
+    freed, used = jvm.java.util.ArrayList(), jvm.java.util.ArrayList()
+    for i in range(1500):
+        (freed if i % 50 else used).add(jvm.java.nio.ByteBuffer.allocateDirect(100_000))
+    del freed
+    for _ in range(3):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.5)
+    before = mb()
+    release(spark)
+    assert used.size() == 30 and before - mb() > 70
